@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .line_dedup import OP4_SQL, op4_line_dedup
+from .packing import op7_best_fit_packing
 from .secret_scan import OP2_SQL, op2_secret_scan
+from .token_counts import op3_token_counts
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
 }
 SQL = {
