@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .jaccard_join import OP5_SQL, op5_jaccard_join
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .packing import op7_best_fit_packing
 from .secret_scan import OP2_SQL, op2_secret_scan
@@ -12,11 +13,13 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
 }
 SQL = {
     "op2_secret_scan": OP2_SQL,
     "op4_line_dedup": OP4_SQL,
+    "op5_jaccard_join": OP5_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
