@@ -8,8 +8,10 @@ from .line_dedup import OP4_SQL, op4_line_dedup
 from .packing import op7_best_fit_packing
 from .secret_scan import OP2_SQL, op2_secret_scan
 from .token_counts import op3_token_counts
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_secret_scan": op2_secret_scan,
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,

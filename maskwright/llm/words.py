@@ -34,18 +34,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hash(raw: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of the words of one buffer."""
+def _hash(raw: np.ndarray, gap: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, starts) of the words of one buffer; with ``prefixes`` a column each for
+    the first so many bytes, 0 where the word has no more."""
     edge = np.diff(np.concatenate([[1], gap.view(np.int8), [1]]).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     up, down = _power(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
-    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start, end
-
-
-def word_hashes(texts: Iterable[str | None], marks: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    at, back = total[start], down[start]
+    h = mix((total[end] - at) * back + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    if not prefixes:
+        return h, start
+    out = np.empty((len(h), 1 + len(prefixes)), np.uint64)
+    out[:, 0] = h
+    for i, k in enumerate(prefixes, 1):
+        p = mix((total[np.minimum(start + k, end)] - at) * back + np.uint64(k))
+        out[:, i] = np.where(end - start > k, p, np.uint64(0))
+    return out, start
+
+
+def word_hashes(texts: Iterable[str | None], marks: bool = False, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Blocks ``(first, count, hashes, ends)`` of consecutive texts, A-Z lower-cased.
 
     ``ends[i]`` is the number of hashes up to the end of text ``first + i``.  Words end
@@ -67,7 +76,7 @@ def word_hashes(texts: Iterable[str | None], marks: bool = False) -> Iterator[tu
                 gaps = np.flatnonzero(gap_of[raw[at:to]])
                 to = at + int(gaps[-1]) + 1 if len(gaps) else at + len(raw[at:]) if not gap_of[raw[to:]].any() else to + int(np.argmax(gap_of[raw[to:]])) + 1
             part = raw[at:to]
-            h, s, _ = _hash(part, gap_of[part])
+            h, s = _hash(part, gap_of[part], prefixes)
             out.append(h)
             firsts.append(s + at)
             at = to
