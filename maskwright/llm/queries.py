@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op10_decontamination
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .jaccard_join import OP5_SQL, op5_jaccard_join
 from .line_dedup import OP4_SQL, op4_line_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 SQL = {
     "op2_secret_scan": OP2_SQL,
