@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op10_decontamination
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .html_text import op9_html_text
 from .jaccard_join import OP5_SQL, op5_jaccard_join
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .packing import op7_best_fit_packing
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_html_text": op9_html_text,
     "op10_decontamination": op10_decontamination,
 }
 SQL = {
