@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 400_000
+MEMO = 250_000  # words in each of a worker's two generations
 OPEN_BINS = 64
 #: A letter run, one number, or a run of neither; contractions first.  The split of the
 #: word vocabulary for texts of plain Latin characters.
@@ -32,15 +32,19 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(file)
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.words = regex.compile(WORDS)
         self.plain = regex.compile(r"[\t\n\r -~\xa0-\u012f\u0131-\u024f]*")
         self.special = "<|"
 
     def word(self, w: str) -> bytes:
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        got = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        got = self.memo.get(w)
+        if got is not None:
+            return got
+        got = self.old.get(w) or np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
         if len(w) <= 64:
+            if len(self.memo) >= MEMO:  # what was used since the last turn stays
+                self.old, self.memo = self.memo, {}
             self.memo[w] = got
         return got
 
@@ -48,12 +52,8 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids."""
         if self.special in text or not self.plain.fullmatch(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        memo, words = self.memo, self.words.findall(text.lower())
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            get = memo.get
-            return b"".join([get(w) or self.word(w) for w in words])
+        get, make = self.memo.get, self.word
+        return b"".join([get(w) or make(w) for w in self.words.findall(text.lower())])
 
 
 @lru_cache(1)

@@ -7,6 +7,7 @@ from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .html_text import op9_html_text
 from .jaccard_join import OP5_SQL, op5_jaccard_join
 from .line_dedup import OP4_SQL, op4_line_dedup
+from .ngram_lm import op6_ngram_lm
 from .packing import op7_best_fit_packing
 from .secret_scan import OP2_SQL, op2_secret_scan
 from .token_counts import op3_token_counts
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_ngram_lm": op6_ngram_lm,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_html_text": op9_html_text,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The split of the byte-level vocabulary, white space spelt out.
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-MEMO = 400_000  # pretokens held per worker before the memo starts anew
+MEMO = 250_000  # pretokens in each of a worker's two generations
 
 
 class PrefixBpe:
@@ -32,57 +32,52 @@ class PrefixBpe:
         char = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in keep)}
         byte = {c: b for b, c in char.items()}
         raw = lambda s: bytes(byte[c] for c in s)
-        self.rank = {}
-        for i, m in enumerate(spec["model"]["merges"]):
-            a, b = m if isinstance(m, list) else m.split(" ")
-            self.rank[raw(a), raw(b)] = i
+        number = {bytes([b]): b for b in range(256)}  # tokens by age: bytes, then merges in order
+        self.halves = [(b, b) for b in range(256)]
+        self.joined: dict[int, int] = {}
+        for m in spec["model"]["merges"]:
+            x, y = map(raw, m if isinstance(m, list) else m.split(" "))
+            new = len(self.halves)
+            self.joined.setdefault(number[x] << 20 | number[y], new)
+            number.setdefault(x + y, new)
+            self.halves.append((number[x], number[y]))
         specials = {t["content"] for t in spec["added_tokens"]}
-        vocab = {raw(t) for t in spec["model"]["vocab"] if t not in specials}
-        self.longest = max(map(len, vocab))
-        self.vocab = vocab
-        self.own: dict[bytes, bool] = {}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        # every token that BPE makes of its own bytes, as a trie: byte -> node, -1 -> token
+        self.trie: dict[int, dict] = {}
+        for t in {raw(t) for t in spec["model"]["vocab"] if t not in specials}:
+            if t in number and (len(t) == 1 or self.meets(*self.halves[number[t]], number[t])):
+                node = self.trie
+                for c in t:
+                    node = node.setdefault(c, {})
+                node[-1] = number[t]
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.split = regex.compile(SPLIT)
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(specials, key=len, reverse=True))) if specials else None
         self.runs = regex.compile(rf"[{SPACE}]{{2,}}(?=[^{SPACE}])")
         self.plain = regex.compile(r"[\x00-\u024f]*")
 
-    def merge(self, word: bytes) -> list[bytes]:
-        """Plain BPE of a short piece: the lowest-ranked pair first, leftmost on ties."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = self.rank.get((parts[i], parts[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            a, b, out, i = parts[at], parts[at + 1], [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == a and parts[i + 1] == b:
-                    out.append(a + b)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
-
-    def token(self, t: bytes) -> bool:
-        """Whether BPE of the token's own bytes gives the token."""
-        if (got := self.own.get(t)) is None:
-            got = self.own[t] = t in self.vocab and len(self.merge(t)) == 1
-        return got
+    def meets(self, a: int, b: int, limit: int = 1 << 30) -> bool:
+        """Whether BPE leaves token a followed by token b, both made before ``limit``.
 
-    def meets(self, a: bytes, b: bytes) -> bool:
-        """Whether BPE leaves a followed by b as these two tokens."""
-        if (got := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self.merge(a + b) == [a, b]
-        return got
+        Back in time: of the two at the seam the younger is taken apart, so that its
+        half at the seam stands there.  If the pair at the seam has a token older than
+        what was just taken apart, BPE would have made that one first.  On equal age the
+        pair further left goes first.
+        """
+        joined, halves = self.joined, self.halves
+        while True:
+            c = joined.get(a << 20 | b)
+            if c is not None and c < limit:
+                return False
+            if a > b and a > 255:
+                limit, a = a, halves[a][1]
+            elif b > 255:
+                limit, b = b + 1, halves[b][0]
+            elif a > 255:
+                limit, a = a, halves[a][1]
+            else:
+                return True
 
     def counts(self, word: bytes) -> list[int]:
         """Tokens of every prefix of a pretoken, by bytes, from 0 bytes on.
@@ -91,14 +86,17 @@ class PrefixBpe:
         token that ends there and that BPE keeps apart from the last one before it.
         There is exactly one such token, so counts follow in one pass.
         """
-        n, last = [0], [b""]
-        for i in range(1, len(word) + 1):
-            for k in range(min(i, self.longest), 0, -1):
-                t = word[i - k : i]
-                if self.token(t) and (k == i or self.meets(last[i - k], t)):
-                    n.append(n[i - k] + 1)
-                    last.append(t)
+        size, root, meets = len(word), self.trie, self.meets
+        n, last = [0] * (size + 1), [-1] * (size + 1)
+        for i in range(size):
+            before, node = last[i], root
+            for j in range(i, size):
+                node = node.get(word[j])
+                if node is None:
                     break
+                t = node.get(-1)
+                if t is not None and last[j + 1] < 0 and (i == 0 or meets(before, t)):
+                    last[j + 1], n[j + 1] = t, n[i] + 1
         return n
 
     def size(self, piece: str) -> int:
@@ -107,25 +105,25 @@ class PrefixBpe:
     def deltas(self, piece: str) -> bytes:
         """int8 per code point: by how much the count changes with it."""
         got = self.memo.get(piece)
+        if got is not None:
+            return got
+        got = self.old.get(piece)
         if got is None:
             raw = piece.encode()
             c = [1, 2, self.counts(raw)[-1]] if piece in ("'re", "'ve", "'ll") else self.counts(raw)[1:]
             if len(raw) > len(piece) and len(c) == len(raw):  # counts at whole code points only
                 c = [c[i] for i in range(len(raw)) if i + 1 == len(raw) or raw[i + 1] & 0xC0 != 0x80]
             got = np.diff(np.array([0, *c], np.int64)).astype(np.int8).tobytes()
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            if len(piece) <= 64:
-                self.memo[piece] = got
+        if len(piece) <= 64:
+            if len(self.memo) >= MEMO:  # what was used since the last turn stays
+                self.old, self.memo = self.memo, {}
+            self.memo[piece] = got
         return got
 
     def segment(self, text: str) -> np.ndarray:
         """Changes of the count over text without special tokens."""
-        memo, pieces = self.memo, self.split.findall(text)
-        try:
-            out = b"".join([memo[p] for p in pieces])
-        except KeyError:
-            out = b"".join([self.deltas(p) for p in pieces])
+        get, make = self.memo.get, self.deltas
+        out = b"".join([get(p) or make(p) for p in self.split.findall(text)])
         d = np.frombuffer(out, np.int8)
         for m in self.runs.finditer(text):
             # a text that ends with this run has it as one piece, not as two
