@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .common import fresh
 from .words import word_hashes
 
 PREFIXES = (4, 5, 6, 7, 9)
@@ -223,6 +225,25 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, score double, flagged boolean")
 
 
+def screen(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+    """The rows of ``docs`` that :func:`toxicity` does not flag, columns as they were."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    flag, text_at = fresh(docs, "flagged"), docs.columns.index(text_col)
+    lang_at = docs.columns.index(lang_col) if lang_col else None
+
+    def run(batches):
+        m = held.value
+        for batch in batches:
+            s = np.zeros(len(batch))
+            for first, ids, starts in features(x.as_py() for x in batch.column(text_at)):
+                s[first : first + len(starts) - 1] = m.score(ids, starts)
+            limit = [m.thresholds.get(str(x.as_py() or ""), 0.5) for x in batch.column(lang_at)] if lang_at is not None else 0.5
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s >= np.array(limit))], names=[*batch.schema.names, flag])
+
+    out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(flag, T.BooleanType())]))
+    return out.where(~F.col(flag)).drop(flag)
+
+
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(docs, labels, ~held_out(F.col("id")))
