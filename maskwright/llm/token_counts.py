@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,7 +16,10 @@ from pyspark.sql import functions as F
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The split of the byte-level vocabulary, white space spelt out.
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-MEMO = 250_000  # pretokens in each of a worker's two generations
+#: Runs of whole pieces of SPLIT that depend on nothing around them: a word with the space
+#: before it, or white space.
+UNIT = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+MEMO = 500_000  # units in each of a worker's two generations
 
 
 class PrefixBpe:
@@ -52,7 +56,7 @@ class PrefixBpe:
                 node[-1] = number[t]
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.split = regex.compile(SPLIT)
+        self.split, self.unit = regex.compile(SPLIT), re.compile(UNIT)
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(specials, key=len, reverse=True))) if specials else None
         self.runs = regex.compile(rf"[{SPACE}]{{2,}}(?=[^{SPACE}])")
         self.plain = regex.compile(r"[\x00-\u024f]*")
@@ -102,28 +106,35 @@ class PrefixBpe:
     def size(self, piece: str) -> int:
         return sum(np.frombuffer(self.deltas(piece), np.int8).tolist())
 
-    def deltas(self, piece: str) -> bytes:
+    def deltas(self, unit: str) -> bytes:
         """int8 per code point: by how much the count changes with it."""
-        got = self.memo.get(piece)
+        got = self.memo.get(unit)
         if got is not None:
             return got
-        got = self.old.get(piece)
+        got = self.old.get(unit)
         if got is None:
-            raw = piece.encode()
-            c = [1, 2, self.counts(raw)[-1]] if piece in ("'re", "'ve", "'ll") else self.counts(raw)[1:]
-            if len(raw) > len(piece) and len(c) == len(raw):  # counts at whole code points only
-                c = [c[i] for i in range(len(raw)) if i + 1 == len(raw) or raw[i + 1] & 0xC0 != 0x80]
-            got = np.diff(np.array([0, *c], np.int64)).astype(np.int8).tobytes()
-        if len(piece) <= 64:
+            pieces = self.split.findall(unit)
+            got = self.piece(unit) if len(pieces) == 1 else b"".join([self.deltas(p) for p in pieces])
+        if len(unit) <= 64:
             if len(self.memo) >= MEMO:  # what was used since the last turn stays
                 self.old, self.memo = self.memo, {}
-            self.memo[piece] = got
+            self.memo[unit] = got
         return got
 
+    def piece(self, piece: str) -> bytes:
+        raw = piece.encode()
+        c = [1, 2, self.counts(raw)[-1]] if piece in ("'re", "'ve", "'ll") else self.counts(raw)[1:]
+        if len(raw) > len(piece) and len(c) == len(raw):  # counts at whole code points only
+            c = [c[i] for i in range(len(raw)) if i + 1 == len(raw) or raw[i + 1] & 0xC0 != 0x80]
+        return bytes([(y - x) & 255 for x, y in zip([0, *c], c)])
+
     def segment(self, text: str) -> np.ndarray:
         """Changes of the count over text without special tokens."""
-        get, make = self.memo.get, self.deltas
-        out = b"".join([get(p) or make(p) for p in self.split.findall(text)])
+        units, make = self.unit.findall(text), self.deltas
+        found = list(map(self.memo.get, units))
+        if None in found:
+            found = [x or make(u) for u, x in zip(units, found, strict=True)]
+        out = b"".join(found)
         d = np.frombuffer(out, np.int8)
         for m in self.runs.finditer(text):
             # a text that ends with this run has it as one piece, not as two
