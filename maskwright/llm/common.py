@@ -35,6 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: smaller than a checkpoint."""
+    at = shared_path(df.sparkSession, "table")
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, table
 from .components import components
-from .sketch import summed
+from .sketch import encode, summed, total
 from .words import mix, shingles, word_hashes
 
 BUCKETS = 1 << 20
@@ -27,17 +27,19 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, distinct shingle hashes in order) of every text of a batch."""
     texts = (x.as_py() for x in batch.column(1))
     for first, count, h, ends in word_hashes(texts):
+        runs = shingles(h, k)  # of the whole block; those across two texts are left out
         at = 0
         for i in range(count):
-            yield first + i, np.unique(shingles(h[at : ends[i]], k))
-            at = ends[i]
+            end = int(ends[i])
+            s = runs[at : end - k + 1] if end - at >= k else shingles(h[at:end], k)
+            at = end
+            yield first + i, np.unique(s)
 
 
 def _node(s: np.ndarray, seed: int) -> tuple[int, int]:
-    """Two 64-bit digests of a set, which copies of it share."""
-    with np.errstate(over="ignore"):
-        a = np.add.reduce(mix(s ^ np.uint64(2 * seed + 1)))
-        b = np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+    """Two 64-bit digests of a set, which copies of it share: sums over its hashes."""
+    a = np.add.reduce(s ^ (s >> np.uint64(29 + seed)))
+    b = np.add.reduce(s * s)
     return tuple(mix(np.array([a, b], np.uint64) + np.uint64(len(s))).view(np.int64).tolist())
 
 
@@ -90,11 +92,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     4. Candidate pairs are verified by vertical partitioning: the order is cut into
        ``fragments``, each set into a segment per fragment; the overlap of a pair is
        counted segment by segment and summed.
-    5. Pairs come in rounds.  Two rounds pair each node with one centre per shingle, so
-       a large group of near copies costs a pair a node; then all pairs that share
-       enough rare shingles, are of different classes still and were not verified yet.
-       So no link between different classes is missed, and no pair within one is
-       made twice.
+    5. Pairs come in rounds.  A round pairs each node with one centre per shingle, first
+       the one that shares most with others (of near copies, the text they come
+       from), so a large group of near copies costs a pair a node; the last round takes
+       all pairs that share enough rare shingles, are of different classes still and
+       were not verified yet.  So no link between different classes is missed, and
+       pairs within a class are not made.
 
     Returns ``id_col, n_shingles, component_id`` per input row: the least id reachable
     by links, itself included.
@@ -108,7 +111,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def nodes_of(seed):
+        """A row per text, and rows of this task's bucket counts."""
+
         def run(batches):
+            total = np.zeros(BUCKETS, np.int64)
             for batch in batches:
                 n, a, b = [], [], []
                 for _, s in _sets(batch, words):
@@ -116,18 +122,26 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     n.append(len(s))
                     a.append(x[0])
                     b.append(x[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["id", "n", "node", "check"])
+                    np.add.at(total, (s % np.uint64(BUCKETS)).astype(np.int64), 1)
+                yield _frame(batch.column(0), n, a, b, [None] * len(n))
+            if total.any():
+                parts = encode(total)
+                none = [None] * len(parts)
+                yield _frame(none, [i for i, _ in parts], none, none, [x for _, x in parts])
+
+        def _frame(i, n, a, b, c):
+            return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()) if isinstance(i, list) else i, pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], names=["id", "n", "node", "check", "counts"])
 
-        return src.mapInArrow(run, "id long, n long, node long, check long")
+        return src.mapInArrow(run, "id long, n long, node long, check long, counts binary")
 
     seed = 0
     while True:  # a digest that two different sets share is found by the other one; another seed parts them
-        rows = cut(nodes_of(seed))
+        first = cut(nodes_of(seed))
+        rows = first.where("counts is null").drop("counts")
         if rows.where("n > 0").groupBy("node").agg((F.min("check") != F.max("check")).alias("clash")).where("clash").isEmpty():
             break
         seed += 1
-
-    counts = summed(src, lambda batch: ((s % np.uint64(BUCKETS)).astype(np.int64) for _, s in _sets(batch, words)), BUCKETS)
+    counts = total(first.where("counts is not null").select(F.col("n").cast("int").alias("part"), "counts"), BUCKETS)
     order = docs.sparkSession.sparkContext.broadcast(Order(counts, fragments))
 
     def prefixes(batches):
@@ -147,79 +161,77 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def shared(batches):
         """Of rows sorted by gram and node, one per pair of them, of grams that several nodes have."""
-        held = None
+        last = None  # the last row, and whether it was sent
         for batch in batches:
-            now = [np.asarray(c) for c in batch.columns]
-            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            if last:
-                yield _several([x[:last] for x in held])
-                held = [x[last:] for x in held]
-            else:  # one gram only: drop repeated nodes now
-                held = _distinct(held)
-        if held is not None and len(held[0]):
-            yield _several(held)
-
-    def _distinct(c):
-        new = np.ones(len(c[0]), bool)
-        new[1:] = (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])
-        return [x[new] for x in c]
-
-    def _several(c):
-        g, node, n = _distinct(c)
-        again = np.zeros(len(g), bool)
-        again[1:] = g[1:] == g[:-1]
-        again[:-1] |= again[1:].copy()
-        return pa.RecordBatch.from_arrays([pa.array(x[again]) for x in (g, node, n)], names=["gram", "node", "n"])
+            g, node, n = (np.asarray(c) for c in batch.columns)
+            if not len(g):
+                continue
+            if last is not None:
+                g, node, n = (np.concatenate([[x], y]) for x, y in zip(last[:3], (g, node, n), strict=True))
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (node[1:] != node[:-1])
+            g, node, n = g[new], node[new], n[new]
+            again = np.zeros(len(g), bool)
+            again[1:] = g[1:] == g[:-1]
+            again[:-1] |= again[1:].copy()
+            sent = bool(again[-1]) or (len(g) == 1 and last is not None and last[3])
+            if last is not None and last[3]:
+                again[0] = False
+            last = (g[-1], node[-1], n[-1], sent)
+            yield pa.RecordBatch.from_arrays([pa.array(g[again]), pa.array(node[again]), pa.array(n[again].astype(np.int32))], names=["gram", "node", "n"])
 
+    share = lambda n: F.least(F.ceil(n * percent / 100), 1 + F.floor(n / 20))  # noqa: E731  of prefix_length
     kinds = "gram long, node long, n int"
     dealt = src.mapInArrow(prefixes, kinds).repartition("gram").sortWithinPartitions("gram", "node")
-    posts = cut(dealt.mapInArrow(shared, kinds))
+    some = cut(dealt.mapInArrow(shared, kinds))
+    # a node that links with any shares at least so many of its rare shingles
+    enough = some.groupBy("node").agg(F.count(F.lit(1)).alias("g"), F.first("n").alias("n")).where(F.col("g") >= share(F.ceil(F.col("n") * percent / 100)))
+    posts = cut(some.join(enough.select("node"), "node", "left_semi"))
 
     least = F.least
     close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
+    wanted = posts.select("node").distinct()
+    bits = 1 << min(27, max(16, (8 * wanted.count()).bit_length()))  # a filter of at most 16 MB, without false absences
+    spot = lambda x: (mix(np.asarray(x, np.int64).view(np.uint64)) % np.uint64(bits)).astype(np.int64)
+    filt = docs.sparkSession.sparkContext.broadcast(np.packbits(summed(wanted, lambda batch: iter([spot(batch.column(0))]), bits) > 0))
+
+    def segments(batches):
+        o, f = order.value, filt.value
+        for batch in batches:
+            cols = [[], [], []]
+            for _, s in _sets(batch, words):
+                if not len(s):
+                    continue
+                node = _node(s, seed)[0]
+                at = int(spot(np.array([node]))[0])
+                if not f[at >> 3] >> (7 - (at & 7)) & 1:
+                    continue
+                part = np.searchsorted(o.pivots, o.keys(s), "right")
+                for v in range(len(o.pivots) + 1):
+                    seg = s[part == v]
+                    if len(seg):
+                        for c, x in zip(cols, (node, v, seg.tobytes()), strict=True):
+                            c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["node", "frag", "seg"])
+
+    kept = src.mapInArrow(segments, "node long, frag int, seg binary").groupBy("node", "frag").agg(F.first("seg").alias("seg"))
+    segs = table(kept)
+
     def verified(pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b, na, nb) those that reach the similarity."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        many = wanted.count()
-        bits = 1 << min(27, max(16, (8 * many).bit_length()))  # a filter of at most 16 MB, without false absences
-        spot = lambda x: (mix(np.asarray(x, np.int64).view(np.uint64)) % np.uint64(bits)).astype(np.int64)
-        found = summed(wanted, lambda batch: iter([spot(batch.column(0))]), bits) > 0
-        filt = docs.sparkSession.sparkContext.broadcast(np.packbits(found))
-
-        def segments(batches):
-            o, f = order.value, filt.value
-            for batch in batches:
-                cols = [[], [], []]
-                for _, s in _sets(batch, words):
-                    if not len(s):
-                        continue
-                    node = _node(s, seed)[0]
-                    at = int(spot(np.array([node]))[0])
-                    if not f[at >> 3] >> (7 - (at & 7)) & 1:
-                        continue
-                    part = np.searchsorted(o.pivots, o.keys(s), "right")
-                    for v in range(len(o.pivots) + 1):
-                        seg = s[part == v]
-                        if len(seg):
-                            for c, x in zip(cols, (node, v, seg.tobytes()), strict=True):
-                                c.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["node", "frag", "seg"])
 
         def overlaps(batches):
             for batch in batches:
                 out = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.int64())], names=["a", "b", "na", "nb", "part"])
 
-        segs = src.mapInArrow(segments, "node long, frag int, seg binary").groupBy("node", "frag").agg(F.first("seg").alias("seg"))
         sa, sb = segs.toDF("a", "frag", "sa"), segs.toDF("b", "frag", "sb")
         both = pairs.join(sa, "a").join(sb, ["b", "frag"]).select("a", "b", "na", "nb", "sa", "sb")
         parts = both.mapInArrow(overlaps, "a long, b long, na int, nb int, part long")
         total = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("o"))
         return total.where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
 
-    share = lambda n: F.least(F.ceil(n * percent / 100), 1 + F.floor(n / 20))  # noqa: E731  of prefix_length
 
     def star(rows: DataFrame, centre) -> DataFrame:
         """Each node with the centre of a gram, where they meet at a few grams at least."""
@@ -233,7 +245,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def open_rows(rows: DataFrame, cls: DataFrame) -> DataFrame:
         """Rows of the grams that nodes of several classes have."""
-        named = rows.drop("class").join(cls, "node", "left").select("gram", "node", "n", F.coalesce("class", "node").alias("class"))
+        named = rows.drop("class").join(cls, "node", "left").select("gram", "node", "n", "rank", F.coalesce("class", "node").alias("class"))
         several = named.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("gram")
         return cut(named.join(several, "gram", "left_semi"))
 
@@ -241,19 +253,21 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same_id = rows.where("n > 0 and id is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("id", "a")
     links = rows.join(same_id, "id").where("n > 0 and node <> a").select("a", F.col("node").alias("b"))
 
-    pairs = cut(star(posts, F.min(F.struct("node", "n"))))
-    tested = pairs
-    links = cut(links.union(verified(pairs)))
-    cls = classes(links)
-    left = open_rows(posts, cls)
-    by_hash = F.min(F.struct(F.xxhash64("node").alias("x"), "node", "n"))
-    pairs = cut(star(left, by_hash).join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
-    if not pairs.isEmpty():
-        tested = tested.union(pairs)
-        links = cut(links.union(verified(pairs)))
+    size = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("m"))
+    rank = posts.join(size, "gram").groupBy("node").agg((F.sum("m") / F.first("n")).alias("rank"))
+    left = cut(posts.join(rank, "node"))
+    tested = None
+    by = lambda x: F.max(F.struct(x.alias("x"), "node", "n"))
+    for centre in (by(F.col("rank")), by(F.xxhash64("node")), by(F.xxhash64("node", F.lit(1)))):
+        pairs = star(left, centre)
+        pairs = cut(pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
+        if not pairs.isEmpty():
+            tested = pairs if tested is None else tested.union(pairs)
+            links = cut(links.union(verified(pairs)))
         cls = classes(links)
         left = open_rows(left, cls)
-    x, y = left.toDF("gram", "a", "na", "ca"), left.toDF("gram", "b", "nb", "cb")
+    tested = tested if tested is not None else posts.selectExpr("node as a", "node as b").limit(0)
+    x, y = left.drop("rank").toDF("gram", "a", "na", "ca"), left.drop("rank").toDF("gram", "b", "nb", "cb")
     rest = x.join(y, "gram").where("a < b and ca <> cb").where(close).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("g"))
     rest = rest.where(F.col("g") >= least(share(F.col("na")), share(F.col("nb")))).join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb")
     rest = cut(rest)

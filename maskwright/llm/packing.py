@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -11,49 +12,78 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 250_000  # words in each of a worker's two generations
+MEMO = 500_000  # words in each of a worker's two generations
 OPEN_BINS = 64
-#: A letter run, one number, or a run of neither; contractions first.  The split of the
-#: word vocabulary for texts of plain Latin characters.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordEncoder:
     """Ids of a word-end BPE, word by word from a memo.
 
-    Texts of characters below U+0250 without rare controls need no normalising beyond
-    lower case, and words are encoded apart from each other, so ids of words joined
-    are the ids of the text.  Any other text goes through the library whole.
+    The vocabulary drops white space and encodes nothing across it.  Texts of characters
+    below U+0250 without rare controls need no normalising beyond lower case.  So there
+    the ids of what stands between white space, joined, are the ids of the text.  Any
+    other text goes through the library whole.
     """
 
     def __init__(self, file: str):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(file)
+        # for pieces already lower-cased and split: nothing left to normalise or to split but spaces
+        self.bare = Tokenizer.from_file(file)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.bare.model._resize_cache(0)  # every word it sees is new
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.words = regex.compile(WORDS)
-        self.plain = regex.compile(r"[\t\n\r -~\xa0-\u012f\u0131-\u024f]*")
+        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.plain = re.compile(r"[\t\n\r -~\xa0-\u012f\u0131-\u024f]*")
         self.special = "<|"
 
-    def word(self, w: str) -> bytes:
-        got = self.memo.get(w)
-        if got is not None:
-            return got
-        got = self.old.get(w) or np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(w) <= 64:
-            if len(self.memo) >= MEMO:  # what was used since the last turn stays
-                self.old, self.memo = self.memo, {}
-            self.memo[w] = got
-        return got
+    def learn(self, new: set[str]) -> None:
+        """Puts what the memo lacks into it.  Pieces new to it too are encoded in one call:
+        they stand between spaces, so each is a word of its own there."""
+        if len(self.memo) >= MEMO:  # what was used since the last turn stays
+            self.old, self.memo = self.memo, {}
+        memo, old, find = self.memo, self.old, self.pieces.findall
+        unknown, odd = [], []
+        for w in new:
+            got = old.get(w)
+            if got is not None:
+                memo[w] = got
+            elif w.isalpha():
+                unknown.append(w)
+            else:
+                odd.append((w, find(w)))
+        if odd:
+            unknown += {p for _, x in odd for p in x if p not in memo and p not in old}.difference(unknown)
+        if unknown:
+            got = self.bare.encode(" ".join(unknown), add_special_tokens=False)
+            raw = np.array(got.ids, "<u4").tobytes()
+            edge = (np.searchsorted(np.array(got.word_ids), np.arange(len(unknown) + 1)) * 4).tolist()
+            for w, x, y in zip(unknown, edge, edge[1:]):
+                memo[w] = raw[x:y]
+        for w, parts in odd:
+            memo[w] = b"".join([memo[p] if p in memo else old[p] for p in parts])
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if self.special in text or not self.plain.fullmatch(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        get, make = self.memo.get, self.word
-        return b"".join([get(w) or make(w) for w in self.words.findall(text.lower())])
+        words = text.lower().split()
+        out = list(map(self.memo.get, words))
+        if None in out:
+            lack = [i for i, x in enumerate(out) if x is None]
+            new = {words[i] for i in lack}
+            self.learn(new)
+            memo = self.memo
+            for i in lack:
+                out[i] = memo[words[i]]
+            for w in new:
+                if len(w) > 64:  # rare, and would fill the memory
+                    del memo[w]
+        return b"".join(out)
 
 
 @lru_cache(1)

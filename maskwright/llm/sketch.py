@@ -12,26 +12,20 @@ from pyspark.sql import DataFrame
 PARTS = 64
 
 
-def summed(df: DataFrame, buckets: Callable[[pa.RecordBatch], Iterator[np.ndarray]], size: int) -> np.ndarray:
-    """Counts of ``size`` buckets over all rows.
+def _step(size: int) -> int:
+    return -(-size // PARTS)
 
-    ``buckets`` gives the bucket numbers of a batch, in arrays.  Each task adds up its
-    own, then sends PARTS compressed parts; the parts of one number are added as they
-    stream by, so no task and not the driver hold more than ``size`` counts.
-    """
-    step = -(-size // PARTS)
-    schema = "part int, counts binary"
 
-    def count(batches):
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for b in buckets(batch):
-                if len(b) * 4 > size:
-                    total += np.bincount(b, minlength=size)
-                else:
-                    np.add.at(total, b, 1)
-        if total.any():
-            yield _rows({i: total[i * step : (i + 1) * step] for i in range(PARTS)})
+def encode(total: np.ndarray) -> list[tuple[int, bytes]]:
+    """The parts of a task's counts, compressed."""
+    step = _step(len(total))
+    parts = ((i, total[i * step : (i + 1) * step]) for i in range(PARTS))
+    return [(i, zlib.compress(x.tobytes(), 1)) for i, x in parts if x.any()]
+
+
+def total(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of all tasks' counts: rows (part, counts) of :func:`encode`.  Parts of one
+    number are added as they stream by."""
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
@@ -40,13 +34,25 @@ def summed(df: DataFrame, buckets: Callable[[pa.RecordBatch], Iterator[np.ndarra
                 got = np.frombuffer(zlib.decompress(raw.as_py()), np.int64)
                 held[i] = held[i] + got if i in held else got
         if held:
-            yield _rows(held)
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in held.values()], pa.binary())], names=["part", "counts"])
 
-    def _rows(parts):
-        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts.values()], pa.binary())], names=["part", "counts"])
-
-    out = np.zeros(size, np.int64)
-    for i, raw in df.mapInArrow(count, schema).repartition(PARTS, "part").mapInArrow(add, schema).collect():
+    out, step = np.zeros(size, np.int64), _step(size)
+    for i, raw in parts.repartition(PARTS, "part").mapInArrow(add, "part int, counts binary").collect():
         got = np.frombuffer(zlib.decompress(raw), np.int64)
         out[i * step : i * step + len(got)] += got
     return out
+
+
+def summed(df: DataFrame, buckets: Callable[[pa.RecordBatch], Iterator[np.ndarray]], size: int) -> np.ndarray:
+    """Counts of ``size`` buckets over all rows; ``buckets`` gives the bucket numbers of a
+    batch, in arrays.  No task and not the driver hold more than ``size`` counts."""
+
+    def count(batches):
+        sums = np.zeros(size, np.int64)
+        for batch in batches:
+            for b in buckets(batch):
+                np.add.at(sums, b, 1)
+        rows = encode(sums)
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["part", "counts"])
+
+    return total(df.mapInArrow(count, "part int, counts binary"), size)
