@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Fixed values.
 MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t|tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
 DAYS = "mon|tue|tues|wed|thu|thur|thurs|fri|sat|sun|monday|tuesday|wednesday|thursday|friday|saturday|sunday"
@@ -17,10 +19,9 @@ LANDLINE_AREAS = "2378"
 
 
 def _month(name: Column) -> Column:
-    out = F.lit(None).cast("int")
-    for i, m in enumerate(MONTH_NAMES, 1):
-        out = F.when(F.lower(F.substring(name, 1, 3)) == m, i).otherwise(out)
-    return out
+    """By the place of its first three letters; a place is 1, 4, 7 ..."""
+    at = F.instr(F.lit("".join(MONTH_NAMES)), F.lower(F.substring(name, 1, 3)))
+    return F.when(at > 0, ((at + 2) / 3).cast("int"))
 
 
 def parse_date(v: Column) -> Column:
@@ -32,16 +33,25 @@ def parse_date(v: Column) -> Column:
     dmy, ymd = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})$", r"^(\d{4})[/-](\d{1,2})[/-](\d{1,2})$"
     named = rf"(?i)^(?:(?:{DAYS})\s+)?(\d{{1,2}})\s+(?:of\s+)?({MONTHS})(?:\s+(\d{{4}}))?$"
     first = rf"(?i)^({MONTHS})\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})$"
-    iso = v.rlike(ymd) & ~v.rlike(dmy)
-    day = F.coalesce(part(dmy, 1), part(ymd, 3), part(named, 1), part(first, 2)).cast("int")
-    month = F.coalesce(part(dmy, 2).cast("int"), part(ymd, 2).cast("int"), _month(part(named, 2)), _month(part(first, 1)))
-    year = F.coalesce(part(dmy, 3), part(ymd, 1), part(named, 3), part(first, 3)).cast("int")
-    year = F.when(year < 100, year + F.when(year <= PIVOT, 2000).otherwise(1900)).otherwise(year)
-    most = F.element_at(F.array(*[F.lit(n) for n in MONTH_DAYS]), F.when(month.between(1, 12), month).otherwise(1))
-    ok = month.between(1, 12) & day.between(1, most) & (year.isNull() | year.between(1900, 2099))
-    text = F.when(year.isNull(), F.format_string("%02d-%02d", month, day)).otherwise(F.format_string("%04d-%02d-%02d", year, month, day))
-    order = F.when(iso, "iso").when(v.rlike(first), "month_first").otherwise("day_first")
-    return F.when(ok, F.struct(text.alias("iso"), order.alias("order"), year.isNotNull().alias("has_year")))
+    s = lambda d, m, y, order: F.struct(d.cast("int").alias("d"), m.cast("int").alias("m"), y.cast("int").alias("y"), F.lit(order).alias("order"))
+    parts = (
+        F.when(v.rlike(dmy), s(part(dmy, 1), part(dmy, 2), part(dmy, 3), "day_first"))
+        .when(v.rlike(ymd), s(part(ymd, 3), part(ymd, 2), part(ymd, 1), "iso"))
+        .when(v.rlike(first), s(part(first, 2), _month(part(first, 1)), part(first, 3), "month_first"))
+        .when(v.rlike(named), s(part(named, 1), _month(part(named, 2)), part(named, 3), "day_first"))
+    )
+
+    def full(p):
+        year = F.when(p["y"] < 100, p["y"] + F.when(p["y"] <= PIVOT, 2000).otherwise(1900)).otherwise(p["y"])
+        return F.struct(p["d"].alias("d"), p["m"].alias("m"), year.alias("y"), p["order"].alias("order"))
+
+    def done(p):
+        most = F.get(F.array(*[F.lit(n) for n in MONTH_DAYS]), F.when(p["m"].between(1, 12), p["m"]).otherwise(1) - 1)
+        ok = p["m"].between(1, 12) & p["d"].between(1, most) & (p["y"].isNull() | p["y"].between(1900, 2099))
+        text = F.when(p["y"].isNull(), F.format_string("%02d-%02d", p["m"], p["d"])).otherwise(F.format_string("%04d-%02d-%02d", p["y"], p["m"], p["d"]))
+        return F.when(ok, F.struct(text.alias("iso"), p["order"].alias("order"), p["y"].isNotNull().alias("has_year")))
+
+    return let(let(parts, full), done)
 
 
 def parse_phone(v: Column) -> Column:

@@ -93,15 +93,30 @@ def meta(**pairs: Column) -> Column:
 TOKEN = r"[A-Za-z0-9][A-Za-z0-9'’&.\-]*"
 
 
-def tokens(text: Column) -> Column:
-    """array<struct<start,end,value>> of tokens, trailing ``. - & '`` trimmed."""
-    raw = spans(text, TOKEN)
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also within a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def trim(x):
-        v = F.regexp_replace(x["value"], r"[.\-&'’]+$", "")
-        return F.struct(x["start"].alias("start"), (x["start"] + F.length(v)).alias("end"), v.alias("value"))
 
-    return F.transform(raw, trim)
+def token_values(text: Column) -> Column:
+    """The tokens, trailing ``. - & '`` trimmed."""
+    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), _trimmed)
+
+
+def _trimmed(v: Column) -> Column:
+    return F.regexp_replace(v, r"[.\-&'’]+$", "")
+
+
+def token_place(text: Column):
+    """index -> (start of the token, end of it), each in one pass over what is before it:
+    for the few tokens that matter out of many."""
+    whole = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    gaps = F.split(text, TOKEN, -1)
+
+    def start(i):
+        return F.length(F.array_join(F.slice(gaps, F.lit(1), i + 1), "")) + F.length(F.array_join(F.slice(whole, F.lit(1), i), ""))
+
+    return start, lambda i: start(i) + F.length(_trimmed(F.get(whole, i)))
 
 
 def token_key(value: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
-from ..functions.text import FINDINGS, aligned, finding, meta, spans
+from ..functions.text import FINDINGS, finding, meta, spans
 from .detectors import claimed_in_turn
 
 
@@ -74,9 +74,8 @@ def rule_spans(text: Column, folded: Column, rule: Implication) -> Column:
     return F.transform(found, make)
 
 
-def implications(text: Column, implicates: frozenset[str] = frozenset((_P, _WORK)), rules: tuple[Implication, ...] = RULES) -> Column:
+def implications(text: Column, folded: Column, implicates: frozenset[str] = frozenset((_P, _WORK)), rules: tuple[Implication, ...] = RULES) -> Column:
     """Findings of the rules, surest first, each keeping clear of those before it."""
-    folded = aligned(text)
     live = [r for r in sorted(rules, key=lambda r: -r.confidence) if r.implicates in implicates]
     if not live:
         return F.array().cast(FINDINGS)

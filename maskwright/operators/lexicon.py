@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import FINDINGS, finding, token_key, tokens
+from ..functions.text import FINDINGS, finding, token_key, token_place, token_values
 from .detectors import claimed_in_turn
 
 WIDE = 5_000
@@ -112,31 +112,38 @@ def matches(text: Column, lexicon: Lexicon) -> Column:
     col = lambda values: F.array(*[F.lit(v) for v in values])
     names, labels, kinds = col([t.term for t in terms]), col([t.label or t.term for t in terms]), col([t.category for t in terms])
     lengths = col([len(key_of(t.term)) for t in terms])
-    parts = F.transform(tokens(text), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), token_key(t["value"]).alias("key")))
+    keys = F.transform(token_values(text), token_key)
+    start, end = token_place(text)
 
-    def hit(x, index, distance):
-        y = F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("").alias("value"))
+    def hit(i, n, index, distance):
+        y = F.struct(start(i).alias("start"), end(i + (n - 1)).alias("end"), F.lit("").alias("value"))
         base = [F.lit("canonical"), F.get(names, index), F.lit("label"), F.get(labels, index)]
         more = [F.lit("distance"), F.lit("1"), F.lit("fuzzy"), F.lit("true")] if distance else []
         return finding(y, F.get(kinds, index), "lexicon_term", 0.85 if distance else 1.0, F.create_map(*base, *more), text=text)
 
+    # only what hits gets its place, and its finding
     def phrases(n):
-        at = F.when(F.size(parts) >= n, F.sequence(F.lit(0), F.size(parts) - n)).otherwise(F.array().cast("array<int>"))
-        grams = F.transform(at, lambda i: F.struct(F.get(parts, i)["start"].alias("start"), F.get(parts, i + (n - 1))["end"].alias("end"), F.concat(*[F.get(parts, i + j)["key"] for j in range(n)]).alias("key")))
-        return F.transform(F.filter(grams, lambda g: g["key"].isin(*exact)), lambda g: hit(g, F.element_at(table, g["key"]), 0))
-
-    def single(t):
-        one = F.when(t["key"].isin(*exact), F.array(hit(t, F.element_at(table, t["key"]), 0)))
-        if close is not None:
-            cand = F.filter(_deletions(t["key"]), lambda d: d.isin(*fuzzy))
-            ranked = F.sort_array(F.transform(cand, lambda d: F.struct(F.when(d == t["key"], 0).otherwise(1).alias("d"), (-F.get(lengths, F.element_at(close, d))).alias("n"), F.element_at(close, d).alias("i"))))
-            near = (F.length(t["key"]) >= FUZZY_LEAST) & (F.size(cand) > 0)
-            one = one.when(near, F.array(hit(t, F.get(ranked, F.lit(0))["i"], 1)))
-        return one.otherwise(F.array().cast(FINDINGS))
+        at = F.when(F.size(keys) >= n, F.sequence(F.lit(0), F.size(keys) - n)).otherwise(F.array().cast("array<int>"))
+        key = lambda i: F.concat(*[F.get(keys, i + j) for j in range(n)])
+        return F.transform(F.filter(at, lambda i: key(i).isin(*exact)), lambda i: hit(i, n, F.element_at(table, key(i)), 0))
 
+    near = lambda k: F.filter(_deletions(k), lambda d: d.isin(*fuzzy))
+    close_enough = lambda k: (F.length(k) >= FUZZY_LEAST) & (F.size(near(k)) > 0) if close is not None else F.lit(False)
+
+    def best(k):
+        ranked = F.sort_array(F.transform(near(k), lambda d: F.struct(F.when(d == k, 0).otherwise(1).alias("d"), (-F.get(lengths, F.element_at(close, d))).alias("n"), F.element_at(close, d).alias("i"))))
+        return F.get(ranked, F.lit(0))["i"]
+
+    def single(i):
+        k = F.get(keys, i)
+        one = F.when(k.isin(*exact), hit(i, 1, F.element_at(table, k), 0))
+        return one.otherwise(hit(i, 1, best(k), 1)) if close is not None else one
+
+    every = F.when(F.size(keys) > 0, F.sequence(F.lit(0), F.size(keys) - 1)).otherwise(F.array().cast("array<int>"))
+    singles = F.transform(F.filter(every, lambda i: F.get(keys, i).isin(*exact) | close_enough(F.get(keys, i))), single)
     # tokens run on past the words of a form (hyphens, dots), so one more is tried
     found = [phrases(n) for n in range(lexicon.longest, 1, -1)]
-    return claimed_in_turn([*found, F.flatten(F.transform(parts, single))])
+    return claimed_in_turn([*found, singles])
 
 
 def form_rows(spark: SparkSession, lexicon: Lexicon) -> tuple[DataFrame, DataFrame]:
@@ -147,32 +154,17 @@ def form_rows(spark: SparkSession, lexicon: Lexicon) -> tuple[DataFrame, DataFra
 
 
 def join_matches(df: DataFrame, id_col: str, text_col: str, lexicon: Lexicon) -> DataFrame:
-    """Candidate rows ``id, start, end, term, label, category, distance`` before claims:
-    exploded n-grams and deletions, equi-joined with the forms."""
-    spark = df.sparkSession
-    exact, fuzzy = form_rows(spark, lexicon)
+    """Candidate rows ``id, at, n, term, label, category, distance`` before claims (tokens
+    ``at`` to ``at + n - 1``): exploded n-grams and deletions, equi-joined with the forms."""
+    exact, fuzzy = form_rows(df.sparkSession, lexicon)
     if len(lexicon.exact()) <= BROADCAST:
         exact, fuzzy = F.broadcast(exact), F.broadcast(fuzzy)
-    src = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    grams = []
-    for n in range(1, lexicon.longest + 1):
-        at = F.when(F.size("t") >= n, F.sequence(F.lit(0), F.size("t") - n)).otherwise(F.array().cast("array<int>"))
-        g = _windows(at, n)
-        grams.append(src.select("id", F.explode(g).alias("g")).select("id", "g.*", F.lit(n).alias("n")))
-    every = grams[0]
-    for g in grams[1:]:
-        every = every.unionByName(g)
-    hits = every.join(exact, "key").select("id", "start", "end", "term", "label", "category", F.lit(0).alias("distance"))
-    known = every.join(exact.select("key"), "key", "left_anti").where((F.col("n") == 1) & (F.length("key") >= FUZZY_LEAST))
-    near = known.select("id", "start", "end", F.col("key").alias("own"), F.explode(_deletions(F.col("key"))).alias("key")).join(fuzzy, "key")
-    best = near.groupBy("id", "start", "end").agg(F.min(F.struct(F.when(F.col("key") == F.col("own"), 0).otherwise(1).alias("d"), (-F.col("length")).alias("l"), "seq", "term", "label", "category")).alias("b"))
-    return hits.unionByName(best.select("id", "start", "end", "b.term", "b.label", "b.category", F.lit(1).alias("distance")))
-
-
-def _windows(at: Column, n: int) -> Column:
-    t = F.col("t")
-
-    def one(i):
-        return F.struct(F.get(t, i)["start"].alias("start"), F.get(t, i + (n - 1))["end"].alias("end"), F.concat(*[token_key(F.get(t, i + j)["value"]) for j in range(n)]).alias("key"))
-
-    return F.transform(at, one)
+    src = df.select(F.col(id_col).alias("id"), F.transform(token_values(F.col(text_col)), token_key).alias("k"))
+    sizes = F.array(*[F.lit(n) for n in range(1, lexicon.longest + 1)])
+    grams = src.select("id", "k", F.explode(sizes).alias("n")).where(F.size("k") >= F.col("n")).select("id", "k", "n", F.explode(F.sequence(F.lit(0), F.size("k") - F.col("n"))).alias("at"))
+    every = grams.select("id", "at", "n", F.array_join(F.slice("k", F.col("at") + 1, F.col("n")), "").alias("key"))
+    hits = every.join(exact, "key").select("id", "at", "n", "term", "label", "category", F.lit(0).alias("distance"))
+    known = every.where((F.col("n") == 1) & (F.length("key") >= FUZZY_LEAST)).join(exact.select("key"), "key", "left_anti")
+    near = known.select("id", "at", F.col("key").alias("own"), F.explode(_deletions(F.col("key"))).alias("key")).join(fuzzy, "key")
+    best = near.groupBy("id", "at").agg(F.min(F.struct(F.when(F.col("key") == F.col("own"), 0).otherwise(1).alias("d"), (-F.col("length")).alias("l"), "seq", "term", "label", "category")).alias("b"))
+    return hits.unionByName(best.select("id", "at", F.lit(1).alias("n"), "b.term", "b.label", "b.category", F.lit(1).alias("distance")))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.generalise import GENERALISERS, generalise
 from ..functions.masking import masked
-from ..functions.text import FINDINGS
+from ..functions.text import FINDINGS, aligned
 from ..operators import detectors as d
 from ..operators import residual, risk
 from ..operators.implication import implications
@@ -22,15 +22,15 @@ from .policy import CATEGORIES, Policy
 RANKS = {name: i for i, name in enumerate([*d.RANK, "organisation_name", "lexicon_term", "award_code", "job_title", "tenure", "team_size", "employment_status", "health_detail", "implication"])}
 
 
-def candidates(text: Column, policy: Policy, lexicon: Lexicon | None = None) -> list[Column]:
+def candidates(text: Column, folded: Column, policy: Policy, lexicon: Lexicon | None = None) -> list[Column]:
     """Columns of unresolved deterministic findings, one per family that is asked for."""
-    out = [d.detect(text, d.DOCUMENT, policy.categories)]
+    out = [d.detect(text, folded, d.DOCUMENT, policy.categories)]
     if policy.survey:
-        out.append(d.detect(text, (*d.ORGANISATION, *d.AWARD, *d.QUASI), policy.categories))
+        out.append(d.detect(text, folded, (*d.ORGANISATION, *d.AWARD, *d.QUASI), policy.categories))
         if policy.enabled("internal_term") or policy.enabled("award"):
             out.append(matches(text, lexicon if lexicon is not None else Lexicon.load()))
         if policy.enabled("implication"):
-            out.append(implications(text, policy.implicates))
+            out.append(implications(text, folded, policy.implicates))
     return out
 
 
@@ -40,8 +40,10 @@ def with_findings(df: DataFrame, column: str, policy: Policy = Policy(), out: st
     Null, empty and blank text has none.  Families are computed in projections of their
     own, so that no generated method grows past what the JVM compiles.
     """
-    text = F.coalesce(F.col(column), F.lit(""))
-    families = candidates(text, policy, lexicon)
+    raw = F.coalesce(F.col(column), F.lit(""))
+    df = df.withColumns({"_text": raw, "_folded": aligned(raw)})
+    text, folded = F.col("_text"), F.col("_folded")
+    families = candidates(text, folded, policy, lexicon)
     names = [f"_found{i}" for i in range(len(families))]
     df = df.withColumns(dict(zip(names, families, strict=True)))
     ok = lambda x: (x["confidence"] >= policy.min_confidence) & (x["category"].isin(*sorted(policy.categories)) if policy.categories is not None else F.lit(True))
@@ -49,10 +51,10 @@ def with_findings(df: DataFrame, column: str, policy: Policy = Policy(), out: st
     df = df.withColumn("_found", resolve(F.col("_found"), RANKS))
     if policy.nlp:
         least = max(policy.nlp_min_confidence, policy.min_confidence)
-        df = df.withColumn("_nlp", F.filter(d.detect(text, d.GAZETTEER, policy.categories), lambda x: x["confidence"] >= least))
+        df = df.withColumn("_nlp", F.filter(d.detect(text, folded, d.GAZETTEER, policy.categories), lambda x: x["confidence"] >= least))
         df = df.withColumn("_found", fill_gaps(F.col("_found"), F.col("_nlp"))).drop("_nlp")
     found = F.when(F.trim(text) == "", F.array().cast(FINDINGS)).otherwise(outside_placeholders(text, F.col("_found")))
-    return df.withColumn(out, found).drop("_found")
+    return df.withColumn(out, found).drop("_found", "_text", "_folded")
 
 
 def replacement(policy: Policy):
@@ -88,7 +90,10 @@ def redact(df: DataFrame, column: str, policy: Policy = Policy(), out: str = "re
 def scan(df: DataFrame, id_col: str, column: str, policy: Policy = Policy(), lexicon: Lexicon | None = None) -> DataFrame:
     """A finding a row: ``id_col, ordinal, start, end, category, ...``."""
     found = with_findings(df.select(id_col, column), column, policy, "findings", lexicon)
-    return found.select(id_col, F.posexplode("findings").alias("ordinal", "f")).select(id_col, "ordinal", "f.*")
+    names = ("start", "end", "category", "detector", "stage", "confidence", "value", "metadata")
+    each = F.transform("findings", lambda x, i: F.struct(i.alias("ordinal"), *[x[c].alias(c) for c in names]))
+    # inlined whole: an exploded struct's fields would be pruned into the array, which is then made once for each
+    return found.select(id_col, each.alias("findings")).select(id_col, F.inline("findings"))
 
 
 def text_columns(df: DataFrame) -> list[str]:
