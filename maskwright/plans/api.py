@@ -92,8 +92,9 @@ def scan(df: DataFrame, id_col: str, column: str, policy: Policy = Policy(), lex
     found = with_findings(df.select(id_col, column), column, policy, "findings", lexicon)
     names = ("start", "end", "category", "detector", "stage", "confidence", "value", "metadata")
     each = F.transform("findings", lambda x, i: F.struct(i.alias("ordinal"), *[x[c].alias(c) for c in names]))
-    # inlined whole: an exploded struct's fields would be pruned into the array, which is then made once for each
-    return found.select(id_col, each.alias("findings")).select(id_col, F.inline("findings"))
+    # outer, then without the empty ones: of an inner one the optimiser infers a filter on the
+    # array's size, pushes it down to the scan and there makes the whole array once more
+    return found.select(id_col, each.alias("findings")).select(id_col, F.inline_outer("findings")).where("start is not null")
 
 
 def text_columns(df: DataFrame) -> list[str]:

@@ -315,3 +315,99 @@ def residual_protect(spark, sf):
 @query("residual_summary", f"SELECT count(*) AS records, count(*) FILTER (a = 'pass') AS \"pass\", count(*) FILTER (a = 'generalise') AS generalise, count(*) FILTER (a = 'suppress') AS suppress, round(count(*) FILTER (a <> 'pass') / count(*), 4) AS escalation_rate, round(avg(cohort), 1) AS mean_cohort FROM (SELECT CAST(cohort AS DOUBLE) AS cohort, {ACTION} AS a FROM ({CASES}))")
 def residual_summary(spark, sf):
     return residual.summarise(residual.protect(read(spark, sf, "orders").select("o_orderkey", ZT().alias("t")), "t"))
+
+
+# ---- lexicon: terms as they are, as a phrase over two tokens, one letter off
+def _lex_text() -> tuple[Callable[[], Column], str]:
+    w = "CASE c_custkey % 4 WHEN 0 THEN 'timesheet' WHEN 1 THEN 'time sheet' WHEN 2 THEN 'timeshete' ELSE 'payslip' END"
+    return lambda: F.expr(f"concat('lost the ', {w}, ' x', c_custkey)"), w
+
+
+LT, LT_SQL = _lex_text()
+
+
+@query("lex_terms", f"SELECT c_custkey, CAST(CASE c_custkey % 4 WHEN 3 THEN 0 ELSE 1 END AS BIGINT) AS n, CASE c_custkey % 4 WHEN 0 THEN 'the timesheet' WHEN 1 THEN 'the time sheet' WHEN 2 THEN 'timeshete' END AS value, c_custkey % 4 = 2 AS fuzzy FROM (SELECT c_custkey, {LT_SQL} AS w FROM customer)")
+def lex_terms(spark, sf):
+    from ..operators.lexicon import Lexicon, matches
+
+    m = read(spark, sf, "customer").select("c_custkey", LT().alias("t")).select("c_custkey", matches(F.col("t"), Lexicon.load()).alias("m"))
+    first = F.get("m", F.lit(0))
+    return m.select("c_custkey", F.size("m").cast("long").alias("n"), first["value"].alias("value"), F.coalesce(first["metadata"]["fuzzy"] == "true", F.lit(False)).alias("fuzzy"))
+
+
+@query("lex_joined", f"SELECT c_custkey, 'timesheet' AS term, CAST(c_custkey % 4 = 2 AS BIGINT) AS distance, count(*) AS n FROM (SELECT c_custkey FROM customer WHERE c_custkey % 4 < 3 UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 4 < 2) GROUP BY ALL")
+def lex_joined(spark, sf):
+    from ..operators.lexicon import Lexicon, join_matches
+
+    df = read(spark, sf, "customer").select("c_custkey", LT().alias("t"))
+    return join_matches(df, "c_custkey", "t", Lexicon.load()).groupBy(F.col("id").alias("c_custkey"), "term", F.col("distance").cast("long").alias("distance")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- survey detectors on carried sentences, one of each by key
+SENTENCES = (
+    ("job_title", "I am a registered nurse", "registered nurse"), ("tenure", "after 18 years of service I left", "18 years of service"), ("team_size", "our team of five does it all", "five"), ("employment_status", "I am casual here", "casual"),
+    ("health_detail", "my anxiety grew", "anxiety"), ("organisation_name", "I was at Wirrin Pty Ltd then", "Wirrin Pty Ltd"), ("award", "under MA000077 we are paid", "MA000077"), ("implication", "no one else", "no one else"),
+    ("implication", "I hold a security clearance", "I hold a security clearance"), ("implication", "pay grade 7 increment", "pay grade 7 increment"),
+)
+_PICK = lambda i: "CASE s_suppkey % 10 " + " ".join(f"WHEN {k} THEN '{row[i]}'" for k, row in enumerate(SENTENCES)) + " END"
+
+
+@query("survey_detectors", f"SELECT s_suppkey, {_PICK(0)} AS category, {_PICK(2)} AS value FROM supplier")
+def survey_detectors(spark, sf):
+    df = read(spark, sf, "supplier").select("s_suppkey", F.expr(_PICK(1)).alias("t"), F.expr(_PICK(0)).alias("want"))
+    found = scan(df.select("s_suppkey", "t"), "s_suppkey", "t", Policy(survey=True)).join(df.select("s_suppkey", "want"), "s_suppkey")
+    return found.where("category = want").select("s_suppkey", "category", "value")
+
+
+GAZ = (("name", "Name: Jane Smith, here", "Jane Smith"), ("location", "I am based in Hobart, mostly", "Hobart"), ("age", "she is 44 years old now", "44"), ("gender", "Sex: female", "female"))
+_GAZ = lambda i: "CASE s_suppkey % 4 " + " ".join(f"WHEN {k} THEN '{row[i]}'" for k, row in enumerate(GAZ)) + " END"
+
+
+@query("gazetteer", f"SELECT s_suppkey, {_GAZ(0)} AS category, {_GAZ(2)} AS value FROM supplier")
+def gazetteer(spark, sf):
+    df = read(spark, sf, "supplier").select("s_suppkey", F.expr(_GAZ(1)).alias("t"))
+    return scan(df, "s_suppkey", "t", Policy(nlp=True, categories=frozenset(("name", "location", "age", "gender")))).select("s_suppkey", "category", "value")
+
+
+# ---- overlaps: the longest wins, a card over the phone-like digits within
+@query("resolve_longest", f"SELECT c_custkey, 'street_address' AS category, value FROM (SELECT c_custkey, '12 ' || CASE c_custkey % 2 WHEN 0 THEN 'Wattle' ELSE 'Banksia Creek' END || ' Road' AS value FROM customer)")
+def resolve_longest(spark, sf):
+    t = F.expr("concat('at 12 ', CASE c_custkey % 2 WHEN 0 THEN 'Wattle' ELSE 'Banksia Creek' END, ' Road')")
+    return scan(read(spark, sf, "customer").withColumn("t", t), "c_custkey", "t").select("c_custkey", "category", "value")
+
+
+# ---- survey, triage, evaluation, context
+@query("redact_conversations_triage")
+def redact_conversations_triage(spark, sf):
+    from .api import redact_frame
+
+    df = read(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    return redact_frame(df, ["text"]).groupBy("text_risk_band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("text_needs_review").cast("long")).alias("review"))
+
+
+@query("events_windowed_triage", "SELECT time_bucket(INTERVAL '10 minutes', ts) AS window_start, CASE WHEN value >= 75 THEN 'critical' WHEN value >= 50 THEN 'high' WHEN value >= 25 THEN 'moderate' ELSE 'low' END AS band, count(*) AS n FROM events GROUP BY ALL")
+def events_windowed_triage(spark, sf):
+    from ..streaming import triage_counts
+
+    return triage_counts(read(spark, sf, "events"), "ts", risk.band(F.col("value") / 100))
+
+
+@query("eval_recall_by_kind_form")
+def eval_recall_by_kind_form(spark, sf):
+    from .corpus import generate, outcomes, recall
+
+    return recall(outcomes(generate(spark, 400)))
+
+
+@query("eval_overredaction")
+def eval_overredaction(spark, sf):
+    from .corpus import generate, over_redaction
+
+    return over_redaction(generate(spark, 400))
+
+
+@query("ctx_rule_counts")
+def ctx_rule_counts(spark, sf):
+    from ..operators.context import context_findings, rule_counts
+
+    return rule_counts(context_findings(read(spark, sf, "documents"), "doc_id", "text"))

@@ -1 +1,41 @@
-"""sources of the maskwright engine."""
+"""Inputs and outputs of the engine."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+SURVEY = T.StructType([T.StructField(c, T.StringType()) for c in ("ResponseID", "StartDate", "EndDate", "IPAddress", "Instrument", "Consent", *(f"Q{i}" for i in range(1, 6)))])
+
+
+def read_ndjson(spark: SparkSession, path: str, schema: T.StructType = SURVEY) -> DataFrame:
+    """A record a line, by a given schema; a bad line fails the read, blank lines are no rows."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``path, text``: a row per file."""
+    return spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
+def string_leaves(df: DataFrame, id_col: str) -> DataFrame:
+    """``id_col, path, text``: every string in a nested row, by walking the schema; array
+    elements have their index in the path."""
+
+    def walk(kind: T.DataType, at: Column, path: Column) -> Column:
+        none = F.array().cast("array<struct<path:string,text:string>>")
+        if isinstance(kind, T.StringType):
+            return F.when(at.isNotNull(), F.array(F.struct(path.alias("path"), at.alias("text")))).otherwise(none)
+        if isinstance(kind, T.StructType):
+            return F.flatten(F.array(none, *[walk(f.dataType, at[f.name], F.concat(path, F.lit("." + f.name))) for f in kind]))
+        if isinstance(kind, T.ArrayType):
+            return F.coalesce(F.flatten(F.transform(at, lambda x, i: walk(kind.elementType, x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))), none)
+        return none
+
+    each = F.flatten(F.array(*[walk(f.dataType, F.col(f"`{f.name}`"), F.lit(f.name)) for f in df.schema if f.name != id_col]))
+    return df.select(id_col, F.explode(each).alias("x")).select(id_col, "x.*")
+
+
+def write_ndjson(df: DataFrame, path: str) -> None:
+    df.write.mode("error").json(path)

@@ -1 +1,27 @@
-"""streaming of the maskwright engine."""
+"""The same expressions over streams: redaction is a projection, triage a windowed count."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..plans.api import persistable, redact_frame
+from ..plans.policy import Policy
+
+
+def redact_stream(stream: DataFrame, columns: list[str], policy: Policy | None = None) -> DataFrame:
+    """Redacts text columns of a streaming DataFrame; originals and findings are left out."""
+    return persistable(redact_frame(stream, columns, policy), columns)
+
+
+def triage_counts(df: DataFrame, time: str, band: Column, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
+    """Records per window and risk band; what comes later than ``late`` is left out."""
+    src = df.withWatermark(time, late) if df.isStreaming else df
+    out = src.groupBy(F.window(time, window).alias("w"), band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    return out.select(F.col("w.start").alias("window_start"), "band", "n")
+
+
+def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Parquet, each input once however often the query restarts."""
+    return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
