@@ -39,7 +39,21 @@ def table(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: smaller than a checkpoint."""
     at = shared_path(df.sparkSession, "table")
     df.write.parquet(at)
-    return df.sparkSession.read.parquet(at)
+    out = df.sparkSession.read.parquet(at)
+    _tables[id(out)] = at
+    return out
+
+
+_tables: dict[int, str] = {}
+
+
+def release(df: DataFrame) -> None:
+    """Deletes what :func:`table` wrote for ``df``, which nothing reads any more."""
+    at = _tables.pop(id(df), None)
+    if at:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shared_path(spark: SparkSession, what: str) -> str:

@@ -9,13 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, release, table
 from .components import components
 from .sketch import encode, summed, total
 from .words import mix, shingles, word_hashes
 
 BUCKETS = 1 << 20
 FRAGMENTS = 4
+FEW = 500_000  # pairs up to which they are broadcast, so that only the segments they need move
 U32 = np.uint64(32)
 
 
@@ -136,7 +137,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     seed = 0
     while True:  # a digest that two different sets share is found by the other one; another seed parts them
-        first = cut(nodes_of(seed))
+        first = table(nodes_of(seed))
         rows = first.where("counts is null").drop("counts")
         if rows.where("n > 0").groupBy("node").agg((F.min("check") != F.max("check")).alias("clash")).where("clash").isEmpty():
             break
@@ -147,49 +148,54 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def prefixes(batches):
         o = order.value
         for batch in batches:
-            cols = [[], [], []]
+            cols = [[], [], [], []]
             for _, s in _sets(batch, words):
                 if len(s):
                     p, _l = prefix_length(len(s), percent)
                     key = o.keys(s)
-                    rare = s if p == len(s) else s[key <= np.partition(key, p - 1)[p - 1]]  # ties of the key come along
-                    cols[0].append(rare)
-                    cols[1].append(np.full(len(rare), _node(s, seed)[0], np.int64))
-                    cols[2].append(np.full(len(rare), len(s), np.int32))
+                    mine = np.argsort(key, kind="stable")[:p]  # by key, then hash, which is how s stands
+                    cols[0].append(s[mine])
+                    cols[1].append(np.full(p, _node(s, seed)[0], np.int64))
+                    cols[2].append(np.full(p, len(s), np.int32))
+                    cols[3].append(np.arange(p, dtype=np.int32))
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([_long(np.concatenate(cols[0])), pa.array(np.concatenate(cols[1])), pa.array(np.concatenate(cols[2]))], names=["gram", "node", "n"])
+                yield pa.RecordBatch.from_arrays([_long(np.concatenate(cols[0])), *[pa.array(np.concatenate(c)) for c in cols[1:]]], names=["gram", "node", "n", "pos"])
 
     def shared(batches):
         """Of rows sorted by gram and node, one per pair of them, of grams that several nodes have."""
         last = None  # the last row, and whether it was sent
         for batch in batches:
-            g, node, n = (np.asarray(c) for c in batch.columns)
+            g, node, n, pos = (np.asarray(c) for c in batch.columns)
             if not len(g):
                 continue
             if last is not None:
-                g, node, n = (np.concatenate([[x], y]) for x, y in zip(last[:3], (g, node, n), strict=True))
+                g, node, n, pos = (np.concatenate([[x], y]) for x, y in zip(last[:4], (g, node, n, pos), strict=True))
             new = np.ones(len(g), bool)
             new[1:] = (g[1:] != g[:-1]) | (node[1:] != node[:-1])
-            g, node, n = g[new], node[new], n[new]
+            g, node, n, pos = g[new], node[new], n[new], pos[new]
             again = np.zeros(len(g), bool)
             again[1:] = g[1:] == g[:-1]
             again[:-1] |= again[1:].copy()
-            sent = bool(again[-1]) or (len(g) == 1 and last is not None and last[3])
-            if last is not None and last[3]:
+            sent = bool(again[-1]) or (len(g) == 1 and last is not None and last[4])
+            if last is not None and last[4]:
                 again[0] = False
-            last = (g[-1], node[-1], n[-1], sent)
-            yield pa.RecordBatch.from_arrays([pa.array(g[again]), pa.array(node[again]), pa.array(n[again].astype(np.int32))], names=["gram", "node", "n"])
+            last = (g[-1], node[-1], n[-1], pos[-1], sent)
+            yield pa.RecordBatch.from_arrays([pa.array(g[again]), pa.array(node[again]), pa.array(n[again].astype(np.int32)), pa.array(pos[again].astype(np.int32))], names=["gram", "node", "n", "pos"])
 
     share = lambda n: F.least(F.ceil(n * percent / 100), 1 + F.floor(n / 20))  # noqa: E731  of prefix_length
-    kinds = "gram long, node long, n int"
+    kinds = "gram long, node long, n int, pos int"
     dealt = src.mapInArrow(prefixes, kinds).repartition("gram").sortWithinPartitions("gram", "node")
-    some = cut(dealt.mapInArrow(shared, kinds))
+    some = table(dealt.mapInArrow(shared, kinds))
     # a node that links with any shares at least so many of its rare shingles
     enough = some.groupBy("node").agg(F.count(F.lit(1)).alias("g"), F.first("n").alias("n")).where(F.col("g") >= share(F.ceil(F.col("n") * percent / 100)))
-    posts = cut(some.join(enough.select("node"), "node", "left_semi"))
+    posts = table(some.join(enough.select("node"), "node", "left_semi").select("gram", "node", "n", "pos"))
+    release(some)
 
     least = F.least
-    close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    # a link's sets are close in size, and its first shared shingles stand early enough in both
+    # that what comes after can still make up the overlap it needs
+    need = (F.col("na") + F.col("nb")) * percent / (100 + percent)
+    close = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (least(share(F.col("na")), share(F.col("nb"))) - 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need - 1e-6)
 
     wanted = posts.select("node").distinct()
     bits = 1 << min(27, max(16, (8 * wanted.count()).bit_length()))  # a filter of at most 16 MB, without false absences
@@ -226,8 +232,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.int64())], names=["a", "b", "na", "nb", "part"])
 
-        sa, sb = segs.toDF("a", "frag", "sa"), segs.toDF("b", "frag", "sb")
-        both = pairs.join(sa, "a").join(sb, ["b", "frag"]).select("a", "b", "na", "nb", "sa", "sb")
+        few = pairs.count() <= FEW
+        hint = F.broadcast if few else lambda x: x
+        sa = segs.toDF("a", "frag", "sa").join(hint(pairs), "a")
+        sb = segs.toDF("b", "frag", "sb").join(hint(pairs.select("b").distinct()), "b", "left_semi")
+        both = sa.join(sb, ["b", "frag"]).select("a", "b", "na", "nb", "sa", "sb")
         parts = both.mapInArrow(overlaps, "a long, b long, na int, nb int, part long")
         total = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("o"))
         return total.where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
@@ -237,7 +246,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         """Each node with the centre of a gram, where they meet at a few grams at least."""
         mid = rows.groupBy("gram").agg(centre.alias("c"))
         meet = rows.join(mid, "gram").where("node <> c.node")
-        pair = meet.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), F.when(F.col("node") < F.col("c.node"), F.col("n")).otherwise(F.col("c.n")).alias("na"), F.when(F.col("node") < F.col("c.node"), F.col("c.n")).otherwise(F.col("n")).alias("nb"))
+        pair = meet.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), F.when(F.col("node") < F.col("c.node"), F.col("n")).otherwise(F.col("c.n")).alias("na"), F.when(F.col("node") < F.col("c.node"), F.col("c.n")).otherwise(F.col("n")).alias("nb"), F.when(F.col("node") < F.col("c.node"), F.col("pos")).otherwise(F.col("c.pos")).alias("pa"), F.when(F.col("node") < F.col("c.node"), F.col("c.pos")).otherwise(F.col("pos")).alias("pb"))
         return pair.where(close).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("g")).where(F.col("g") * 4 >= least(share(F.col("na")), share(F.col("nb")))).drop("g")
 
     def classes(links: DataFrame) -> DataFrame:
@@ -245,9 +254,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def open_rows(rows: DataFrame, cls: DataFrame) -> DataFrame:
         """Rows of the grams that nodes of several classes have."""
-        named = rows.drop("class").join(cls, "node", "left").select("gram", "node", "n", "rank", F.coalesce("class", "node").alias("class"))
+        named = rows.drop("class").join(cls, "node", "left").select("gram", "node", "n", "pos", "rank", F.coalesce("class", "node").alias("class"))
         several = named.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("gram")
-        return cut(named.join(several, "gram", "left_semi"))
+        return table(named.join(several, "gram", "left_semi").select("gram", "node", "n", "pos", "rank", "class"))
 
     # rows that repeat an id tie their nodes together
     same_id = rows.where("n > 0 and id is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("id", "a")
@@ -255,9 +264,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     size = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("m"))
     rank = posts.join(size, "gram").groupBy("node").agg((F.sum("m") / F.first("n")).alias("rank"))
-    left = cut(posts.join(rank, "node"))
+    left = table(posts.join(rank, "node"))
     tested = None
-    by = lambda x: F.max(F.struct(x.alias("x"), "node", "n"))
+    by = lambda x: F.max(F.struct(x.alias("x"), "node", "n", "pos"))
     for centre in (by(F.col("rank")), by(F.xxhash64("node")), by(F.xxhash64("node", F.lit(1)))):
         pairs = star(left, centre)
         pairs = cut(pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
@@ -265,9 +274,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             tested = pairs if tested is None else tested.union(pairs)
             links = cut(links.union(verified(pairs)))
         cls = classes(links)
-        left = open_rows(left, cls)
+        left, old = open_rows(left, cls), left
+        release(old)
     tested = tested if tested is not None else posts.selectExpr("node as a", "node as b").limit(0)
-    x, y = left.drop("rank").toDF("gram", "a", "na", "ca"), left.drop("rank").toDF("gram", "b", "nb", "cb")
+    x, y = left.drop("rank").toDF("gram", "a", "na", "pa", "ca"), left.drop("rank").toDF("gram", "b", "nb", "pb", "cb")
     rest = x.join(y, "gram").where("a < b and ca <> cb").where(close).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("g"))
     rest = rest.where(F.col("g") >= least(share(F.col("na")), share(F.col("nb")))).join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb")
     rest = cut(rest)
