@@ -29,7 +29,7 @@ WORDS = frozenset(
     "ad ads adslot advert advertisement advertising adverts alert alertdialog banner breadcrumb breadcrumbs byline cc comment comments commentlist complementary consent contentinfo cookie cookies dialog discussion disclaimer disqus footer form gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion reactions recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar widget widgets".split()
 )
 NEGATED = frozenset(("no", "with", "has", "without", "open"))
-SHARED = 0.5  # pages of which the lines shared reach this are copies, not neighbours
+LEFT = 0.1  # a page of which at most this share of the main characters is left is a copy
 
 
 def _other(tag: str, attrs: str) -> bool:
@@ -183,23 +183,83 @@ def _common(a: str, b: str) -> int:
     return n
 
 
+def _left(page: tuple, gone: np.ndarray) -> bool:
+    """Whether more is left of the page than a copy of the other page has."""
+    size = page[4]
+    return size[~gone].sum() > LEFT * size.sum()
+
+
+def is_copy(page: tuple, other: tuple | None) -> bool:
+    """Whether the page has all or nearly all of its main lines from a page of its host."""
+    if other is None or page[0] != other[0]:
+        return False
+    if _left(page, np.isin(page[3], other[2])):  # the subsequence has no more than these
+        return False
+    return not _left(page, lcs(page[3], other[2]))
+
+
 def shared_lines(page: tuple, neighbours: list[tuple | None]) -> list[int]:
     """Numbers of the page's main lines that its nearest neighbour has too.
 
     page and neighbours: (host, path, all lines' hashes, main lines' hashes, main lines'
     characters, which are protected).  The nearest is the one of the same host with
-    the longest common path; one that shares half of the main text is a copy of the
-    page, of which nothing can be learnt, and the next is taken.
+    the longest common path; one that leaves nearly nothing of the page is a copy of
+    it, of which nothing can be learnt, and the next is taken.  How much is shared does
+    not matter as long as something is left.
     """
-    host, path, _, own, size, safe = page
+    host, path, _, own, _, safe = page
+    if safe.all():
+        return []
     near = sorted((x for x in neighbours if x is not None and x[0] == host), key=lambda x: -_common(path, x[1]))
     for x in near:
         gone = lcs(own, x[2])
-        if size[gone].sum() < SHARED * max(1, size.sum()):
+        if _left(page, gone):
             return np.flatnonzero(gone & ~safe).tolist()
     return []
 
 
+def neighbours_of(pages: Iterator[tuple], before: tuple | None, outer: tuple | None, after: tuple | None, beyond: tuple | None) -> Iterator[tuple]:
+    """(key, page, [nearest page before, nearest after]) of (key, page) in order, over runs
+    of copies in both directions: the neighbour of a copy of the page beside it is the
+    neighbour of that page.
+
+    before and outer: the page before the first and that page's own neighbour before;
+    after and beyond: the same behind the last.  Pages wait while they are copies of
+    the page behind them.
+    """
+    waiting: list[tuple] = []
+    last, link = before, outer
+    for key, page in pages:
+        link = link if is_copy(page, last) else last
+        if waiting and not is_copy(waiting[-1][1], page):
+            yield from ((k, x, [b, page]) for k, x, b in waiting)
+            waiting = []
+        waiting.append((key, page, link))
+        last = page
+    if waiting:
+        end = beyond if is_copy(waiting[-1][1], after) else after
+        yield from ((k, x, [b, end]) for k, x, b in waiting)
+
+
+def beside(edges: dict[int, dict[int, tuple]]) -> dict[int, tuple]:
+    """(before, outer, after, beyond) for each partition, see :func:`neighbours_of`.
+
+    edges: partition -> {0: first page, 1: last page, 2: the nearest page before the last
+    and 3: behind the first that the partition itself has for them}.
+    """
+    parts = sorted(edges)
+    sides: list[list[tuple]] = []
+    for order, near, far, inner in ((parts, 0, 1, 2), (parts[::-1], 1, 0, 3)):
+        got, page, link = [], None, None
+        for p in order:
+            got.append((page, link))
+            e = edges[p]
+            link = e[inner] if inner in e else link if is_copy(e[near], page) else page
+            page = e[far]
+        sides.append(got)
+    return {p: (*x, *y) for p, x, y in zip(parts, sides[0], sides[1][::-1], strict=True)}
+
+
 SMALL = 200_000  # pages with deleted lines up to which their list is broadcast
 
 
@@ -208,16 +268,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Markup rules leave the blocks of the article (:func:`blocks`, :func:`main_blocks`).
     Then pages are paired by URL path within each host: sorted by (host, path), each
-    with the nearer of the pages before and after it.  Their lines are aligned by
-    longest common subsequence, and what both have is deleted, except lines inside an
+    with the nearer of the pages before and after it, past any run of copies of it
+    (:func:`neighbours_of`).  Their lines are aligned by longest common subsequence, and what both have is deleted, except lines inside an
     explicit ``article`` or ``main``: those are content even where two pages share
     them (quoted passages, licence lines), so differencing decides only where markup
     does not.
 
     Only line hashes are sorted and sent; a host that has a third of all pages is
-    spread over tasks by path.  The first and last page of each sorted partition (two
-    short rows each) go through the driver, so the pairs don't depend on how the
-    pages are dealt.  Deleted lines join back to the pages: broadcast up to SMALL
+    spread over tasks by path.  The first and last page of each sorted partition and
+    their neighbours in it (four short rows at most) go through the driver, so the pairs
+    don't depend on how the pages are dealt.  Deleted lines join back to the pages: broadcast up to SMALL
     pages with any, else by a shuffle.
 
     Returns ``id_col, url_col, text, n_chars`` per row.  Null html is empty: text "".
@@ -250,46 +310,52 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         return (v[0], v[1], np.frombuffer(v[2], np.uint64), np.frombuffer(v[3], np.uint64), np.frombuffer(v[4], np.int32), np.frombuffer(v[5], np.uint8).astype(bool))
 
     def ends(batches):
-        first = last = None
+        rows: dict[int, pa.RecordBatch] = {}
+        first = last = link = None  # link: the row of the last page's neighbour before
+        run = False  # all pages so far are copies of the page behind them
         for batch in batches:
-            if len(batch):
-                first = first if first is not None else batch.slice(0, 1)
-                last = batch.slice(len(batch) - 1, 1)
+            for i in range(len(batch)):
+                page, row = facts(batch, i), batch.slice(i, 1)
+                if first is None:
+                    first, run, rows[0] = page, True, row
+                else:
+                    link = link if is_copy(page, last) else rows[1]
+                    if run and not is_copy(last, page):
+                        run, rows[3] = False, row
+                last, rows[1] = page, row
         if first is not None:
+            if link is not None:
+                rows[2] = link
             p = TaskContext.get().partitionId()
-            t = pa.Table.from_batches([first, last])
-            yield pa.RecordBatch.from_arrays([pa.array([p, p], pa.int32()), pa.array([0, 1], pa.int32()), *[t.column(c).combine_chunks() for c in range(2, 8)]], names=["part", "last", *t.schema.names[2:]])
-
-    edge_rows = ordered.mapInArrow(ends, "part int, last int, host string, path string, every binary, main binary, size binary, safe binary").collect()
-    firsts, lasts = ({r[0]: tuple(r)[2:] for r in edge_rows if r[1] == v} for v in (0, 1))
-    parts = sorted(firsts)
-    beside = {p: (lasts[parts[i - 1]] if i else None, firsts[parts[i + 1]] if i + 1 < len(parts) else None) for i, p in enumerate(parts)}
-    edges = pages.sparkSession.sparkContext.broadcast(beside)
+            t = pa.Table.from_batches(list(rows.values()))
+            yield pa.RecordBatch.from_arrays([pa.array([p] * len(rows), pa.int32()), pa.array(list(rows), pa.int32()), *[t.column(c).combine_chunks() for c in range(2, 8)]], names=["part", "place", *t.schema.names[2:]])
 
     def of_row(v):
-        return None if v is None else (v[0], v[1], np.frombuffer(bytes(v[2]), np.uint64), np.frombuffer(bytes(v[3]), np.uint64), np.frombuffer(bytes(v[4]), np.int32), np.frombuffer(bytes(v[5]), np.uint8).astype(bool))
+        return (v[0], v[1], np.frombuffer(bytes(v[2]), np.uint64), np.frombuffer(bytes(v[3]), np.uint64), np.frombuffer(bytes(v[4]), np.int32), np.frombuffer(bytes(v[5]), np.uint8).astype(bool))
+
+    found_ends: dict[int, dict[int, tuple]] = {}
+    for r in ordered.mapInArrow(ends, "part int, place int, host string, path string, every binary, main binary, size binary, safe binary").collect():
+        found_ends.setdefault(r[0], {})[r[1]] = of_row(tuple(r)[2:])
+    edges = pages.sparkSession.sparkContext.broadcast(beside(found_ends))
 
     def differ(batches):
-        before, after = (of_row(v) for v in edges.value.get(TaskContext.get().partitionId(), (None, None)))
-        held: list = [None, before]  # (key, page) that waits for its successor, and what came before it
-        key, page = None, None
+        def each():
+            for batch in batches:
+                for i in range(len(batch)):
+                    yield (batch.column(0)[i], batch.column(1)[i]), facts(batch, i)
 
         def rows(found):
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in found], batch.schema.field(0).type), pa.array([k[1] for k, _ in found], pa.int64()), pa.array([g for _, g in found], pa.list_(pa.int32()))], names=["id", "tag", "gone"])
-
-        batch = None
-        for batch in batches:
-            found = []
-            for i in range(len(batch)):
-                new = facts(batch, i)
-                if page is not None:
-                    if gone := shared_lines(page, [held[1], new]):
-                        found.append((key, gone))
-                    held[1] = page
-                key, page = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py()), new
+            return pa.RecordBatch.from_arrays([pa.array([k[0].as_py() for k, _ in found], found[0][0][0].type), pa.array([k[1].as_py() for k, _ in found], pa.int64()), pa.array([g for _, g in found], pa.list_(pa.int32()))], names=["id", "tag", "gone"])
+
+        found = []
+        for key, page, near in neighbours_of(each(), *edges.value.get(TaskContext.get().partitionId(), (None,) * 4)):
+            if gone := shared_lines(page, near):
+                found.append((key, gone))
+            if len(found) == 10_000:
+                yield rows(found)
+                found = []
+        if found:
             yield rows(found)
-        if page is not None and (gone := shared_lines(page, [held[1], after])):
-            yield rows([(key, gone)])
 
     gone = cut(ordered.mapInArrow(differ, T.StructType([slim["id"], slim["tag"], T.StructField("gone", T.ArrayType(T.IntegerType()))])).dropDuplicates(["id", "tag"]))
     few = gone.count() <= SMALL

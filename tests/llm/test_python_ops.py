@@ -227,6 +227,36 @@ def test_nearest_pages_lose_shared_lines(spark):
     assert H.extract(pages.limit(0)).count() == 0
 
 
+def test_short_articles_lose_a_long_shared_block(spark):
+    terms = "".join(f"<p>{'terms of the site ' * 4}{k}</p>" for k in range(4))
+    page = lambda k: f"<body>{terms}<p>" + f"story {k} " * 15 + "</p></body>"
+    got = {r.page_id: r.text for r in H.extract(frame_of_pages(spark, [(k, f"http://h.example/{k}", page(k)) for k in range(6)])).collect()}
+    assert got == {k: ("story %d " % k * 15).strip() for k in range(6)}
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_runs_of_copies_lose_what_distinct_pages_share(spark, parts):
+    bar = "<p>Welcome to the site</p>"
+    page = lambda k, end="": f"<body>{bar}<p>" + f"story {k} " * 40 + f"</p>{end}</body>"
+    rows = [(0, "http://h.example/a", page(0)), *[(i, f"http://h.example/b/{i}", page(1)) for i in range(1, 10)], *[(i, f"http://h.example/c/{i}", page(2, f"<p>on {i}</p>")) for i in range(10, 16)]]
+    rows += [(i, f"http://o.example/{i}", page(3)) for i in range(20, 24)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.page_id: r.text for r in H.extract(frame_of_pages(spark, rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    story = lambda k: ("story %d " % k * 40).strip()
+    want = {0: story(0), **{i: story(1) for i in range(1, 10)}, **{i: f"{story(2)}\n\non {i}" for i in range(10, 16)}}
+    assert got == want | {i: "Welcome to the site\n\n" + story(3) for i in range(20, 24)}  # nothing but copies
+
+
+def frame_of_pages(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+
+
 def test_block_max_wand_brute_force(spark):
     r = random.Random(4)
     vocab = ["the", "of", "a", *[f"w{i}" for i in range(300)]]
