@@ -179,6 +179,43 @@ def test_kneser_ney_brute_force(spark):
     assert (model.tokens, model.vocab) == (n, v)
 
 
+def test_kneser_ney_of_order_three_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(L, "PAIR_PART", 700)  # several files
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choice(["the", "of", "a", *[f"w{int(r.expovariate(0.1))}" for _ in range(3)]]) for _ in range(r.randint(0, 60)))) for i in range(80)] + [(200, None), (201, "é unseen the of the"), (3, "again"), (204, "the of " * 900)]
+    docs = frame(spark, rows)
+    model = L.train(docs.where(~L.held_out(docs.doc_id)), order=3)
+    got = Counter((x.doc_id, round(x.score, 6)) for x in L.perplexity(docs, model).collect())
+    tok = lambda t: ["<s>", *(t or "").lower().split(), "</s>"]
+    train = [tok(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    c3, c2 = (Counter(g for t in train for g in zip(*[t[j:] for j in range(n)])) for n in (3, 2))
+    a2 = Counter((v, w) for _, v, w in c3) + Counter({g: k for g, k in c2.items() if g[0] == "<s>"})
+    a1 = Counter(w for _, w in c2)
+    d3, d2, d1 = (L.discounts([sum(1 for k in x.values() if k == i) for i in (1, 2, 3, 4)]) for x in (c3, a2, a1))
+    less = lambda k, d: max(k - d[min(k, 3) - 1], 0) if k else 0
+    rest = lambda counts, d: sum(d[min(k, 3) - 1] for k in counts)
+    vocab, after2, after3 = len({w for t in train for w in t[1:]}), defaultdict(dict), defaultdict(dict)
+    for (v, w), k in a2.items():
+        after2[v][w] = k
+    for (u, v, w), k in c3.items():
+        after3[u, v][w] = k
+
+    def p(context, w):
+        low = (less(a1[w], d1) + rest(a1.values(), d1) / (vocab + 1)) / len(c2)
+        for table, d in ((after2[context[-1]], d2), (after3[context] if len(context) == 2 else {}, d3)):
+            if table:
+                low = (less(table.get(w, 0), d) + rest(table.values(), d) * low) / sum(table.values())
+        return low
+
+    assert sum(p(("the", "of"), w) for w in [*a1, "@"]) == pytest.approx(1)
+    assert got == Counter((i, round(sum(math.log10(p(tuple(tok(t)[max(0, j - 2) : j]), tok(t)[j])) for j in range(1, len(tok(t)))), 6)) for i, t in rows)
+    assert max(c3.values()) > 255 and len(model.tfiles) > 1
+    empty = L.train(frame(spark, []), order=3)
+    assert L.perplexity(frame(spark, [(1, "a b")]), empty).first().score == 0.0
+    ends = L.train(frame(spark, [(1, ""), (2, None)]), order=3)  # pairs, and no triple
+    assert L.perplexity(frame(spark, [(1, "a b"), (2, "")]), ends).count() == 2
+
+
 def test_kneser_ney_without_training(spark):
     model = L.train(frame(spark, []))
     row = L.perplexity(frame(spark, [(1, "a b")]), model).first()
