@@ -1,6 +1,7 @@
 """Detectors, resolution, rewriting, risk, residual and context on records with known results."""
 
 import pytest
+from maskwright.functions import checks as ck
 from maskwright.operators import context, residual
 from maskwright.operators.lexicon import Lexicon, Term, join_matches
 from maskwright.plans.api import free_text_columns, persistable, redact, redact_frame, scan, summary
@@ -142,6 +143,16 @@ def test_context_rules(spark):
         context.validate((context.Rule("X", "x", (("nope",),)),))
 
 
+def test_every_injector_is_planted(spark):
+    rows = generate(spark, 600).select(F.explode("secrets").alias("s")).select("s.*").collect()
+    wanted = "phone email tfn acn medicare date_au organisation_name implication credit_card bsb site implication_workplace third_party suburb aps_unit aps_level public_role seniority_in_unit government_act workplace_type cohort clearance"
+    assert set(wanted.split()) <= {r.kind for r in rows}
+    assert {r.kind for r in rows if r.form == "leet"} == {"implication", "site", "implication_workplace"}
+    assert all(any(c.isdigit() for c in r.literal) for r in rows if r.form == "leet")
+    cards = spark.createDataFrame([(r.literal,) for r in rows if r.kind == "credit_card"], "v string")
+    assert cards.where(~ck.luhn(F.col("v"))).count() == 0
+
+
 def test_generated_recall(spark):
     made = generate(spark, 150).cache()
     out = outcomes(made)
