@@ -381,8 +381,8 @@ def resolve_longest(spark, sf):
 def redact_conversations_triage(spark, sf):
     from .api import redact_frame
 
-    df = read(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
-    return redact_frame(df, ["text"]).groupBy("text_risk_band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("text_needs_review").cast("long")).alias("review"))
+    df = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return redact_frame(df, ["text"]).groupBy("role", "text_risk_band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("text_needs_review").cast("long")).alias("review"))
 
 
 @query("events_windowed_triage", "SELECT time_bucket(INTERVAL '10 minutes', ts) AS window_start, CASE WHEN value >= 75 THEN 'critical' WHEN value >= 50 THEN 'high' WHEN value >= 25 THEN 'moderate' ELSE 'low' END AS band, count(*) AS n FROM events GROUP BY ALL")

@@ -7,6 +7,7 @@ from maskwright.operators.lexicon import Lexicon, Term, join_matches
 from maskwright.plans.api import free_text_columns, persistable, redact, redact_frame, scan, summary
 from maskwright.plans.corpus import generate, outcomes, recall, report
 from maskwright.plans.policy import Policy, survey_policy
+from maskwright.plans.queries import redact_conversations_triage
 from pyspark.sql import functions as F
 
 FOUND = {
@@ -143,6 +144,13 @@ def test_context_rules(spark):
         context.validate((context.Rule("X", "x", (("nope",),)),))
 
 
+def test_triage_covers_every_role(spark, tmp_path):
+    rows = [(1, 0, "system", "be kind"), (1, 1, "user", "hello"), (1, 2, "assistant", "Call 0412 345 678."), (2, 0, None, "x")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = redact_conversations_triage(spark, str(tmp_path)).groupBy("role").agg(F.sum("n").alias("n")).collect()
+    assert {r.role: r.n for r in got} == {"system": 1, "user": 1, "assistant": 1, None: 1}
+
+
 def test_every_injector_is_planted(spark):
     rows = generate(spark, 600).select(F.explode("secrets").alias("s")).select("s.*").collect()
     wanted = "phone email tfn acn medicare date_au organisation_name implication credit_card bsb site implication_workplace third_party suburb aps_unit aps_level public_role seniority_in_unit government_act workplace_type cohort clearance"
