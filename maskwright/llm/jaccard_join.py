@@ -18,6 +18,8 @@ BUCKETS = 1 << 20
 FRAGMENTS = 4
 FEW = 500_000  # pairs up to which they are broadcast, so that only the segments they need move
 U32 = np.uint64(32)
+WORDS_OF_BITS = 8  # 64-bit words of a set's parity bits
+BATCH = 1 << 19  # values after which a batch is handed on
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -44,6 +46,13 @@ def _node(s: np.ndarray, seed: int) -> tuple[int, int]:
     return tuple(mix(np.array([a, b], np.uint64) + np.uint64(len(s))).view(np.int64).tolist())
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """Whether each of 64 * WORDS_OF_BITS buckets has an odd number of the set's hashes.
+    Two sets differ in as many hashes at least as in bits."""
+    odd = np.bincount((s % np.uint64(64 * WORDS_OF_BITS)).astype(np.int64), minlength=64 * WORDS_OF_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 class Order:
     """The global order of the n-grams: by how often their bucket occurs, then by hash.
 
@@ -95,10 +104,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
        counted segment by segment and summed.
     5. Pairs come in rounds.  A round pairs each node with one centre per shingle, first
        the one that shares most with others (of near copies, the text they come
-       from), so a large group of near copies costs a pair a node; the last round takes
-       all pairs that share enough rare shingles, are of different classes still and
-       were not verified yet.  So no link between different classes is missed, and
-       pairs within a class are not made.
+       from), so a large group of near copies costs a pair a node.  The last round takes
+       the pairs of different classes that were not verified yet: of each shingle the
+       rows that are not of its largest class meet all its rows, and a pair is made only
+       where the first shingle they share stands early enough in both and the parity
+       bits of their sets (:func:`_parity`) leave room for the similarity.  Both tests
+       are lossless.  So no link between different classes is missed, and pairs
+       within a class are not made.
 
     Returns ``id_col, n_shingles, component_id`` per input row: the least id reachable
     by links, itself included.
@@ -117,38 +129,46 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def run(batches):
             total = np.zeros(BUCKETS, np.int64)
             for batch in batches:
-                n, a, b = [], [], []
+                n, a, b, odd = [], [], [], []
                 for _, s in _sets(batch, words):
                     x = _node(s, seed)
+                    odd.append(_parity(s))
                     n.append(len(s))
                     a.append(x[0])
                     b.append(x[1])
                     np.add.at(total, (s % np.uint64(BUCKETS)).astype(np.int64), 1)
-                yield _frame(batch.column(0), n, a, b, [None] * len(n))
+                yield _frame(batch.column(0), n, a, b, [None] * len(n), np.array(odd, np.int64).reshape(len(n), WORDS_OF_BITS).T)
             if total.any():
                 parts = encode(total)
                 none = [None] * len(parts)
-                yield _frame(none, [i for i, _ in parts], none, none, [x for _, x in parts])
+                yield _frame(none, [i for i, _ in parts], none, none, [x for _, x in parts], [none] * WORDS_OF_BITS)
+
+        def _frame(i, n, a, b, c, odd):
+            return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()) if isinstance(i, list) else i, pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary()), *[pa.array(x, pa.int64()) for x in odd]], names=["id", "n", "node", "check", "counts", *bits_of])
 
-        def _frame(i, n, a, b, c):
-            return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()) if isinstance(i, list) else i, pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], names=["id", "n", "node", "check", "counts"])
+        return src.mapInArrow(run, "id long, n long, node long, check long, counts binary" + "".join(f", {c} long" for c in bits_of))
 
-        return src.mapInArrow(run, "id long, n long, node long, check long, counts binary")
+    bits_of = [f"p{i}" for i in range(WORDS_OF_BITS)]
 
     seed = 0
     while True:  # a digest that two different sets share is found by the other one; another seed parts them
         first = table(nodes_of(seed))
-        rows = first.where("counts is null").drop("counts")
+        rows = first.where("counts is null").select("id", "n", "node", "check")
         if rows.where("n > 0").groupBy("node").agg((F.min("check") != F.max("check")).alias("clash")).where("clash").isEmpty():
             break
+        release(first)
         seed += 1
     counts = total(first.where("counts is not null").select(F.col("n").cast("int").alias("part"), "counts"), BUCKETS)
     order = docs.sparkSession.sparkContext.broadcast(Order(counts, fragments))
 
     def prefixes(batches):
         o = order.value
+
+        def rows_of(cols):
+            return pa.RecordBatch.from_arrays([_long(np.concatenate(cols[0])), *[pa.array(np.concatenate(c)) for c in cols[1:]]], names=["gram", "node", "n", "pos"])
+
         for batch in batches:
-            cols = [[], [], [], []]
+            cols, size = [[], [], [], []], 0
             for _, s in _sets(batch, words):
                 if len(s):
                     p, _l = prefix_length(len(s), percent)
@@ -158,8 +178,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     cols[1].append(np.full(p, _node(s, seed)[0], np.int64))
                     cols[2].append(np.full(p, len(s), np.int32))
                     cols[3].append(np.arange(p, dtype=np.int32))
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([_long(np.concatenate(cols[0])), *[pa.array(np.concatenate(c)) for c in cols[1:]]], names=["gram", "node", "n", "pos"])
+                    size += p
+                    if size > BATCH:
+                        yield rows_of(cols)
+                        cols, size = [[], [], [], []], 0
+            if size:
+                yield rows_of(cols)
 
     def shared(batches):
         """Of rows sorted by gram and node, one per pair of them, of grams that several nodes have."""
@@ -192,9 +216,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     release(some)
 
     least = F.least
+    reach = lambda n: n * percent / (100 + percent)  # noqa: E731  what sets of n shingles together must share
     # a link's sets are close in size, and its first shared shingles stand early enough in both
     # that what comes after can still make up the overlap it needs
-    need = (F.col("na") + F.col("nb")) * percent / (100 + percent)
+    need = reach(F.col("na") + F.col("nb"))
     close = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (least(share(F.col("na")), share(F.col("nb"))) - 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need - 1e-6)
 
     wanted = posts.select("node").distinct()
@@ -204,8 +229,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def segments(batches):
         o, f = order.value, filt.value
+
+        def rows_of(cols):
+            off = np.cumsum([0, *map(len, cols[2])])
+            seg = pa.ListArray.from_arrays(pa.array(off, pa.int32()), _long(np.concatenate(cols[2])))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), seg], names=["node", "frag", "seg"])
+
         for batch in batches:
-            cols = [[], [], []]
+            cols, size = [[], [], []], 0
             for _, s in _sets(batch, words):
                 if not len(s):
                     continue
@@ -217,31 +248,29 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for v in range(len(o.pivots) + 1):
                     seg = s[part == v]
                     if len(seg):
-                        for c, x in zip(cols, (node, v, seg.tobytes()), strict=True):
+                        for c, x in zip(cols, (node, v, seg), strict=True):
                             c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["node", "frag", "seg"])
-
-    kept = src.mapInArrow(segments, "node long, frag int, seg binary").groupBy("node", "frag").agg(F.first("seg").alias("seg"))
+                size += len(s)
+                if size > BATCH:
+                    yield rows_of(cols)
+                    cols, size = [[], [], []], 0
+            if size:
+                yield rows_of(cols)
+
+    kept = src.mapInArrow(segments, "node long, frag int, seg array<long>").groupBy("node", "frag").agg(F.first("seg").alias("seg"))
     segs = table(kept)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b, na, nb) those that reach the similarity."""
 
-        def overlaps(batches):
-            for batch in batches:
-                out = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.int64())], names=["a", "b", "na", "nb", "part"])
-
         few = pairs.count() <= FEW
         hint = F.broadcast if few else lambda x: x
         sa = segs.toDF("a", "frag", "sa").join(hint(pairs), "a")
         sb = segs.toDF("b", "frag", "sb").join(hint(pairs.select("b").distinct()), "b", "left_semi")
-        both = sa.join(sb, ["b", "frag"]).select("a", "b", "na", "nb", "sa", "sb")
-        parts = both.mapInArrow(overlaps, "a long, b long, na int, nb int, part long")
+        parts = sa.join(sb, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("part"))
         total = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("o"))
         return total.where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
 
-
     def star(rows: DataFrame, centre) -> DataFrame:
         """Each node with the centre of a gram, where they meet at a few grams at least."""
         mid = rows.groupBy("gram").agg(centre.alias("c"))
@@ -277,13 +306,24 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         left, old = open_rows(left, cls), left
         release(old)
     tested = tested if tested is not None else posts.selectExpr("node as a", "node as b").limit(0)
-    x, y = left.drop("rank").toDF("gram", "a", "na", "pa", "ca"), left.drop("rank").toDF("gram", "b", "nb", "pb", "cb")
-    rest = x.join(y, "gram").where("a < b and ca <> cb").where(close).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("g"))
-    rest = rest.where(F.col("g") >= least(share(F.col("na")), share(F.col("nb")))).join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb")
-    rest = cut(rest)
+    # of l shared shingles the first stands where all that a link needs can still follow
+    head = left.where(F.col("n") - F.col("pos") >= F.ceil(F.col("n") * percent / 100)).drop("rank")
+    most = head.groupBy("gram", "class").agg(F.count(F.lit(1)).alias("m")).groupBy("gram").agg(F.max_by("class", F.struct("m", "class")).alias("most"))
+    odd = first.where("n > 0 and counts is null").select("node", *bits_of).dropDuplicates(["node"])
+    head = table(head.join(most, "gram").join(odd, "node"))
+    named = lambda s: [F.col("gram"), *[F.col(c).alias(f"{d}{s}") for c, d in (("node", ""), ("n", "n"), ("pos", "p"), ("class", "c"), *((c, f"{c}_") for c in bits_of))]]
+    x, y = head.where("class <> most").select(*named("a")), head.select(*named("b"), (F.col("class") == F.col("most")).alias("large")).withColumnRenamed("gram", "gram_b")
+    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits_of), F.lit(0))
+    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need - 1e-6) & (differ <= F.col("na") + F.col("nb") - 2 * need + 1e-6)
+    met = x.join(y, (F.col("gram") == F.col("gram_b")) & (F.col("ca") != F.col("cb")) & (F.col("large") | (F.col("a") < F.col("b"))) & near)
+    flip = F.col("a") > F.col("b")
+    rest = met.select(*[F.when(flip, F.col(v)).otherwise(F.col(u)).alias(u) for u, v in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"))]).distinct()
+    rest = cut(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
     if not rest.isEmpty():
         links = cut(links.union(verified(rest)))
         cls = classes(links)
+    for done in (head, left, posts, segs):
+        release(done)
     named = rows.join(cls, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("class", "node")).alias("class"))
     low = named.where("class is not null").groupBy("class").agg(F.min("id").alias("low"))
     out = named.join(low, "class", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("low", "id")).alias("component_id"))

@@ -141,6 +141,27 @@ def test_jaccard_join_brute_force(spark):
     assert got == jaccard_brute(rows)
 
 
+def test_jaccard_join_family_below_threshold(spark):
+    """Copies of one text with so many words changed that most pairs are below the similarity."""
+    r = random.Random(9)
+    base, rows = [f"b{i}" for i in range(120)], []
+    for i in range(260):
+        w = list(base)
+        for _ in range(r.randint(0, 9)):
+            w[r.randrange(len(w))] = f"n{r.randint(0, 10**6)}" if r.random() < 0.7 else f"m{r.randint(0, 5)}"
+        rows.append((i, " ".join(w)))
+    got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in J.jaccard_join(frame(spark, rows)).collect())
+    assert got == jaccard_brute(rows)
+
+
+def test_parity_bits_bound_the_difference():
+    r = random.Random(4)
+    for _ in range(50):
+        x, y = (np.array([r.getrandbits(64) for _ in range(r.randint(0, 300))], np.uint64) for _ in range(2))
+        bits = int(np.bitwise_count(J._parity(x).view(np.uint64) ^ J._parity(y).view(np.uint64)).sum())
+        assert bits <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
 def test_jaccard_join_empty(spark):
     assert J.jaccard_join(frame(spark, [])).collect() == []
     assert [tuple(x) for x in J.jaccard_join(frame(spark, [(1, None)])).collect()] == [(1, 0, 1)]
