@@ -5,29 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import release, table
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the least id reachable, for every id that has a link.
 
-    Large-star and small-star steps in turn until a step changes nothing: each points
-    the neighbours of a node at the least id among them.  Rows never exceed the links,
-    each round is cut by a checkpoint, and only two counts reach the driver.  The
-    least neighbour of a node with very many is a partial aggregate.
+    Large-star and small-star steps in turn, each of which points the neighbours of a
+    node at the least id among them, until every id points at one other and none that
+    is pointed at points on.  Rows never exceed the links, each round is written to the
+    shared folder and the last one deleted, and only a flag reaches the driver.  The
+    least neighbour of a node with very many is a partial aggregate.  Links with a null
+    end or to itself are left out; repeated ones count once; without links no row.
     """
-    e = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    e = table(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     while True:
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("low")).union(e.select(F.col("v"), F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("low").alias("low")).where("up > 1 or up + low > 1").isEmpty():
+            break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # each id with its lesser neighbours: all of them, and the id, point at the least
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
-        new = cut(small)
-        same = new.count() == e.count() and new.exceptAll(e).isEmpty()
-        e = new
-        if same:
-            break
+        e, old = table(small), e
+        release(old)
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)

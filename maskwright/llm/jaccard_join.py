@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, table
+from .common import release, table
 from .components import components
 from .sketch import encode, summed, total
 from .words import mix, shingles, word_hashes
@@ -19,6 +19,7 @@ FRAGMENTS = 4
 FEW = 500_000  # pairs up to which they are broadcast, so that only the segments they need move
 U32 = np.uint64(32)
 WORDS_OF_BITS = 8  # 64-bit words of a set's parity bits
+COPIES = 1 << 17  # sets that a task remembers to leave out copies early
 BATCH = 1 << 19  # values after which a batch is handed on
 
 
@@ -167,15 +168,20 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def rows_of(cols):
             return pa.RecordBatch.from_arrays([_long(np.concatenate(cols[0])), *[pa.array(np.concatenate(c)) for c in cols[1:]]], names=["gram", "node", "n", "pos"])
 
+        sent: set[int] = set()  # copies within a task are one row a shingle
         for batch in batches:
             cols, size = [[], [], [], []], 0
             for _, s in _sets(batch, words):
-                if len(s):
+                node = _node(s, seed)[0]
+                if len(s) and node not in sent:
+                    if len(sent) >= COPIES:
+                        sent.clear()
+                    sent.add(node)
                     p, _l = prefix_length(len(s), percent)
                     key = o.keys(s)
                     mine = np.argsort(key, kind="stable")[:p]  # by key, then hash, which is how s stands
                     cols[0].append(s[mine])
-                    cols[1].append(np.full(p, _node(s, seed)[0], np.int64))
+                    cols[1].append(np.full(p, node, np.int64))
                     cols[2].append(np.full(p, len(s), np.int32))
                     cols[3].append(np.arange(p, dtype=np.int32))
                     size += p
@@ -271,15 +277,23 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         total = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("o"))
         return total.where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
 
-    def star(rows: DataFrame, centre) -> DataFrame:
-        """Each node with the centre of a gram, where they meet at a few grams at least."""
-        mid = rows.groupBy("gram").agg(centre.alias("c"))
-        meet = rows.join(mid, "gram").where("node <> c.node")
-        pair = meet.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), F.when(F.col("node") < F.col("c.node"), F.col("n")).otherwise(F.col("c.n")).alias("na"), F.when(F.col("node") < F.col("c.node"), F.col("c.n")).otherwise(F.col("n")).alias("nb"), F.when(F.col("node") < F.col("c.node"), F.col("pos")).otherwise(F.col("c.pos")).alias("pa"), F.when(F.col("node") < F.col("c.node"), F.col("c.pos")).otherwise(F.col("pos")).alias("pb"))
+    def star(rows: DataFrame, centres) -> DataFrame:
+        """Each node with the centres of a gram, where they meet at a few grams at least."""
+        mid = rows.groupBy("gram").agg(F.array_distinct(F.array(*centres)).alias("c"))
+        meet = rows.join(mid, "gram").select("node", "n", "pos", F.explode("c").alias("c")).where("node <> c.node")
+        low = F.col("node") < F.col("c.node")
+        two = lambda f, a, b: [F.when(low, F.col(f)).otherwise(F.col(f"c.{f}")).alias(a), F.when(low, F.col(f"c.{f}")).otherwise(F.col(f)).alias(b)]
+        pair = meet.select(*two("node", "a", "b"), *two("n", "na", "nb"), *two("pos", "pa", "pb"))
         return pair.where(close).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("g")).where(F.col("g") * 4 >= least(share(F.col("na")), share(F.col("nb")))).drop("g")
 
-    def classes(links: DataFrame) -> DataFrame:
-        return cut(components(links).toDF("node", "class"))
+    def labels(links: DataFrame) -> DataFrame:
+        """(node, class): the least of each linked node's neighbours' neighbours.  Nodes of a
+        class are linked; those of a star have one class, longer chains may have several."""
+        both = table(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        hop = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
+        out = table(both.join(hop.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("low").alias("class")).withColumnRenamed("a", "node"))
+        release(both)
+        return out
 
     def open_rows(rows: DataFrame, cls: DataFrame) -> DataFrame:
         """Rows of the grams that nodes of several classes have."""
@@ -296,13 +310,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     left = table(posts.join(rank, "node"))
     tested = None
     by = lambda x: F.max(F.struct(x.alias("x"), "node", "n", "pos"))
-    for centre in (by(F.col("rank")), by(F.xxhash64("node")), by(F.xxhash64("node", F.lit(1)))):
-        pairs = star(left, centre)
-        pairs = cut(pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
+    for centres in ([by(F.col("rank").cast("double"))], [by(F.xxhash64("node").cast("double")), by(F.xxhash64("node", F.lit(1)).cast("double"))]):
+        pairs = star(left, centres)
+        pairs = table(pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
         if not pairs.isEmpty():
             tested = pairs if tested is None else tested.union(pairs)
-            links = cut(links.union(verified(pairs)))
-        cls = classes(links)
+            links = table(links.union(verified(pairs)))
+        cls = labels(links)
         left, old = open_rows(left, cls), left
         release(old)
     tested = tested if tested is not None else posts.selectExpr("node as a", "node as b").limit(0)
@@ -318,10 +332,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = x.join(y, (F.col("gram") == F.col("gram_b")) & (F.col("ca") != F.col("cb")) & (F.col("large") | (F.col("a") < F.col("b"))) & near)
     flip = F.col("a") > F.col("b")
     rest = met.select(*[F.when(flip, F.col(v)).otherwise(F.col(u)).alias(u) for u, v in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"))]).distinct()
-    rest = cut(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
+    rest = table(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
     if not rest.isEmpty():
-        links = cut(links.union(verified(rest)))
-        cls = classes(links)
+        links = table(links.union(verified(rest)))
+        cls = labels(links)
+    side = lambda s: cls.toDF(s, f"class_{s}")
+    chains = table(links.join(side("a"), "a").join(side("b"), "b").where("class_a <> class_b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct())
+    if not chains.isEmpty():
+        whole = components(chains).toDF("class", "least")
+        cls = table(cls.join(whole, "class", "left").select("node", F.coalesce("least", "class").alias("class")))
     for done in (head, left, posts, segs):
         release(done)
     named = rows.join(cls, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("class", "node")).alias("class"))
