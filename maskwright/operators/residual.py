@@ -1,4 +1,4 @@
-"""What redaction left behind, against the size of the workforce it came from."""
+"""What rewriting left behind, against the size of the workforce it came from."""
 
 from __future__ import annotations
 

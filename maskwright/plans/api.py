@@ -1,4 +1,4 @@
-"""Redaction of DataFrame columns.  All of it is projection: no shuffle, and the same plan
+"""Rewriting of DataFrame columns.  All of it is projection: no shuffle, and the same plan
 runs over a stream."""
 
 from __future__ import annotations

@@ -214,7 +214,7 @@ def generalised(spark, sf):
     )
 
 
-# ---- redaction of whole columns
+# ---- rewriting of whole columns
 LIVE = frozenset(("email", "credit_card", "url_credential", "mac"))
 
 
@@ -399,11 +399,11 @@ def eval_recall_by_kind_form(spark, sf):
     return recall(outcomes(generate(spark, 400)))
 
 
-@query("eval_overredaction")
-def eval_overredaction(spark, sf):
-    from .corpus import generate, over_redaction
+@query("eval_overmasking")
+def eval_overmasking(spark, sf):
+    from .corpus import generate, over_masking
 
-    return over_redaction(generate(spark, 400))
+    return over_masking(generate(spark, 400))
 
 
 @query("ctx_rule_counts")

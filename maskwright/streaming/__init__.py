@@ -1,4 +1,4 @@
-"""The same expressions over streams: redaction is a projection, triage a windowed count."""
+"""The same expressions over streams: rewriting is a projection, triage a windowed count."""
 
 from __future__ import annotations
 
