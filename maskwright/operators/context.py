@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -50,9 +53,14 @@ GROUPS: dict[str, tuple[str, ...]] = {
     "service_context": ("customers", "clients", "patients", "members of the public"),
 }
 NAME = "@capitalised_name"
-NAME_STOP = frozenset("The This That These Those My Our His Her Its Their Your We They He She It When After Before Since If Then There Here Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December Australia Australian".split())
+# Capitalised words that are no names.
+NAME_STOP = frozenset(
+    """january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday
+    the this that these those there their they them then than when where which while who why how my our your his her its we i he she you it
+    after before since until because however although despite during following whs src aps ses hr gp eap art aat nsw vic qld wa sa tas act nt
+    australia australian commonwealth code regulations section part division clause""".split()
+)
 CEILING = {"clause": 15, "sentence": 80, "paragraph": 400}
-CANDIDATES = 15
 
 
 @dataclass(frozen=True)
@@ -74,44 +82,121 @@ class Rule:
         return self.most or CEILING[self.unit]
 
 
-def _r(id, name, all_of, unit="sentence", guards=("business_as_usual",), action=("escalate",), weight=0.2, most=None):
-    return Rule(id, name, tuple(tuple(e.split("|")) for e in all_of), unit, tuple(guards), tuple(action), weight, most)
-
-
-_ALL3 = ("business_as_usual", "negation", "service_context")
-_HARM = "harm_behaviour|harm_behaviour_soft"
 # The rules.
 RULES: tuple[Rule, ...] = (
-    _r("SC-01", "Condition caused by work", ("psych_condition", "causal_marker|employment_link"), guards=("business_as_usual", "negation"), action=("escalate", "tokenise"), weight=0.18),
-    _r("SC-02", "Reasonable administrative action fact pattern", ("admin_action", "psych_condition", "causal_marker|employment_link|first_person"), "paragraph", action=("escalate", "restrict"), weight=0.3),
-    _r("SC-03", "Behaviour directed at a person", (_HARM, "person_marker|first_person"), "clause", _ALL3, ("escalate", "label_clause"), 0.22),
-    _r("SC-04", "Attribute-based harassment", (_HARM, "protected_attribute"), guards=_ALL3, action=("escalate", "generalise")),
-    _r("SC-05", "Repeated behaviour against a person", (_HARM, "frequency_marker", "person_marker|first_person"), guards=_ALL3, action=("escalate", "label_clause")),
-    _r("SC-06", "Claim-linked health information", ("claim_marker", "psych_condition|capacity_restriction", "first_person|claim_marker"), action=("escalate", "mask", "tokenise"), weight=0.25),
-    _r("SC-07", "Case history disclosure", ("claim_marker", "claim_decision"), action=("escalate", "mask"), weight=0.22),
-    _r("SC-08", "Third-party capacity or restriction", ("capacity_restriction", f"person_marker|{NAME}|third_party_subject"), action=("escalate", "tokenise", "mask")),
-    _r("SC-09", "Substance and consequence", ("substance", "consequence|admin_action"), guards=("business_as_usual", "negation"), action=("escalate", "restrict"), weight=0.25),
-    _r("SC-10", "Self-harm content", ("self_harm",), guards=(), action=("suppress", "escalate", "restrict"), weight=0.4),
-    _r("SC-11", "Traumatic material exposure", ("trauma_material", "exposure_verb", "first_person|person_marker"), action=("escalate", "tokenise", "suppress"), weight=0.25),
-    _r("SC-12", "Surveillance objection", ("surveillance", "surveillance_objection|first_person"), action=("keep", "escalate"), weight=0.15),
-    _r("SC-13", "Protected attribute uniqueness", ("protected_attribute", "uniqueness"), action=("escalate", "generalise"), weight=0.22),
-    _r("SC-14", "Quasi-identifier accumulation", ("identity_combinator", "identity_combinator", "event|psych_condition|uniqueness|third_party_subject"), action=("escalate", "generalise")),
-    _r("SC-15", "Confidentiality request with a named role", ("confidentiality", "person_marker|identity_combinator"), guards=(), action=("escalate", "restrict"), weight=0.35),
-    _r("SC-16", "Enforcement exposure with a person or site", ("enforcement", "person_marker|identity_combinator|first_person"), "paragraph", action=("escalate", "mask"), weight=0.22),
-    _r("SC-17", "Family and domestic violence disclosure", ("fdv",), "paragraph", action=("suppress", "escalate", "restrict"), weight=0.4),
-    _r("SC-18", "Quoted abuse or threat", ("quote_frame", "slur_threat", "person_marker|first_person"), "clause", ("business_as_usual", "service_context"), ("escalate", "label_clause", "suppress"), 0.22),
-    _r("SC-19", "Performance and condition about a named worker", ("admin_action", "psych_condition", f"{NAME}|third_party_subject"), "paragraph", action=("escalate", "mask", "tokenise"), weight=0.25),
-    _r("SC-20", "Adjustment denied or refused", ("reasonable_adjustment", "psych_condition|capacity_restriction", "denial")),
-    _r("SC-21", "Third-party role plus name", ("third_party_role", NAME), "clause", action=("escalate", "mask"), most=6),
+    Rule("SC-01", "Condition caused by work", (("psych_condition",), ("causal_marker", "employment_link")), "sentence", ("business_as_usual", "negation"), ("escalate", "tokenise"), 0.18),
+    Rule("SC-02", "Reasonable administrative action fact pattern", (("admin_action",), ("psych_condition",), ("causal_marker", "employment_link", "first_person")), "paragraph", ("business_as_usual",), ("escalate", "restrict"), 0.3),
+    Rule("SC-03", "Behaviour directed at a person", (("harm_behaviour", "harm_behaviour_soft"), ("person_marker", "first_person")), "clause", ("business_as_usual", "negation", "service_context"), ("escalate", "label_clause"), 0.22),
+    Rule("SC-04", "Attribute-based harassment", (("harm_behaviour", "harm_behaviour_soft"), ("protected_attribute",)), "sentence", ("business_as_usual", "negation", "service_context"), ("escalate", "generalise"), 0.2),
+    Rule("SC-05", "Repeated behaviour against a person", (("harm_behaviour", "harm_behaviour_soft"), ("frequency_marker",), ("person_marker", "first_person")), "sentence", ("business_as_usual", "negation", "service_context"), ("escalate", "label_clause"), 0.2),
+    Rule("SC-06", "Claim-linked health information", (("claim_marker",), ("psych_condition", "capacity_restriction"), ("first_person", "claim_marker")), "sentence", ("business_as_usual",), ("escalate", "mask", "tokenise"), 0.25),
+    Rule("SC-07", "Case history disclosure", (("claim_marker",), ("claim_decision",)), "sentence", ("business_as_usual",), ("escalate", "mask"), 0.22),
+    Rule("SC-08", "Third-party capacity or restriction", (("capacity_restriction",), ("person_marker", NAME, "third_party_subject")), "sentence", ("business_as_usual",), ("escalate", "tokenise", "mask"), 0.2),
+    Rule("SC-09", "Substance and consequence", (("substance",), ("consequence", "admin_action")), "sentence", ("business_as_usual", "negation"), ("escalate", "restrict"), 0.25),
+    Rule("SC-10", "Self-harm content", (("self_harm",),), "sentence", (), ("suppress", "escalate", "restrict"), 0.4),
+    Rule("SC-11", "Traumatic material exposure", (("trauma_material",), ("exposure_verb",), ("first_person", "person_marker")), "sentence", ("business_as_usual",), ("escalate", "tokenise", "suppress"), 0.25),
+    Rule("SC-12", "Surveillance objection", (("surveillance",), ("surveillance_objection", "first_person")), "sentence", ("business_as_usual",), ("keep", "escalate"), 0.15),
+    Rule("SC-13", "Protected attribute uniqueness", (("protected_attribute",), ("uniqueness",)), "sentence", ("business_as_usual",), ("escalate", "generalise"), 0.22),
+    Rule("SC-14", "Quasi-identifier accumulation", (("identity_combinator",), ("identity_combinator",), ("event", "psych_condition", "uniqueness", "third_party_subject")), "sentence", ("business_as_usual",), ("escalate", "generalise"), 0.2),
+    Rule("SC-15", "Confidentiality request with a named role", (("confidentiality",), ("person_marker", "identity_combinator")), "sentence", (), ("escalate", "restrict"), 0.35),
+    Rule("SC-16", "Enforcement exposure with a person or site", (("enforcement",), ("person_marker", "identity_combinator", "first_person")), "paragraph", ("business_as_usual",), ("escalate", "mask"), 0.22),
+    Rule("SC-17", "Family and domestic violence disclosure", (("fdv",),), "paragraph", ("business_as_usual",), ("suppress", "escalate", "restrict"), 0.4),
+    Rule("SC-18", "Quoted abuse or threat", (("quote_frame",), ("slur_threat",), ("person_marker", "first_person")), "clause", ("business_as_usual", "service_context"), ("escalate", "label_clause", "suppress"), 0.22),
+    Rule("SC-19", "Performance and condition about a named worker", (("admin_action",), ("psych_condition",), (NAME, "third_party_subject")), "paragraph", ("business_as_usual",), ("escalate", "mask", "tokenise"), 0.25),
+    Rule("SC-20", "Adjustment denied or refused", (("reasonable_adjustment",), ("psych_condition", "capacity_restriction"), ("denial",)), "sentence", ("business_as_usual",), ("escalate",), 0.2),
+    Rule("SC-21", "Third-party role plus name", (("third_party_role",), (NAME,)), "clause", ("business_as_usual",), ("escalate", "mask"), 0.2, most=6),
 )
 
 
 def validate(rules=RULES, groups=GROUPS) -> None:
-    """Raises on a rule that names an unknown group."""
+    """Raises on a rule that names an unknown group or unit, or has no element."""
     for r in rules:
         unknown = {g for e in (*r.all_of, r.guards) for g in e} - {*groups, NAME}
-        if unknown:
-            raise ValueError(f"{r.id}: unknown groups {', '.join(sorted(unknown))}")
+        if unknown or not r.all_of or r.unit not in CEILING:
+            raise ValueError(f"{r.id}: unknown groups {', '.join(sorted(unknown)) or 'none'}, {len(r.all_of)} elements, unit {r.unit}")
+
+
+def rules_from_json(text: str) -> tuple[tuple[Rule, ...], dict[str, tuple[str, ...]]]:
+    """(rules, groups) of ``{"rules": [{"id", "name", "all_of", "proximity", "guards", "action",
+    "risk_weight", "max_words_between"}], "groups": {name: [phrase]}}``; what a rule leaves out has
+    its default, and without groups those of this module hold."""
+    d = json.loads(text)
+    groups = {k: tuple(v) for k, v in d["groups"].items()} if d.get("groups") else GROUPS
+    rules = tuple(Rule(r["id"], r.get("name", r["id"]), tuple(map(tuple, r["all_of"])), r.get("proximity", "sentence"), tuple(r.get("guards", ())), tuple(r.get("action", ("escalate",))), float(r.get("risk_weight", 0.2)), r.get("max_words_between")) for r in d["rules"])
+    validate(rules, groups)
+    return rules, groups
+
+
+class Phrases:
+    """Every occurrence of every group's phrases in one pass over a text, overlapping ones
+    included: their patterns by first word, tried at each word.  Case does not matter, any white
+    space stands between the words of a phrase, and both ends are word edges."""
+
+    def __init__(self, groups: dict[str, tuple[str, ...]]):
+        self.first: dict[str, list[tuple[re.Pattern, str]]] = {}
+        for group, phrases in groups.items():
+            for p in phrases:
+                words = p.lower().split()
+                lead = re.match(r"\w+|\W", words[0])[0]
+                whole = re.compile(r"(?<!\w)" + r"\s+".join(map(re.escape, words)) + r"(?!\w)", re.I)
+                self.first.setdefault(lead, []).append((whole, group))
+        self.leads = re.compile(r"\w+|[^\w\s]")
+
+    def find(self, text: str) -> list[tuple[int, int, str]]:
+        """(start, end, group) by start."""
+        out = []
+        for m in self.leads.finditer(text):
+            for whole, group in self.first.get(m[0].lower(), ()):
+                if hit := whole.match(text, m.start()):
+                    out.append((m.start(), hit.end(), group))
+        return out
+
+
+def names(text: str, units: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """Capitalised words that neither begin a sentence nor are known not to be names."""
+    out = []
+    starts = [a for a, _ in units]
+    for m in re.finditer(r"\b[A-Z][a-z]{2,}\b", text):
+        i = bisect_right(starts, m.start()) - 1
+        before = text[units[i][0] if i >= 0 else 0 : m.start()].rstrip()
+        if before and before[-1] not in ".!?" and m[0].lower() not in NAME_STOP:
+            out.append((m.start(), m.end(), NAME))
+    return out
+
+
+def tightest(phrases: list[tuple[int, int, int]], elements: int, tokens: list[int], ceiling: int) -> tuple[int, int, int] | None:
+    """(start of the first element's phrase, start, end) of the window with the fewest tokens
+    that has a phrase for each element, none overlapping; None if none is within the ceiling.
+
+    phrases: (start, end, bits of the elements it can stand for) by start.  One sweep keeps,
+    for each set of elements, the chain of phrases that has ended and starts latest: of the
+    windows that end with a given phrase that one is the tightest.  So all phrases count,
+    and the work grows with their number, not with the product of the choices.  Of equal
+    windows the first stands.
+    """
+    every = (1 << elements) - 1
+    done: dict[int, tuple[int, int]] = {}  # elements -> (start of the chain, the first element's phrase)
+    open_: list[tuple[int, int, int, int]] = []
+    best: tuple[int, int, int, int] | None = None
+    for start, end, can in phrases:
+        while open_ and open_[0][0] <= start:
+            _, had, first, anchor = heapq.heappop(open_)
+            if had not in done or first > done[had][0]:
+                done[had] = (first, anchor)
+        for i in range(elements):
+            if not can >> i & 1:
+                continue
+            for had, (first, anchor) in ((0, (start, -1)), *done.items()):
+                if had >> i & 1:
+                    continue
+                now = (end, had | 1 << i, first, start if i == 0 else anchor)
+                if now[1] != every:
+                    heapq.heappush(open_, now)
+                    continue
+                gap = bisect_left(tokens, end) - bisect_left(tokens, first)
+                if gap <= ceiling and (best is None or gap < best[0]):
+                    best = (gap, now[3], first, end)
+    return best[1:] if best else None
 
 
 @dataclass
@@ -121,56 +206,40 @@ class Scanner:
 
     def __post_init__(self):
         validate(self.rules, self.groups)
-        words = lambda p: r"\s+".join(re.escape(w) for w in p.split())
-        self.patterns = {g: re.compile(rf"\b(?:{'|'.join(words(p) for p in sorted(ps, key=len, reverse=True))})\b", re.I) for g, ps in self.groups.items()}
-
-    def phrases(self, group: str, unit: str) -> list[tuple[int, int]]:
-        if group == NAME:
-            return [m.span() for m in re.finditer(r"(?<=[a-z,;:] )[A-Z][a-z]{2,}\b", unit) if m[0] not in NAME_STOP]
-        return [m.span() for m in self.patterns[group].finditer(unit)]
-
-    def assign(self, choices: list[list[tuple[int, int]]], tokens: list[int], ceiling: int) -> list[tuple[int, int]] | None:
-        """A phrase of each list, none overlapping, with the fewest tokens between the
-        first start and the last end, if within the ceiling."""
-        best: tuple[int, list] | None = None
-
-        def go(i, taken):
-            nonlocal best
-            if taken:
-                lo, hi = min(s for s, _ in taken), max(e for _, e in taken)
-                gap = sum(lo <= t < hi for t in tokens)
-                if gap > ceiling or best and gap >= best[0]:
-                    return
-                if i == len(choices):
-                    best = (gap, list(taken))
-                    return
-            for s, e in choices[i][:CANDIDATES]:
-                if all(e <= a or b <= s for a, b in taken):
-                    go(i + 1, [*taken, (s, e)])
-
-        go(0, [])
-        return best and best[1]
-
-    def scan(self, text: str) -> Iterator[tuple[str, int, int]]:
-        """(rule, start, end) of each place where a rule holds, once per anchor."""
-        units = {"sentence": [m.span() for m in re.finditer(r"[^.!?\n]+[.!?]*", text)], "paragraph": [m.span() for m in re.finditer(r"[^\n]+", text)]}
-        units["clause"] = units["sentence"]
-        seen = set()
-        for r in self.rules:
-            for a, b in units[r.unit]:
-                unit = text[a:b]
-                choices = [sorted({s for g in e for s in self.phrases(g, unit)}) for e in r.all_of]
-                if not all(choices):
-                    continue
-                got = self.assign(choices, [m.start() for m in re.finditer(r"[A-Za-z0-9']+", unit)], r.ceiling)
-                if not got:
-                    continue
-                anchor = a + got[0][0]
-                sentence = next((text[s:e] for s, e in units["sentence"] if s <= anchor < e), unit)
-                if any(self.phrases(g, sentence) for g in r.guards) or (r.id, anchor) in seen:
+        self.phrases = Phrases(self.groups)
+        self.served = [{g: sum(1 << i for i, e in enumerate(r.all_of) if g in e) for e in r.all_of for g in e} for r in self.rules]
+        self.named = any(NAME in s for s in self.served)
+
+    def scan(self, text: str) -> Iterator[tuple[str, int, int, str | None]]:
+        """(rule, start, end, guard) of each place where a rule holds, once per anchor;
+        guard is the group that cancels it, if one does."""
+        sentences = [m.span() for m in re.finditer(r"[^.!?\n]+[.!?]*", text)]
+        found = self.phrases.find(text)
+        if self.named:
+            found = sorted(found + names(text, sentences))
+        if not found:
+            return
+        units = {"sentence": sentences, "clause": sentences, "paragraph": [m.span() for m in re.finditer(r"[^\n]+", text)]}
+        tokens = [m.start() for m in re.finditer(r"[A-Za-z0-9']+", text)]
+        within: dict[str, dict[int, list]] = {}
+        for kind in ("sentence", "paragraph"):
+            starts, held = [a for a, _ in units[kind]], {}
+            for p in found:
+                i = bisect_right(starts, p[0]) - 1
+                if i >= 0 and p[1] <= units[kind][i][1]:
+                    held.setdefault(i, []).append(p)
+            within[kind] = held
+        within["clause"] = within["sentence"]
+        opens, seen = [a for a, _ in sentences], set()
+        for r, served in zip(self.rules, self.served, strict=True):
+            for _, here in sorted(within[r.unit].items()):
+                mine = [(s, e, served[g]) for s, e, g in here if g in served]
+                got = tightest(mine, len(r.all_of), tokens, r.ceiling) if mine else None
+                if got is None or (r.id, got[0]) in seen:
                     continue
-                seen.add((r.id, anchor))
-                yield r.id, a + min(s for s, _ in got), a + max(e for _, e in got)
+                seen.add((r.id, got[0]))
+                beside = within["sentence"].get(bisect_right(opens, got[0]) - 1, ())
+                yield r.id, got[1], got[2], next((g for g in r.guards if any(x == g for _, _, x in beside)), None)
 
 
 @lru_cache(4)
@@ -178,9 +247,14 @@ def _scanner(rules, groups) -> Scanner:
     return Scanner(rules, dict(groups))
 
 
-def context_findings(df: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...] = RULES, groups: dict[str, tuple[str, ...]] = GROUPS) -> DataFrame:
-    """``id_col, rule, name, start, end, actions, weight``: an Arrow map, as the search for an
-    assignment has no relational form that isn't a product of its candidate lists."""
+def context_findings(df: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...] = RULES, groups: dict[str, tuple[str, ...]] = GROUPS, cancelled: bool = False) -> DataFrame:
+    """``id_col, rule, name, start, end, actions, weight``; with ``cancelled`` also what a guard
+    cancels, and ``guard``, the group that did (null: a finding).
+
+    An Arrow map without a shuffle: one pass over a text finds the phrases of all groups,
+    which a gate of regular expressions, group by group, would cost more than.  Null and
+    blank texts have none; other columns are not read.
+    """
     by_id, key = {r.id: r for r in rules}, (rules, tuple(sorted(groups.items())))
     validate(rules, groups)
 
@@ -189,19 +263,25 @@ def context_findings(df: DataFrame, id_col: str, text_col: str, rules: tuple[Rul
         for batch in batches:
             of, rows = [], []
             for i, text in enumerate(batch.column(1)):
-                for rule, a, b in s.scan(text.as_py() or ""):
+                for rule, a, b, guard in s.scan(text.as_py() or ""):
                     r = by_id[rule]
                     of.append(i)
-                    rows.append((rule, r.name, a, b, ",".join(r.action), r.weight))
-            cols = list(zip(*rows)) or [[]] * 6
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[batch.schema.names[0], "rule", "name", "start", "end", "actions", "weight"])
+                    rows.append((rule, r.name, a, b, ",".join(r.action), r.weight, guard))
+            cols = list(zip(*rows)) or [[]] * 7
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[batch.schema.names[0], "rule", "name", "start", "end", "actions", "weight", "guard"])
 
-    src = df.select(F.col(id_col), F.col(text_col))
-    return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, rule string, name string, start int, end int, actions string, weight double")
+    src = df.select(F.col(id_col), F.col(text_col)).where(F.col(text_col).isNotNull())
+    out = src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, rule string, name string, start int, end int, actions string, weight double, guard string")
+    return out if cancelled else out.where("guard is null").drop("guard")
 
 
 def rule_counts(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Hits per rule, rules without any included."""
+    """``rule, n`` hits per rule, rules without any included; of findings with their
+    ``guard`` also ``cancelled``, what guards took."""
     every = found.sparkSession.createDataFrame([(r.id,) for r in rules], "rule string")
-    return every.join(found.groupBy("rule").agg(F.count(F.lit(1)).alias("n")), "rule", "left").select("rule", F.coalesce("n", F.lit(0)).alias("n"))
+    guarded = "guard" in found.columns
+    hit = F.col("guard").isNull() if guarded else F.lit(True)
+    counts = [F.count(F.when(hit, 1)).alias("n"), *([F.count(F.when(~hit, 1)).alias("cancelled")] if guarded else [])]
+    names_ = ["n", "cancelled"][: len(counts)]
+    return every.join(found.groupBy("rule").agg(*counts), "rule", "left").select("rule", *[F.coalesce(c, F.lit(0)).alias(c) for c in names_])

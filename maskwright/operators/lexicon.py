@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import FINDINGS, finding, token_key, token_place, token_values
+from . import seed
 from .detectors import claimed_in_turn
 
 WIDE = 5_000
 BROADCAST = 1_000_000
 FUZZY_LEAST = 6  # characters of a token that may be one letter off
-SEED = Path(__file__).parent.parent / "sources" / "lexicon.json"
 
 
 @dataclass(frozen=True)
@@ -61,8 +61,10 @@ class Lexicon:
         return Lexicon(tuple(Term(t["term"], t.get("category", "internal_term"), t.get("label") or t["term"], tuple(t.get("aliases") or ()), bool(t.get("exact_only"))) for t in d["terms"]), int(d.get("max_distance", 1)))
 
     @staticmethod
-    def load(path: str | Path = SEED) -> Lexicon:
-        return Lexicon.from_json(Path(path).read_text(encoding="utf-8"))
+    def load(path: str | Path | None = None) -> Lexicon:
+        """Of a JSON file, or the bundled terms."""
+        text = json.dumps({"max_distance": 1, "terms": seed.entries()}) if path is None else Path(path).read_text(encoding="utf-8")
+        return Lexicon.from_json(text)
 
     def merged(self, other: Lexicon) -> Lexicon:
         return Lexicon(self.terms + other.terms, max(self.max_distance, other.max_distance))

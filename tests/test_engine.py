@@ -1,7 +1,12 @@
 """Detectors, resolution, rewriting, risk, residual and context on records with known results."""
 
+import itertools
+import random
+import re
+
 import pytest
 from maskwright.functions import checks as ck
+from maskwright.functions import vocabulary
 from maskwright.operators import context, residual
 from maskwright.operators.lexicon import Lexicon, Term, join_matches
 from maskwright.plans.api import free_text_columns, persistable, redact, redact_frame, scan, summary
@@ -170,3 +175,59 @@ def test_generated_recall(spark):
     manifest = spark.createDataFrame([("a", ["x"], ["y"], ["email"]), ("b", ["x"], [], [])], "id string, must_not_appear array<string>, must_appear array<string>, categories array<string>")
     result = spark.createDataFrame([("a", "y z", ["email"])], "id string, redacted string, categories array<string>")
     assert {r.id: r.ok for r in report(result, manifest).collect()} == {"a": True, "b": False}
+
+
+def test_bundled_lexicon():
+    terms = Lexicon.load().exact()
+    for form in ("critical incident", "the code of conduct", "return to work", "our eba", "pcbus", "whs act 2020", "safe work nsw", "safework new south wales", "the swms", "job safety analyses", "ndis", "the fair work act", "ohs act 2004", "toolbox talks", "psychosocial risks", "ma000098", "aged care award"):
+        assert form.replace(" ", "") in terms, form
+
+
+NAMED = ("I saw the manager Karen there.", "I saw the manager  Karen there.", "The manager (Karen) was there.", 'Ask a nurse, "Karen" I think.', "He was director 2 Karen then.")
+NOT_NAMED = ("The manager was there. Karen left.", "The manager left on Monday.", "Karen, the manager of all")
+
+
+def test_capitalised_names(spark):
+    texts = [*NAMED, *NOT_NAMED]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i for r in context.context_findings(df, "i", "t").where("rule = 'SC-21'").collect()}
+    assert got == set(range(len(NAMED)))
+
+
+def test_tightest_brute_force():
+    r = random.Random(2)
+    for _ in range(400):
+        k = r.randint(1, 3)
+        phrases = sorted((s := r.randint(0, 60), s + r.randint(1, 9), r.randint(1, 2**k - 1)) for _ in range(r.randint(0, 9)))
+        tokens = sorted(r.sample(range(70), 30))
+        gaps = []
+        for chosen in itertools.permutations(phrases, k):
+            apart = all(a[1] <= b[0] or b[1] <= a[0] for a, b in itertools.combinations(chosen, 2))
+            if apart and all(p[2] >> i & 1 for i, p in enumerate(chosen)):
+                lo, hi = min(p[0] for p in chosen), max(p[1] for p in chosen)
+                gaps.append(sum(lo <= t < hi for t in tokens))
+        got = context.tightest(phrases, k, tokens, 12)
+        want = min((g for g in gaps if g <= 12), default=None)
+        assert (got is None) == (want is None)
+        if got:
+            assert sum(got[1] <= t < got[2] for t in tokens) == want
+
+
+def test_overlapping_phrases_and_guards(spark):
+    groups = {"a": ("claim",), "b": ("compensation claim",), "c": ("policy",)}
+    rules, _ = context.rules_from_json('{"rules": [{"id": "R1", "all_of": [["a"], ["b"]]}, {"id": "R2", "all_of": [["a"]], "guards": ["c"]}], "groups": {"a": ["claim"], "b": ["compensation claim"], "c": ["policy"]}}')
+    df = spark.createDataFrame([(1, "a compensation claim"), (2, "claim, then a compensation\tclaim"), (3, "the policy on a claim"), (4, None), (5, " ")], "i int, t string")
+    found = context.context_findings(df, "i", "t", rules, groups, cancelled=True)
+    assert {(x.i, x.rule, x.guard) for x in found.collect()} == {(1, "R2", None), (2, "R1", None), (2, "R2", None), (3, "R2", "c")}
+    assert {(x.rule, x.n, x.cancelled) for x in context.rule_counts(found, rules).collect()} == {("R1", 1, 0), ("R2", 2, 1)}
+
+
+def test_near_is_one_edit_away():
+    for word in ("depot", "nurse"):
+        letters = "abnt"
+        close = {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+        close |= {word[:i] + c + word[i + k :] for i in range(len(word)) for k in (0, 1) for c in letters}
+        close |= {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)}
+        far = {word[:i] + c + d + word[i + 2 :] for i in range(len(word) - 1) for c in "xz" for d in "xz"} | {word + "x"}
+        pattern = re.compile(vocabulary.near(word))
+        assert all(pattern.fullmatch(x) for x in close) and not any(pattern.fullmatch(x) for x in far)
