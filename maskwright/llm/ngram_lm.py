@@ -9,6 +9,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, shared_path
-from .words import mix, word_hashes
+from .words import word_hashes
 
 END = np.uint64(0x8C5B3F2E9D41A6C7)  # the token that ends every text
 BUFFER = 2_000_000  # tokens that a task works on at a time
@@ -24,24 +25,27 @@ VOCAB_PART = 1 << 18  # words in a vocabulary file, about
 PAIR_PART = 1 << 20  # training tokens for each file of pairs
 STAT_PART = 1 << 16  # words in a file of continuation statistics
 ORDER = 3  # of the query's model
-U32 = np.uint64(32)
+ODDS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+MAPPED = 4096
+RUN = 16  # pairs for each stored place in a file of triples
 LOW = np.uint64(0xFFFFFFFF)
 
 
-def unmix(x: np.ndarray) -> np.ndarray:
-    """The inverse of :func:`words.mix`."""
+def scramble(x: np.ndarray, bits: int) -> np.ndarray:
+    """A bijection of the values of an even number of bits in which all bits matter: keys in
+    its order are even over their range, whatever words or contexts are frequent."""
+    half, last = np.uint64(bits // 2), np.uint64((1 << bits) - 1)
+    for odd in ODDS:
+        x = ((x ^ (x >> half)) * np.uint64(odd)) & last
+    return x ^ (x >> half)
 
-    def unshift(y, s):
-        out = y
-        for _ in range(64 // s + 1):
-            out = y ^ (out >> np.uint64(s))
-        return out
 
-    x = unshift(x, 31)
-    x = x * np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
-    x = unshift(x, 27)
-    x = x * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
-    return unshift(x, 30)
+def unscramble(x: np.ndarray, bits: int) -> np.ndarray:
+    """The inverse of :func:`scramble`."""
+    half, last = np.uint64(bits // 2), np.uint64((1 << bits) - 1)
+    for odd in reversed(ODDS):
+        x = ((x ^ (x >> half)) * np.uint64(pow(odd, -1, 1 << 64))) & last
+    return x ^ (x >> half)
 
 
 def token_buffers(texts: Iterator[str | None], most: int = BUFFER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -80,9 +84,11 @@ def write_array(at: str, name: str, *arrays: np.ndarray) -> None:
     f.move(tmp, f"{path}/{name}")
 
 
+@lru_cache(MAPPED)
 def map_array(at: str, name: str, kind) -> np.ndarray:
     """A file of the shared folder, memory-mapped; from a store that can't be mapped, by
-    way of an unlinked local copy."""
+    way of an unlinked local copy, which only this process reads.  A worker keeps its last
+    MAPPED files mapped, so it opens each once for all texts that it scores."""
     f, path = _fs(at)
     full = f"{path}/{name}"
     if f.type_name != "local":
@@ -142,13 +148,19 @@ def bisect(a: np.ndarray, low: np.ndarray, high: np.ndarray, x: np.ndarray) -> n
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
-    """D1, D2 and D3+ from the numbers of n-grams seen once to four times."""
+    """D1, D2 and D3+ from the numbers of n-grams seen once to four times.
+
+    Each is above 0, so every context leaves something to words that it was not seen with
+    and no probability is 0: where the estimate is none (too few counts of counts) or not
+    above 0, the usual value stands.
+    """
     n1, n2, n3, n4 = n[:4]
+    usual = (0.5, 0.75, 0.9)
     if not (n1 and n2):
-        return 0.5, 0.75, 0.9
+        return usual
     y = n1 / (n1 + 2 * n2)
-    d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    return tuple(min(max(x, 0.0), k) for x, k in zip(d, (1, 2, 3), strict=True))
+    d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 0.0]
+    return tuple(min(x, k) if x > 0 else u for x, k, u in zip(d, (1, 2, 3), usual, strict=True))
 
 
 def _less(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -167,6 +179,7 @@ class Model:
     vbits: int = 0
     base: list[int] = field(default_factory=list)  # first word number of each vocabulary file
     pbits: int = 0
+    wbits: int = 1  # of a word number
     d2: tuple[float, float, float] = (0.5, 0.75, 0.9)
     d1: tuple[float, float, float] = (0.5, 0.75, 0.9)
     pairs: int = 0  # distinct pairs: the continuation counts' total
@@ -208,17 +221,42 @@ class Model:
             out[known[a:b]] = map_array(self.at, f"g{p}", np.uint32).reshape(-1, wide)[k[a:b] - p * STAT_PART]
         return out
 
+    def pair_keys(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return scramble(u.astype(np.uint64) << np.uint64(self.wbits) | w.astype(np.uint64), 2 * self.wbits)
+
+    @property
+    def rest(self) -> int:
+        """Bits of a key that a file of pairs stores."""
+        return 2 * self.wbits - self.pbits
+
+    def pair_parts(self, k: np.ndarray) -> np.ndarray:
+        """File number of each key."""
+        return (k >> np.uint64(self.rest)).astype(np.int64)
+
+    def pair_file(self, p: int) -> np.ndarray:
+        return map_array(self.at, f"p{p}", np.uint32 if self.rest <= 32 else np.uint64)
+
+    def write_pairs(self, p: int, k: np.ndarray) -> None:
+        low = k - np.uint64(p << self.rest)
+        write_array(self.at, f"p{p}", low.astype(np.uint32) if self.rest <= 32 else low)
+
+    def pair_words(self, p: int, a: int = 0, b: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, second word) of the pairs a to b of a file."""
+        uw = unscramble(self.pair_file(p)[a:b].astype(np.uint64) + np.uint64(p << self.rest), 2 * self.wbits)
+        return (uw >> np.uint64(self.wbits)).astype(np.int64), (uw & np.uint64((1 << self.wbits) - 1)).astype(np.int64)
+
     def pair_places(self, k: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
         """(file, from, to, places in it, whether it has them) for ascending keys."""
-        part = (k >> np.uint64(64 - self.pbits)).astype(np.int64) if self.pbits else np.zeros(len(k), np.int64)
+        part = self.pair_parts(k)
         edge = np.searchsorted(part, np.arange((1 << self.pbits) + 1))
         for p in range(1 << self.pbits):
             a, b = edge[p], edge[p + 1]
             if a == b or self.pbase[p] == self.pbase[p + 1]:
                 continue
-            h = map_array(self.at, f"p{p}", np.uint64)
-            at = np.minimum(np.searchsorted(h, k[a:b]), len(h) - 1)
-            yield p, a, b, at, h[at] == k[a:b]
+            h = self.pair_file(p)
+            low = (k[a:b] - np.uint64(p << self.rest)).astype(h.dtype)
+            at = np.minimum(np.searchsorted(h, low), len(h) - 1)
+            yield p, a, b, at, h[at] == low
 
     def pair_numbers(self, k: np.ndarray) -> np.ndarray:
         """Number or -1 of ascending pair keys."""
@@ -248,8 +286,7 @@ class Model:
                 continue
             a, b = np.searchsorted(part, [t, t + 1])
             local = ctx[a:b] - t * self.step
-            off = map_array(self.at, f"o{t}", np.uint32)
-            lo, hi = off[local].astype(np.int64), off[local + 1].astype(np.int64)
+            lo, hi = self.ranges(int(t), local)
             at = bisect(map_array(self.at, f"t{t}", np.uint32), lo, hi, w[a:b])
             ok = np.flatnonzero(at >= 0)
             c3[a + ok] = read_counts(self.at, f"k{t}", at[ok])
@@ -257,6 +294,20 @@ class Model:
             left[a:b] = self.d3[0] * n1 + self.d3[1] * n2 + self.d3[2] * (hi - lo - n1 - n2)
         return c3, left
 
+    def ranges(self, t: int, local: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(from, to) of the triples that begin with a pair, for pairs of a file.
+
+        The file has how many each pair has, a byte each, and the place of every RUNth."""
+        c, run = map_array(self.at, f"o{t}", np.uint8), local // RUN
+        inside = np.minimum(run[:, None] * RUN + np.arange(RUN), len(c) - 1)
+        before = np.where(np.arange(RUN) < (local % RUN)[:, None], c[inside], 0).sum(1, dtype=np.int64)
+        x = map_array(self.at, f"o{t}x", np.uint64)  # what those from 255 have beyond it
+        n = len(x) // 2
+        more = np.concatenate([[0], np.cumsum(x[n:].astype(np.int64) - 255)])
+        upto = lambda i: more[np.searchsorted(x[:n], i.astype(np.uint64))]
+        lo = map_array(self.at, f"q{t}", np.uint32)[run].astype(np.int64) + before + upto(local) - upto(run * RUN)
+        return lo, lo + read_counts(self.at, f"o{t}", local)
+
     def score(self, tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known tokens, base score, model's log10 probability) of each text."""
         uniq, inv = np.unique(tokens, return_inverse=True)
@@ -275,7 +326,7 @@ class Model:
         ctx_back[starts] = float(bos[:3] @ np.array(self.d2)) / self.texts if self.texts else 1.0
         w = ids[inv]
         both = np.flatnonzero((w >= 0) & (ctx_id >= 0))
-        keys, place = np.unique(mix(ctx_id[both].astype(np.uint64) << U32 | w[both].astype(np.uint64)), return_inverse=True)
+        keys, place = np.unique(self.pair_keys(ctx_id[both], w[both]), return_inverse=True)
         num, raw, cont = self.pair_counts(keys)
         c2 = np.zeros(len(tokens), np.int64)
         c2[both] = cont[place]
@@ -316,7 +367,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
 
     1. Words: counted per task, then summed; files of sorted hashes with counts, cut by
        the hash's leading bits, number the words.
-    2. Pairs (previous word or start, word), keyed by a 64-bit bijection of their
+    2. Pairs (previous word or start, word), keyed by a bijection of their
        numbers, so even a pair or a context that a third of all tokens have is spread
        over files by the key; summed within tasks first, then per file.
     3. Each file of pairs gives how many distinct words follow each context once, twice,
@@ -396,7 +447,10 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
     vpart = F.shiftrightunsigned("h", 64 - model.vbits).cast("int") if model.vbits else F.lit(0)
     sizes = dict(counted.select(vpart.alias("part"), "h", "c").repartition(1 << model.vbits, "part").sortWithinPartitions("part").mapInArrow(put_words, "part int, n long").collect())
     model.base = np.concatenate([[0], np.cumsum([sizes.get(p, 0) for p in range(1 << model.vbits)])]).astype(int).tolist()
-    model.pbits = max(0, math.ceil(math.log2(max(1, n / PAIR_PART))))
+    model.wbits = max(1, int(v).bit_length())
+    model.pbits = min(max(0, math.ceil(math.log2(max(1, n / PAIR_PART)))), 2 * model.wbits)
+    if 32 < model.rest <= 34:  # up to four times as many files where a key then takes half the bytes
+        model.pbits += model.rest - 32
     shared = spark.sparkContext.broadcast(model)
 
     def pairs(batches):
@@ -406,8 +460,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
 
         def out():
             k, c = np.unique(np.concatenate(held), return_counts=True)
-            part = (k >> np.uint64(64 - m.pbits)).astype(np.int64) if m.pbits else np.zeros(len(k), np.int64)
-            edge = np.searchsorted(part, np.arange((1 << m.pbits) + 1))
+            edge = np.searchsorted(m.pair_parts(k), np.arange((1 << m.pbits) + 1))
             rows = [(p, squeeze(k[edge[p] : edge[p + 1]]), zlib.compress(c[edge[p] : edge[p + 1]].astype(np.uint32).tobytes(), 1)) for p in range(1 << m.pbits) if edge[p] < edge[p + 1]]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "keys", "counts"])
 
@@ -416,7 +469,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
             w = m.words(uniq)[0][inv].astype(np.uint64)
             u = np.concatenate([[np.uint64(m.vocab)], w[:-1]])
             u[ends[:-1]] = m.vocab
-            held.append(mix(u << U32 | w))
+            held.append(m.pair_keys(u, w))
             size += len(w)
             if size > 2 * BUFFER:
                 yield out()
@@ -432,17 +485,18 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
             yield int(one), part, zlib.compress(np.stack([ids[a:b] - one * STAT_PART, *[x[a:b] for x in values]]).astype(np.uint32).tobytes(), 1)
 
     def put_pairs(batches):
+        m = shared.value
         part, keys, counts = None, [], []
 
         def flush():
             k, (c,) = _sum_by(np.concatenate(keys), np.concatenate(counts))
-            write_array(at, f"p{part}", k)
+            m.write_pairs(part, k)
             write_counts(at, f"c{part}", c)
-            uw = unmix(k)
-            w, (before,) = _sum_by((uw & LOW).astype(np.int64), np.ones(len(k)))
+            first, second = m.pair_words(part)
+            w, (before,) = _sum_by(second, np.ones(len(k)))
             rows = list(sums(1, w, [before]))
             if order == 2:
-                u, after = _sum_by((uw >> U32).astype(np.int64), c == 1, c == 2, c > 2)
+                u, after = _sum_by(first, c == 1, c == 2, c > 2)
                 rows += sums(0, u, after)
             rows.append((part, 2, np.array([*[(c == i).sum() for i in (1, 2, 3, 4)], len(k)], np.int64).tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "kind", "data"])
@@ -533,7 +587,7 @@ def _train_triples(src: DataFrame, texts_of, sums, model: Model) -> DataFrame:
             w = m.words(uniq)[0][inv].astype(np.uint64)
             u = np.concatenate([[np.uint64(v)], w[:-1]])
             u[ends[:-1]] = v
-            keys, inv = np.unique(mix(u << U32 | w), return_inverse=True)
+            keys, inv = np.unique(m.pair_keys(u, w), return_inverse=True)
             pair = m.pair_numbers(keys)[inv].astype(np.uint64)
             later = np.ones(len(w), bool)
             later[0] = False
@@ -556,17 +610,19 @@ def _train_triples(src: DataFrame, texts_of, sums, model: Model) -> DataFrame:
             ctx, w = (k // np.uint64(v)).astype(np.int64), k % np.uint64(v)
             first = part * m.step
             n = min(m.step, m.pairs - first)
-            write_array(at, f"o{part}", np.searchsorted(ctx, first + np.arange(n + 1)).astype(np.uint32))
+            each = np.bincount(ctx - first, minlength=n)
+            write_counts(at, f"o{part}", each)
+            write_array(at, f"q{part}", (np.cumsum(each) - each)[::RUN].astype(np.uint32))
             write_array(at, f"t{part}", w.astype(np.uint32))
             write_counts(at, f"k{part}", c)
             for name, times in (("m", 1), ("n", 2)):
                 write_counts(at, f"{name}{part}", np.bincount(ctx[c == times] - first, minlength=n))
-            middle = np.empty(n, np.uint64)  # the second word of each pair of this file
+            middle = np.empty(n, np.int64)  # the second word of each pair of this file
             for p in range(1 << m.pbits):
                 a, b = max(first, m.pbase[p]), min(first + n, m.pbase[p + 1])
                 if a < b:
-                    middle[a - first : b - first] = unmix(map_array(at, f"p{p}", np.uint64)[a - m.pbase[p] : b - m.pbase[p]]) & LOW
-            ends, times = np.unique(mix(middle[ctx - first] << U32 | w), return_counts=True)
+                    middle[a - first : b - first] = m.pair_words(p, a - m.pbase[p], b - m.pbase[p])[1]
+            ends, times = np.unique(m.pair_keys(middle[ctx - first], w), return_counts=True)
             rows = [(-1, 2, np.array([*[(c == i).sum() for i in (1, 2, 3, 4)], part], np.int64).tobytes(), b"")]
             for p, a, b, place, _ in m.pair_places(ends):
                 rows.append((p, 0, squeeze(place), zlib.compress(times[a:b].astype(np.uint32).tobytes(), 1)))
@@ -596,8 +652,7 @@ def _train_triples(src: DataFrame, texts_of, sums, model: Model) -> DataFrame:
         part, cont = None, None
 
         def flush():
-            uw = unmix(np.asarray(map_array(at, f"p{part}", np.uint64)))
-            u = (uw >> U32).astype(np.int64)
+            u, _ = m.pair_words(part)
             start = np.flatnonzero(u == v)
             cont[start] = read_counts(at, f"c{part}", start)
             write_counts(at, f"a{part}", cont)

@@ -237,6 +237,25 @@ def test_kneser_ney_of_order_three_brute_force(spark, monkeypatch):
     assert L.perplexity(frame(spark, [(1, "a b"), (2, "")]), ends).count() == 2
 
 
+def test_scramble_is_a_bijection():
+    for bits in (2, 8, 12):
+        x = np.arange(1 << bits, dtype=np.uint64)
+        y = L.scramble(x, bits)
+        assert len(np.unique(y)) == len(x) and y.max() < len(x) and (L.unscramble(y, bits) == x).all()
+    x = np.array([0, 1, 1 << 63, (1 << 64) - 1], np.uint64)
+    assert (L.unscramble(L.scramble(x, 64), 64) == x).all()
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_no_probability_is_zero(spark, order):
+    """Counts of counts of which no discount comes, and contexts that were seen twice or more only."""
+    docs = frame(spark, [(i, t) for i, t in enumerate(["a b c d e f g h"] * 3 + ["x y"] * 2 + ["q"])])
+    model = L.train(docs, order=order)
+    got = L.perplexity(frame(spark, [(1, "x z"), (2, "y a"), (3, "x a"), (None, "a b"), (4, "b z q h a")]), model).collect()
+    assert len(got) == 5 and all(-100 < r.score < 0 for r in got)
+    assert min(*L.discounts([1, 1, 9, 9]), *L.discounts([5, 1, 0, 0]), *L.discounts([3, 9, 1, 9]), *L.discounts([0, 0, 0, 0])) > 0
+
+
 def test_kneser_ney_without_training(spark):
     model = L.train(frame(spark, []))
     row = L.perplexity(frame(spark, [(1, "a b")]), model).first()
