@@ -1,4 +1,4 @@
-"""Main text of web pages: markup rules, then nearest-URL page differencing."""
+"""Main text of web pages: nearest-URL page differencing, then markup rules for the rest."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, table
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
 ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -26,9 +26,10 @@ LISTS = {"li": frozenset(("ul", "ol", "menu", "dir")), "dt": frozenset(("dl",)),
 #: Elements, and words of class, id or role, that are not of an article.
 OTHER = frozenset("aside button dialog footer form head header menu nav".split())
 WORDS = frozenset(
-    "ad ads adslot advert advertisement advertising adverts alert alertdialog banner breadcrumb breadcrumbs byline cc comment comments commentlist complementary consent contentinfo cookie cookies dialog discussion disclaimer disqus footer form gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion reactions recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar widget widgets".split()
+    "ad ads adslot advert advertisement advertising adverts alert alertdialog banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies dialog discussion disclaimer disqus footer form gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion reactions recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
 NEGATED = frozenset(("no", "with", "has", "without", "open"))
+CHUNK = 1 << 22  # characters after which parsed pages are handed on
 LEFT = 0.1  # a page of which at most this share of the main characters is left is a copy
 
 
@@ -129,11 +130,12 @@ def blocks(page: str | None) -> list[tuple[str, bool, int]]:
     return out
 
 
-def main_blocks(found: list[tuple[str, bool, int]]) -> list[tuple[str, bool]]:
-    """(text, protected) of the blocks of the article: those of ``article`` if it has any,
-    else of ``main``, else all; protected in either container."""
+def main_blocks(found: list[tuple[str, bool, int]]) -> tuple[list[bool], list[bool]]:
+    """(kept, protected) for every block: kept those of ``article`` if it has any, else of
+    ``main``, else all; protected those of either container."""
     best = max((c for _, kept, c in found if kept), default=0)
-    return [(text, c > 0) for text, kept, c in found if kept and c >= best]
+    kept = [k and c >= best for _, k, c in found]
+    return kept, [k and c > 0 for k, (_, _, c) in zip(kept, found, strict=True)]
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -184,8 +186,8 @@ def _common(a: str, b: str) -> int:
 
 
 def _left(page: tuple, gone: np.ndarray) -> bool:
-    """Whether more is left of the page than a copy of the other page has."""
-    size = page[4]
+    """Whether more is left of the page's main lines than a copy of the other page has."""
+    size = page[3][page[4]]
     return size[~gone].sum() > LEFT * size.sum()
 
 
@@ -193,27 +195,26 @@ def is_copy(page: tuple, other: tuple | None) -> bool:
     """Whether the page has all or nearly all of its main lines from a page of its host."""
     if other is None or page[0] != other[0]:
         return False
-    if _left(page, np.isin(page[3], other[2])):  # the subsequence has no more than these
+    own = page[2][page[4]]
+    if _left(page, np.isin(own, other[2])):  # the subsequence has no more than these
         return False
-    return not _left(page, lcs(page[3], other[2]))
+    return not _left(page, lcs(own, other[2]))
 
 
 def shared_lines(page: tuple, neighbours: list[tuple | None]) -> list[int]:
-    """Numbers of the page's main lines that its nearest neighbour has too.
+    """Numbers of the page's lines that its nearest neighbour has too, without protected ones.
 
-    page and neighbours: (host, path, all lines' hashes, main lines' hashes, main lines'
-    characters, which are protected).  The nearest is the one of the same host with
-    the longest common path; one that leaves nearly nothing of the page is a copy of
-    it, of which nothing can be learnt, and the next is taken.  How much is shared does
-    not matter as long as something is left.
+    page and neighbours: (host, path, hashes of all lines, their characters, which are main
+    lines, which are protected).  The nearest is the one of the same host with the longest
+    common path; one that leaves nearly nothing of the page's main lines is a copy of it, of
+    which nothing can be learnt, and the next is taken.  How much is shared does not
+    matter as long as something is left.
     """
-    host, path, _, own, _, safe = page
-    if safe.all():
-        return []
+    host, path, every, _, main, safe = page
     near = sorted((x for x in neighbours if x is not None and x[0] == host), key=lambda x: -_common(path, x[1]))
     for x in near:
-        gone = lcs(own, x[2])
-        if _left(page, gone):
+        gone = lcs(every, x[2])
+        if _left(page, gone[main]):
             return np.flatnonzero(gone & ~safe).tolist()
     return []
 
@@ -266,48 +267,61 @@ SMALL = 200_000  # pages with deleted lines up to which their list is broadcast
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Main text of every page.
 
-    Markup rules leave the blocks of the article (:func:`blocks`, :func:`main_blocks`).
-    Then pages are paired by URL path within each host: sorted by (host, path), each
-    with the nearer of the pages before and after it, past any run of copies of it
-    (:func:`neighbours_of`).  Their lines are aligned by longest common subsequence, and what both have is deleted, except lines inside an
-    explicit ``article`` or ``main``: those are content even where two pages share
-    them (quoted passages, licence lines), so differencing decides only where markup
-    does not.
+    1. Each page is parsed once into blocks (:func:`blocks`), which are written with what
+       the markup says of them.
+    2. Pages are paired by URL path within each host: sorted by (host, path), each with
+       the nearer of the pages before and after it, past any run of copies of it
+       (:func:`neighbours_of`).  Their lines, menus and all, are aligned by longest common
+       subsequence, and what both have is deleted, but for lines inside an explicit
+       ``article`` or ``main``: those are content even where two pages share them
+       (quoted passages, licence lines).
+    3. Of the lines that are left, which no neighbour gave away, the markup rules
+       (:func:`main_blocks`) drop those outside the article.
 
     Only line hashes are sorted and sent; a host that has a third of all pages is
     spread over tasks by path.  The first and last page of each sorted partition and
-    their neighbours in it (four short rows at most) go through the driver, so the pairs
-    don't depend on how the pages are dealt.  Deleted lines join back to the pages: broadcast up to SMALL
-    pages with any, else by a shuffle.
-
-    Returns ``id_col, url_col, text, n_chars`` per row.  Null html is empty: text "".
-    A null or relative URL has host "".  Rows that repeat an id: each is parsed; lines
-    are deleted in all rows with the same id, URL and html.  Other columns are not read.
+    their neighbours in it (four rows of hashes at most) go through the driver, so the
+    pairs don't depend on how the pages are dealt.  Deleted lines join back to the blocks:
+    broadcast up to SMALL pages with any, else by a shuffle.
+
+    Returns ``id_col, url_col, text, n_chars, n_shared, n_ruled`` per row, the last two being
+    the lines that steps 2 and 3 took.  Null html is empty: text "".  A null or relative
+    URL has host "".  Rows that repeat an id: each is parsed; lines are deleted in all rows
+    with the same id, URL and html.  Other columns are not read.
     """
-    src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.xxhash64(html_col).alias("tag"))
+    src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.xxhash64(url_col, html_col).alias("tag"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     path = F.coalesce(F.regexp_replace("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", ""), F.lit(""))
     kind = src.schema["id"].dataType
 
     def lines(batches):
+        def rows(batch, cols):
+            return pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(cols[0], pa.list_(pa.string())), pa.array(cols[1], pa.list_(pa.bool_())), *[pa.array(x, pa.binary()) for x in cols[2:]]], names=names)
+
         for batch in batches:
-            every, main, size, safe = [], [], [], []
-            for page in batch.column(4):
+            cols, at, size = [[] for _ in range(6)], 0, 0
+            for i, page in enumerate(batch.column(5)):
                 found = blocks(page.as_py())
-                kept = main_blocks(found)
-                every.append(_line_hashes([t for t, _, _ in found]))
-                main.append(_line_hashes([t for t, _ in kept]))
-                size.append(np.array([len(t) for t, _ in kept], np.int32).tobytes())
-                safe.append(bytes(int(s) for _, s in kept))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *[pa.array(x, pa.binary()) for x in (every, main, size, safe)]], names=["id", "tag", "host", "path", "every", "main", "size", "safe"])
+                texts = [t for t, _, _ in found]
+                kept, safe = main_blocks(found)
+                for c, x in zip(cols, (texts, kept, _line_hashes(texts), np.array([*map(len, texts)], np.int32).tobytes(), bytes(kept), bytes(safe)), strict=True):
+                    c.append(x)
+                size += sum(map(len, texts))
+                if size > CHUNK or i + 1 == len(batch):
+                    yield rows(batch.slice(at, i + 1 - at), cols)
+                    cols, at, size = [[] for _ in range(6)], i + 1, 0
+
+    names = ["id", "url", "tag", "host", "path", "texts", "kept", "every", "size", "main", "safe"]
+    kinds = [kind, T.StringType(), T.LongType(), T.StringType(), T.StringType(), T.ArrayType(T.StringType()), T.ArrayType(T.BooleanType()), *[T.BinaryType()] * 4]
+    parsed = table(src.select("id", "url", "tag", host.alias("host"), path.alias("path"), "html").mapInArrow(lines, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)])))
+    slim = ("id", "tag", "host", "path", "every", "size", "main", "safe")
+    ordered = cut(parsed.select(*slim).repartitionByRange("host", "path", "id", "tag").sortWithinPartitions("host", "path", "id", "tag"))
 
-    slim = T.StructType([T.StructField("id", kind), T.StructField("tag", T.LongType()), T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), *[T.StructField(c, T.BinaryType()) for c in ("every", "main", "size", "safe")]])
-    dealt = src.select("id", "tag", host.alias("host"), path.alias("path"), "html").mapInArrow(lines, slim).repartitionByRange("host", "path", "id", "tag").sortWithinPartitions("host", "path", "id", "tag")
-    ordered = cut(dealt)
+    def of_row(v):
+        return (v[0], v[1], np.frombuffer(v[2], np.uint64), np.frombuffer(v[3], np.int32), np.frombuffer(v[4], np.uint8).astype(bool), np.frombuffer(v[5], np.uint8).astype(bool))
 
     def facts(batch, i):
-        v = [batch.column(c)[i].as_py() for c in range(2, 8)]
-        return (v[0], v[1], np.frombuffer(v[2], np.uint64), np.frombuffer(v[3], np.uint64), np.frombuffer(v[4], np.int32), np.frombuffer(v[5], np.uint8).astype(bool))
+        return of_row([batch.column(c)[i].as_py() for c in range(2, 8)])
 
     def ends(batches):
         rows: dict[int, pa.RecordBatch] = {}
@@ -328,14 +342,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 rows[2] = link
             p = TaskContext.get().partitionId()
             t = pa.Table.from_batches(list(rows.values()))
-            yield pa.RecordBatch.from_arrays([pa.array([p] * len(rows), pa.int32()), pa.array(list(rows), pa.int32()), *[t.column(c).combine_chunks() for c in range(2, 8)]], names=["part", "place", *t.schema.names[2:]])
-
-    def of_row(v):
-        return (v[0], v[1], np.frombuffer(bytes(v[2]), np.uint64), np.frombuffer(bytes(v[3]), np.uint64), np.frombuffer(bytes(v[4]), np.int32), np.frombuffer(bytes(v[5]), np.uint8).astype(bool))
+            yield pa.RecordBatch.from_arrays([pa.array([p] * len(rows), pa.int32()), pa.array(list(rows), pa.int32()), *[t.column(c).combine_chunks() for c in range(2, 8)]], names=["part", "place", *slim[2:]])
 
     found_ends: dict[int, dict[int, tuple]] = {}
-    for r in ordered.mapInArrow(ends, "part int, place int, host string, path string, every binary, main binary, size binary, safe binary").collect():
-        found_ends.setdefault(r[0], {})[r[1]] = of_row(tuple(r)[2:])
+    for r in ordered.mapInArrow(ends, "part int, place int, host string, path string, every binary, size binary, main binary, safe binary").collect():
+        found_ends.setdefault(r[0], {})[r[1]] = of_row([bytes(x) if isinstance(x, bytearray) else x for x in tuple(r)[2:]])
     edges = pages.sparkSession.sparkContext.broadcast(beside(found_ends))
 
     def differ(batches):
@@ -357,21 +368,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         if found:
             yield rows(found)
 
-    gone = cut(ordered.mapInArrow(differ, T.StructType([slim["id"], slim["tag"], T.StructField("gone", T.ArrayType(T.IntegerType()))])).dropDuplicates(["id", "tag"]))
+    gone = cut(ordered.mapInArrow(differ, T.StructType([T.StructField("id", kind), T.StructField("tag", T.LongType()), T.StructField("gone", T.ArrayType(T.IntegerType()))])).dropDuplicates(["id", "tag"]))
     few = gone.count() <= SMALL
     g = gone.toDF("gid", "gtag", "gone")
-    joined = src.join(F.broadcast(g) if few else g, F.col("id").eqNullSafe(F.col("gid")) & F.col("tag").eqNullSafe(F.col("gtag")), "left").select("id", "url", "html", "gone")
-
-    def texts(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            text = []
-            for page, drop in zip(batch.column(2), batch.column(3), strict=True):
-                kept = main_blocks(blocks(page.as_py()))
-                lost = set(drop.as_py() or ())
-                text.append("\n\n".join(t for i, (t, _) in enumerate(kept) if i not in lost))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
-
-    return joined.mapInArrow(texts, T.StructType([T.StructField(id_col, kind), T.StructField(url_col, T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
+    joined = parsed.select("id", "url", "tag", "texts", "kept").join(F.broadcast(g) if few else g, F.col("id").eqNullSafe(F.col("gid")) & F.col("tag").eqNullSafe(F.col("gtag")), "left")
+    lost = F.coalesce("gone", F.array().cast("array<int>"))
+    left = F.filter("texts", lambda x, i: F.get("kept", i) & ~F.array_contains(lost, i))
+    text = F.array_join(left, "\n\n")
+    out = joined.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), F.size(lost).cast("long").alias("n_shared"), (F.size("texts") - F.size(lost) - F.size(left)).cast("long").alias("n_ruled"))
+    return out.select(id_col, url_col, "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_ruled")
 
 
 def op9_html_text(spark, sf_dir: str) -> DataFrame:

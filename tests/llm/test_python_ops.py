@@ -1,6 +1,7 @@
 """Token counts, packing, Jaccard join, language model, HTML, decontamination, toxicity."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -274,7 +275,8 @@ PAGE = """<!doctype html><html><head><title>T</title><script>var a="</p>";</scri
     ("<p>a<style>p{}</style>b<!-- c > d --></p><p hidden>h</p>", ["a b"]),
 ])
 def test_blocks(page, want):
-    assert [t for t, _ in H.main_blocks(H.blocks(page))] == want
+    found = H.blocks(page)
+    assert [t for (t, _, _), kept in zip(found, H.main_blocks(found)[0], strict=True) if kept] == want
 
 
 def test_lcs_is_longest():
@@ -330,6 +332,65 @@ def test_runs_of_copies_lose_what_distinct_pages_share(spark, parts):
     assert got == want | {i: "Welcome to the site\n\n" + story(3) for i in range(20, 24)}  # nothing but copies
 
 
+def pages_brute(rows):
+    """(text, lines shared) by id, of pages of ``<p>`` lines without containers, one host each."""
+
+    def common(a, b):  # which of a's lines are in a longest common subsequence with b
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    def copies(a, b):
+        return sum(map(len, a)) - sum(len(x) for x in a if x in b) <= 0.1 * sum(map(len, a))
+
+    pages = sorted((u.split("/")[2], "/" + u.split("/", 3)[3], i, h.replace("</p>", "").split("<p>")[1:]) for i, u, h in rows)
+    out = {}
+    for at, (host, path, i, lines) in enumerate(pages):
+        near = []
+        for step in (-1, 1):
+            j, mine = at + step, lines
+            while 0 <= j < len(pages) and pages[j][0] == host and copies(mine, pages[j][3]):
+                mine, j = pages[j][3], j + step
+            if 0 <= j < len(pages) and pages[j][0] == host:
+                near.append(pages[j])
+        near.sort(key=lambda x: -len(os.path.commonprefix([path, x[1]])))
+        other = next((x[3] for x in near if not copies(lines, x[3])), [])
+        left = [x for x in lines if x not in other]
+        assert common(lines, other) == len(lines) - len(left)  # shared lines stand in one order here
+        out[i] = ("\n\n".join(left), len(lines) - len(left))
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_pairs_and_deletion_brute_force(spark, parts):
+    r = random.Random(7)
+    rows, i = [], 0
+    for host in ("a.example", "b.example"):
+        menus = [[f"{host} menu {k} {j}" for j in range(r.randint(1, 3))] for k in range(3)]
+        for _ in range(25):
+            body = [f"line {r.random()}" for _ in range(r.randint(3, 5))]
+            page = [*r.choice(menus), *body, f"{host} foot"]
+            for _ in range(r.choice([1, 1, 1, 3])):
+                rows.append((i, f"http://{host}/{r.choice('xyz')}/{r.randint(0, 9)}/{i:03d}", "".join(f"<p>{x}</p>" for x in page)))
+                i += 1
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {x.page_id: (x.text, x.n_shared) for x in H.extract(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    want = pages_brute(rows)
+    assert got == want and sum(n for _, n in want.values()) > 50
+
+
+def test_differencing_takes_menus_before_the_rules(spark):
+    page = lambda k: f"<nav><ul><li>home<li>shop</ul></nav><article><p>quoted by all</p><p>story {k}</p></article><div>foot</div><div>seen {k} times</div>"
+    got = H.extract(frame_of_pages(spark, [(k, f"http://h.example/{k}", page(k)) for k in range(5)])).collect()
+    assert {(x.page_id, x.text, x.n_shared, x.n_ruled) for x in got} == {(k, f"quoted by all\n\nstory {k}", 3, 1) for k in range(5)}
+
+
 def frame_of_pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
 
