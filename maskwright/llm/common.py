@@ -14,8 +14,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` of the session; only where the cluster names none
-    (tests, a laptop) a local folder is made and set.
+    ``spark.checkpoint.dir`` of the session; only where none is named and all runs on one
+    machine (tests, a laptop) a local folder is made and set.  A cluster that names none
+    is refused.
     """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         at = sc._jsc.sc().getCheckpointDir()
         at = at.get() if at.isDefined() else None
     if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="maskwright-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(at)
@@ -56,6 +59,30 @@ def release(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+HOT = 10_000  # keys at most that are broadcast by keyed_join
+SPREAD = 1024
+
+
+def keyed_join(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, spread: str) -> DataFrame:
+    """``rows`` with the columns of ``facts``, one row a key, or nulls (a left join).
+
+    ``weight`` says how many rows a key has.  Fewer than HOT keys can have more than one
+    row in HOT each; those are broadcast, and their rows are dealt by a hash of the column
+    ``spread``, so no key's rows go to one task.  The rest joins by key.
+    """
+    facts = cut(facts)
+    total = facts.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    large = F.col(weight) > max(1, total // HOT)
+    values = [c for c in facts.columns if c not in keys]
+    hot, cold = fresh(rows, "_hot"), fresh(rows, "_cold")
+    part = fresh(rows, "_part")
+    some = rows.join(F.broadcast(facts.where(large).select(*keys, F.struct(*values).alias(hot))), keys, "left")
+    some = some.withColumn(part, F.when(F.col(hot).isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(SPREAD))).cast("long"))
+    rest = facts.where(~large).select(*keys, F.lit(0).cast("long").alias(part), F.struct(*values).alias(cold))
+    out = some.join(rest, [*keys, part], "left").withColumn(hot, F.coalesce(hot, cold))
+    return out.select(*rows.columns, *[F.col(f"{hot}.{v}").alias(v) for v in values])
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"

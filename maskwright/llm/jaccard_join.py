@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, table
+from .common import keyed_join, release, table
 from .components import components
 from .sketch import encode, summed, total
 from .words import mix, shingles, word_hashes
@@ -344,8 +344,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for done in (head, left, posts, segs):
         release(done)
     named = rows.join(cls, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("class", "node")).alias("class"))
-    low = named.where("class is not null").groupBy("class").agg(F.min("id").alias("low"))
-    out = named.join(low, "class", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("low", "id")).alias("component_id"))
+    low = named.where("class is not null").groupBy("class").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    out = keyed_join(named, low, ["class"], "m", "id").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("low", "id")).alias("component_id"))
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut, fresh, keyed_join
 
 LINES = 3
 
@@ -41,14 +41,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     position) go to the lesser text hash.
 
     Only hashes and positions are dealt by window: (hash, least place, count) combines
-    on the map side, so a passage in a third of all documents gives a row a task; the
-    covered positions of a document are at most its lines.
+    on the map side, so a passage in a third of all documents gives a row a task, and
+    windows that many places have come back to them by a broadcast of bounded size
+    (:func:`common.keyed_join`); the covered positions of a document are at most its lines.
     """
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.split(F.col(text_col), "\n", -1).alias("l"))
     wins = src.select("id", "t", F.explode(_windows(F.col("l"), lines)).alias("w")).select("id", "t", F.col("w.pos").alias("pos"), F.col("w.a").alias("a"), F.col("w.b").alias("b"))
     place = F.struct("id", "pos", "t")
-    seen = wins.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("a", "b", "first")
-    later = wins.join(seen, ["a", "b"]).where(~(F.struct("id", "pos", "t").eqNullSafe(F.col("first"))))
+    seen = wins.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    later = keyed_join(wins, seen, ["a", "b"], "c", "id").where(F.col("c").isNotNull() & ~(F.struct("id", "pos", "t").eqNullSafe(F.col("first"))))
     covered = later.groupBy("id", "t").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     covered = cut(covered.select("id", "t", F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (lines - 1))))).alias("gone")))
     tag, gone = fresh(docs, "_hash"), fresh(docs, "removed_lines")

@@ -26,8 +26,8 @@ class Rule:
 
 BASE = (
     Rule("assign", 1, r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
-    Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 18),
-    Rule("hex", 1, r"[0-9a-f]+", 0, 16),
+    Rule("access", 1, r"AKIA[A-Z0-9]{14,}", 0, 18),  # runs are maximal, so what is too short has no longer match in it
+    Rule("hex", 1, r"[0-9a-f]{16,}", 0, 16),
 )
 #: Spans beyond the base kinds.
 MORE = (
@@ -41,15 +41,6 @@ MORE = (
 RULES = BASE + MORE
 
 
-def gate(rule: Rule) -> str:
-    """A cheaper pattern that holds wherever the rule has a match long enough."""
-    if rule.kind == "hex":
-        return rf"[0-9a-f]{{{rule.least}}}"
-    if rule.kind == "access":
-        return rf"AKIA[A-Z0-9]{{{rule.least - 4}}}"
-    return rule.pattern
-
-
 def spans_of(text: Column, rule: Rule) -> Column:
     """array<struct<kind,start,end>> in code points, end exclusive.
 
@@ -68,7 +59,7 @@ def spans_of(text: Column, rule: Rule) -> Column:
         hit = F.array(F.struct(F.lit(rule.kind).alias("kind"), a.alias("start"), b.alias("end")))
         return F.struct(b.alias("at"), F.when(F.length(x["part"]) >= rule.least, F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(gate(rule)), F.aggregate(each, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(rule.pattern), F.aggregate(each, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
 
 
 def blob_of(text: Column) -> Column:
@@ -161,7 +152,7 @@ def _sql() -> str:
         hits.append(f"""
 SELECT doc_id, '{r.kind}' AS kind, {i} AS o, s AS start_, s + len(w) AS end_ FROM (
   SELECT doc_id, unnest(list_transform(range(1, len(m) + 1), lambda i: len(array_to_string(g[1:i], '')) + len(array_to_string(m[1:i - 1], '')))) AS s, unnest(m) AS w, unnest(v) AS v
-  FROM (SELECT doc_id, regexp_extract_all(text, '{p}', 0) AS m, regexp_extract_all(text, '{p}', {r.group}) AS v, string_split_regex(text, '{p}') AS g FROM t WHERE regexp_matches(text, '{gate(r).replace("'", "''")}')))
+  FROM (SELECT doc_id, regexp_extract_all(text, '{p}', 0) AS m, regexp_extract_all(text, '{p}', {r.group}) AS v, string_split_regex(text, '{p}') AS g FROM t WHERE regexp_matches(text, '{p}')))
 WHERE len(v) >= {r.least}""")
     return f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), h AS ({" UNION ALL ".join(hits)}),
