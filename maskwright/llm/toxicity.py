@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,11 +20,13 @@ DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 SAMPLE = 4000  # labelled documents of each class at most that training takes
+SAMPLE_BYTES = 128 << 20  # of text at most that training takes
 PAD = max(WIDTHS) - 1
 
 
 def held_out(doc_id: Column, fold: int = 5) -> Column:
-    return F.crc32(doc_id.cast("string")) % fold == 0
+    """A null id counts as the empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % fold == 0
 
 
 def features(texts) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -187,16 +189,26 @@ def train(texts: list[str], toxic: list[int], langs: list[str | None], prior: fl
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str | None = "lang", sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str | None = "lang", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Trains on at most ``sample`` labelled documents of each class, chosen by a hash of
-    their id among those where ``usable`` (over ``id``) holds.  The ids are chosen first,
-    so only they are sent to the tasks and only their texts to the driver."""
+    their id among those where ``usable`` (over ``id``) holds, and of these, in the same
+    order, on as many whole texts as ``sample_bytes`` hold.  The ids are chosen first, so
+    only they are sent to the tasks and only their texts to the driver.
+
+    The model does not depend on how rows are dealt: of rows that repeat an id the least
+    (text, language) counts, of labels the larger.  Null ids and labels other than 0 and 1
+    are left out, null texts are empty; without a document of either class the score is
+    the share of toxic labels.  Other columns are not read.
+    """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & usable).groupBy("id").agg(F.max("y").alias("y"))
     share = known.agg(F.avg("y")).first()[0] or 0.0
     pick = [known.where(F.col("y") == v).orderBy(F.xxhash64("id"), "id").limit(sample) for v in (0, 1)]
     chosen = F.broadcast(pick[0].union(pick[1]))  # at most 2 * sample rows
     lang = F.col(lang_col) if lang_col else F.lit(None)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), lang.cast("string").alias("lang")).join(chosen, "id").dropDuplicates(["id"]).collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.struct(F.coalesce(F.col(text_col), F.lit("")).alias("text"), lang.cast("string").alias("lang")).alias("d")).join(chosen, "id")
+    one = rows.groupBy("id").agg(F.min("d").alias("d"), F.first("y").alias("y")).select("id", "y", "d.*")
+    size = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))  # of the chosen rows alone
+    rows = one.withColumn("size", size).where(F.col("size") <= sample_bytes).drop("size").collect()
     rows.sort(key=lambda r: str(r["id"]))
     return train([r["text"] for r in rows], [r["y"] for r in rows], [r["lang"] for r in rows], float(share))
 
@@ -226,7 +238,12 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def screen(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
-    """The rows of ``docs`` that :func:`toxicity` does not flag, columns as they were."""
+    """The rows of ``docs`` that :func:`toxicity` does not flag, columns as they were.
+
+    Null and empty texts are scored as empty ones, a null or unknown language has threshold
+    0.5, repeated rows share their fate, null ids do not matter, and columns that the operator
+    does not know, whatever their names, come through.  No rows, no rows.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     flag, text_at = fresh(docs, "flagged"), docs.columns.index(text_col)
     lang_at = docs.columns.index(lang_col) if lang_col else None
@@ -245,6 +262,8 @@ def screen(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns of :func:`toxicity` by a model of :func:`fit`, whose rules for nulls,
+    repeated and empty rows hold; ``flagged`` by the language's threshold."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(docs, labels, ~held_out(F.col("id")))
     out = toxicity(docs, model)
