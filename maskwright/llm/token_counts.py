@@ -115,12 +115,30 @@ class PrefixBpe:
         if got is None:
             pieces = self.split.findall(unit)
             got = self.piece(unit) if len(pieces) == 1 else b"".join([self.deltas(p) for p in pieces])
+            if not self.plain.fullmatch(unit):
+                got = self.agreed(unit, got)
         if len(unit) <= 64:
             if len(self.memo) >= MEMO:  # what was used since the last turn stays
                 self.old, self.memo = self.memo, {}
             self.memo[unit] = got
         return got
 
+    def of_library(self, text: str) -> int:
+        return len(self.library.encode(text, add_special_tokens=False).ids)
+
+    def agreed(self, unit: str, got: bytes) -> bytes:
+        """``got`` if the library counts the unit alike; else of the pieces that the library
+        splits it into, as it may class letters of other scripts in another way.  Only
+        a unit that still differs is encoded prefix by prefix."""
+        want = self.of_library(unit)
+        if len(got) == len(unit) and int(np.frombuffer(got, np.int8).sum(dtype=np.int64)) == want:
+            return got
+        ends = [b for _, (_, b) in self.library.pre_tokenizer.pre_tokenize_str(unit)]
+        got = b"".join(self.piece(unit[a:b]) for a, b in zip([0, *ends], ends) if a < b)
+        if len(got) == len(unit) and int(np.frombuffer(got, np.int8).sum(dtype=np.int64)) == want:
+            return got
+        return np.diff(np.array([0, *(self.of_library(unit[:i]) for i in range(1, len(unit) + 1))])).astype(np.int8).tobytes()
+
     def piece(self, piece: str) -> bytes:
         raw = piece.encode()
         c = [1, 2, self.counts(raw)[-1]] if piece in ("'re", "'ve", "'ll") else self.counts(raw)[1:]
@@ -164,10 +182,6 @@ class PrefixBpe:
                 at = m.end()
             parts.append(self.segment(text[at:]))
             d = np.concatenate(parts)
-        if not self.plain.fullmatch(text):
-            total = len(self.library.encode(text, add_special_tokens=False).ids)
-            if total != int(d.sum(dtype=np.int64)) or len(d) != len(text):  # letters that the libraries class otherwise
-                d = np.diff(np.array([0, *(len(self.library.encode(text[:i], add_special_tokens=False).ids) for i in range(1, len(text) + 1))])).astype(np.int8)
         return d
 
 
@@ -231,7 +245,9 @@ def token_counts(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: s
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns of :func:`token_counts`, whose rules for nulls, repeated rows and
+    long texts hold, then ``fit_512`` and the stored counts of every prefix."""
     import public_tokenizers
 
-    out = token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), budgets=(512,), store=False)
-    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), "fit_512")
+    out = token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), budgets=(512,))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), "fit_512", F.base64("prefix").alias("prefix"))

@@ -40,6 +40,17 @@ def test_every_prefix_count_is_the_librarys():
         assert T.fits(packed, 3) == max(i for i, n in enumerate(want) if n <= 3)
 
 
+def test_other_scripts_count_as_the_library_does():
+    bpe, lib = T.PrefixBpe(BYTE), Tokenizer.from_file(BYTE)
+    r = random.Random(8)
+    letters = "中文字한글ไทย०१२اب𝒜😀👍🏽\u200d\u2003\u3000 \t'sab1²Ⅷ\ua7c2\U0001e2c0"
+    for x in ["".join(r.choice(letters) for _ in range(r.randint(1, 14))) for _ in range(300)]:
+        want = [len(lib.encode(x[:i], add_special_tokens=False).ids) for i in range(len(x) + 1)]
+        assert T.prefix_counts(T.pack(bpe.prefix(x))).tolist() == want, x
+    long = "中文" * 20_000 + " " + "한 " * 20_000
+    assert int(bpe.prefix(long).sum(dtype=np.int64)) == len(lib.encode(long, add_special_tokens=False).ids)
+
+
 def test_token_counts_rows(spark):
     rows = [(1, "Hello  world"), (2, None), (3, ""), (None, "a b"), (1, "Hello  world"), (5, "ab " * 30_000)]
     out = T.token_counts(frame(spark, rows), BYTE, budgets=(2,)).collect()
@@ -454,3 +465,36 @@ def test_toxicity_learns_and_holds_out(spark):
     assert X.toxicity(docs.limit(0), model).count() == 0
     none = X.fit(docs.limit(0), known, F.lit(True))
     assert X.toxicity(docs, none).count() == len(rows)
+
+
+def test_toxicity_forward_pass_brute_force():
+    rng = np.random.default_rng(3)
+    m = X.Model(rng.normal(size=(X.BUCKETS, X.DIM)).astype(np.float32), {w: rng.normal(size=(w * X.DIM, X.FILTERS)).astype(np.float32) for w in X.WIDTHS}, {w: rng.normal(size=X.FILTERS).astype(np.float32) for w in X.WIDTHS}, rng.normal(size=X.FILTERS * len(X.WIDTHS)).astype(np.float32), 0.3, (0.7, -0.2))
+    m.emb[0] = 0
+    texts = ["one two three four, five", "", None, "lonely", "a b " * 40]
+    for _, ids, starts in X.features(texts):
+        got = m.score(ids, starts)
+        for i in range(len(starts) - 1):
+            words = [sum(m.emb[b] for b in row) for row in ids[starts[i] : starts[i + 1]]]
+            pooled = []
+            for w in X.WIDTHS:
+                k = m.conv[w].reshape(w, X.DIM, X.FILTERS)
+                places = range(len(words) - X.PAD)
+                for f in range(X.FILTERS):
+                    pooled.append(max(0.0, max(sum(float(words[t + j] @ k[j][:, f]) for j in range(w)) for t in places) + float(m.bias[w][f])))
+            z = (float(np.dot(pooled, m.out)) + m.out_bias) * m.scale[0] + m.scale[1]
+            assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+
+
+def test_toxicity_of_repeated_and_null_ids(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i % 40, f"word{i % 40} " + ("scum " if i % 4 == 0 else "fine ") + f"x{i}", "en") for i in range(120)] + [(None, "scum", None)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")
+    schema = "doc_id long, text string, lang string"
+    a, b = (X.fit(spark.createDataFrame(x, schema).repartition(n), labels, ~X.held_out(F.col("id"))) for x, n in ((rows, 1), (rows[::-1], 5)))
+    assert (a.emb == b.emb).all() and (a.out == b.out).all() and a.thresholds == b.thresholds
+    got = X.toxicity(spark.createDataFrame(rows, schema), a).withColumn("held", X.held_out(F.col("doc_id"))).collect()
+    assert len(got) == len(rows) and all(r.held is not None for r in got)
+    few = X.fit(spark.createDataFrame(rows, schema), labels, F.lit(True), sample_bytes=200)
+    assert X.toxicity(spark.createDataFrame(rows, schema), few).count() == len(rows)
