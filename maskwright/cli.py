@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from .plans.api import findings_json, redact, summary
 from .plans.policy import CATEGORIES, Policy
 from .functions.masking import STYLES
-from .sources import read_texts
+from .sources import read_texts, write_texts
 
 
 def main(argv: list[str] | None = None) -> int:
     """0; with ``--scan`` 1 if nothing was found; 2 if a file can't be read."""
     p = argparse.ArgumentParser(prog="maskwright")
-    p.add_argument("files", nargs="+")
+    p.add_argument("files", nargs="*", help="none or -: standard input")
+    p.add_argument("--output", help="a folder that the executors write the texts to")
     p.add_argument("--style", choices=STYLES, default="mask")
     p.add_argument("--keep-prefix", type=int, default=0)
     p.add_argument("--keep-suffix", type=int, default=4)
@@ -35,7 +36,12 @@ def main(argv: list[str] | None = None) -> int:
     policy = Policy(categories=wanted or None, default_style=a.style, keep_prefix=a.keep_prefix, keep_suffix=a.keep_suffix, mask_char=a.mask_char, nlp=a.nlp, survey=a.survey)
     spark = SparkSession.builder.getOrCreate()
     try:
-        df = redact(read_texts(spark, a.files), "text", policy)
+        stdin = not a.files or a.files == ["-"]
+        src = spark.createDataFrame([("-", sys.stdin.read())], "path string, text string") if stdin else read_texts(spark, a.files)
+        df = redact(src, "text", policy)
+        if a.output:
+            write_texts(df, "redacted", a.output)
+            return 0
         shown = findings_json(F.col("findings")) if a.scan else F.col("redacted") if a.format == "text" else F.to_json(F.struct(F.col("redacted").alias("text"), findings_json(F.col("findings")).alias("findings")))
         rows = df.select("path", shown.alias("out"), summary(F.col("findings")).alias("summary"), F.size("findings").alias("n")).toLocalIterator()
         total = 0

@@ -5,7 +5,8 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A finding.  ``metadata`` maps names to text.
@@ -121,3 +122,48 @@ def token_place(text: Column):
 
 def token_key(value: Column) -> Column:
     return F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}]", "")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def total_overlap(found: Column) -> Column:
+    """Characters that spans (``start``, ``end``) take together."""
+    return F.aggregate(found, F.lit(0), lambda acc, x: acc + (x["end"] - x["start"]))
+
+
+# Digits and signs that stand for letters.
+LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
+FOLDED = "struct<text:string,source:array<int>>"
+
+
+def fold(text: Column, leet: bool = True) -> Column:
+    """struct(text, source): letters and digits only, without marks and case, and for each the
+    place in the text that it came from.  Expansions (``ß``) have no Spark expression, so
+    this is a Pandas UDF; no detector uses it.  Null stays null."""
+    table = LEET if leet else {}
+
+    def one(s):
+        if s is None:
+            return None
+        pairs = [(table.get(c, c), i) for i, raw in enumerate(s) for c in unicodedata.normalize("NFKD", raw).casefold() if not unicodedata.category(c).startswith("M")]
+        pairs = [(c, i) for c, i in pairs if c.isalnum()]
+        return "".join(c for c, _ in pairs), [i for _, i in pairs]
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        got = [one(s) or (None, None) for s in texts]
+        return pd.DataFrame({"text": [a for a, _ in got], "source": [b for _, b in got]})
+
+    return F.pandas_udf(run, FOLDED)(text)
+
+
+def original_span(folded: Column, start: Column, end: Column) -> Column:
+    """struct(start, end) in the text of a span of its :func:`fold`."""
+    part = F.slice(folded["source"], start + 1, end - start)
+    whole = (start < end) & (F.size(folded["source"]) > 0)
+    return F.struct(F.when(whole, F.array_min(part)).otherwise(start).alias("start"), F.when(whole, F.array_max(part) + 1).otherwise(end).alias("end"))

@@ -8,7 +8,7 @@ they stand; values are always the original text.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -170,6 +170,26 @@ DOCUMENT: tuple[Branch, ...] = (
     ],
 )
 
+CHECKED = {"tfn": ck.is_tfn, "abn": ck.is_abn, "acn": ck.is_acn, "medicare": ck.is_medicare, "medicare_enrolment": ck.is_medicare_enrolment, "credit_card": ck.is_credit_card, "iban": ck.iban_check}
+
+
+def with_checksums(branches: tuple[Branch, ...], required: bool | None) -> tuple[Branch, ...]:
+    """The branches with failed check digits dropped (True), kept at 0.4 (False), or as they
+    are (None)."""
+
+    def one(b: Branch) -> Branch:
+        ok = CHECKED.get(b.detector)
+        if ok is None or required is None:
+            return b
+        if required:
+            return replace(b, keep=lambda x, t: ok(x["value"]))
+        failed = lambda x, t: F.when(ok(x["value"]), b.metadata(x, t) if b.metadata else F.create_map().cast("map<string,string>")).otherwise(meta(checksum=F.lit("failed")))
+        sure = b.confidence if callable(b.confidence) else lambda x, t: F.lit(b.confidence)
+        return replace(b, keep=None, confidence=lambda x, t: F.when(ok(x["value"]), sure(x, t)).otherwise(0.4), metadata=failed)
+
+    return tuple(map(one, branches))
+
+
 # ---- organisations and awards
 ORG_SUFFIX = rf"(\b)((?:[A-Z][\w&'’.\-]*\s+){{1,4}}(?:{v.ENTITY}))\b"
 ORG_CONTEXT = rf"((?i:{v.EMPLOYMENT})\s+(?:the\s+)?)([A-Z][\w&'’.\-]*(?:\s+[A-Z][\w&'’.\-]*){{0,3}})"

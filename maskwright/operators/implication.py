@@ -80,3 +80,8 @@ def implications(text: Column, folded: Column, implicates: frozenset[str] = froz
     if not live:
         return F.array().cast(FINDINGS)
     return claimed_in_turn([rule_spans(text, folded, r) for r in live])
+
+
+def describe(rules: tuple[Implication, ...] = RULES) -> list[dict]:
+    """What each rule says, for a report."""
+    return [{"rule": r.name, "label": r.label, "confidence": r.confidence, "implicates": r.implicates} for r in rules]

@@ -1,22 +1,25 @@
 """Terms that narrow an employer: exact, phrase and one-letter-off matches.
 
-Two physical forms of one look-up.  :func:`matches` is a column: the forms are sets and a
-map of literals, for lexicons of up to WIDE forms.  :func:`join_matches` joins exploded
-n-grams and deletions with the forms, for lexicons of any size; the forms are broadcast
-only if there are no more than BROADCAST of them.
+Three physical forms of one look-up.  :func:`matches` is a column: up to WIDE forms and one
+letter off they are sets and a map of literals; beyond that a Pandas UDF looks up in
+dictionaries that go to the workers (:func:`by_dictionary`), up to BROADCAST forms.
+:func:`join_matches` joins exploded n-grams and deletions with the forms, for lexicons of any
+size; the forms are broadcast only if there are no more than BROADCAST of them.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import FINDINGS, finding, token_key, token_place, token_values
+from ..functions.text import FINDINGS, TOKEN, finding, token_key, token_place, token_values
 from . import seed
 from .detectors import claimed_in_turn
 
@@ -43,9 +46,14 @@ def key_of(form: str) -> str:
     return "".join(c for c in form.lower() if c.isalnum())
 
 
-def less_one(key: str) -> list[str]:
-    """The key and what is left of it without any one character."""
-    return [key, *dict.fromkeys(key[:i] + key[i + 1 :] for i in range(len(key)))]
+def less(key: str, most: int = 1) -> dict[str, int]:
+    """What is left of the key without up to ``most`` characters, and how many are gone."""
+    out = {key: 0}
+    last = [key]
+    for gone in range(1, most + 1):
+        last = [x for k in last for x in dict.fromkeys(k[:i] + k[i + 1 :] for i in range(len(k))) if x and x not in out]
+        out |= dict.fromkeys(last, gone)
+    return out
 
 
 @dataclass(frozen=True)
@@ -78,17 +86,21 @@ class Lexicon:
         return out
 
     def fuzzy(self) -> dict[str, int]:
-        """Deletions of the forms of one word; distance 0 or 1."""
+        """Deletions of the forms of one word, up to ``max_distance``."""
         out: dict[str, int] = {}
         if self.max_distance:
             for i, t in enumerate(self.terms):
                 if not t.exact_only:
                     for f in t.forms:
                         if " " not in f:
-                            for d in less_one(key_of(f)):
+                            for d in less(key_of(f), self.max_distance):
                                 out.setdefault(d, i)
         return out
 
+    def describe(self) -> list[dict]:
+        """The terms as JSON has them."""
+        return [{"term": t.term, "category": t.category, "label": t.label or t.term, "aliases": list(t.aliases), "exact_only": t.exact_only} for t in self.terms]
+
     @property
     def longest(self) -> int:
         return max((len(f.split()) for t in self.terms for f in t.forms), default=1)
@@ -106,8 +118,8 @@ def matches(text: Column, lexicon: Lexicon) -> Column:
     exact, fuzzy = lexicon.exact(), lexicon.fuzzy()
     if not exact:
         return F.array().cast(FINDINGS)
-    if len(exact) > WIDE:
-        raise ValueError(f"{len(exact)} forms: use join_matches")
+    if len(exact) > WIDE or lexicon.max_distance > 1:
+        return by_dictionary(text, lexicon)
     table = F.create_map(*[F.lit(x) for k, i in exact.items() for x in (k, i)])
     close = F.create_map(*[F.lit(x) for k, i in fuzzy.items() for x in (k, i)]) if fuzzy else None
     terms = lexicon.terms
@@ -148,6 +160,55 @@ def matches(text: Column, lexicon: Lexicon) -> Column:
     return claimed_in_turn([*found, singles])
 
 
+def by_dictionary(text: Column, lexicon: Lexicon) -> Column:
+    """What :func:`matches` finds, by look-ups in the workers: for lexicons whose literals would
+    swell the plan, and for two letters off.  The forms go to each task, so more than
+    BROADCAST are refused; join those."""
+    exact, fuzzy, terms, longest, most = lexicon.exact(), lexicon.fuzzy(), lexicon.terms, lexicon.longest, lexicon.max_distance
+    if len(exact) > BROADCAST or len(fuzzy) > 20 * BROADCAST:
+        raise ValueError(f"{len(exact)} forms, {len(fuzzy)} with deletions: use join_matches")
+    lengths = [len(key_of(t.term)) for t in terms]
+    token, edge = re.compile(TOKEN), re.compile(r"[.\-&'’]+$")
+
+    def near(key):
+        """(term, letters off) of the nearest term, of equal ones the longest, then the first."""
+        best = None
+        for variant, gone in less(key, most).items():
+            i = fuzzy.get(variant)
+            if i is not None and (best is None or (gone, -lengths[i], i) < best):
+                best = (gone, -lengths[i], i)
+        return None if best is None else best[2]
+
+    def one(s):
+        tokens = [(m.start(), m.start() + len(edge.sub("", m[0]))) for m in token.finditer(s)]
+        keys = [key_of(s[a:b]) for a, b in tokens]
+        taken, out = [False] * len(tokens), []
+
+        def claim(at, n, i, off):
+            a, b = tokens[at][0], tokens[at + n - 1][1]
+            taken[at : at + n] = [True] * n
+            extra = {"distance": "1", "fuzzy": "true"} if off else {}
+            out.append({"start": a, "end": b, "category": terms[i].category, "detector": "lexicon_term", "stage": "deterministic", "confidence": 0.85 if off else 1.0, "value": s[a:b], "metadata": {"canonical": terms[i].term, "label": terms[i].label or terms[i].term, **extra}})
+
+        for n in range(longest, 1, -1):
+            for at in range(len(tokens) - n + 1):
+                if not any(taken[at : at + n]) and (i := exact.get("".join(keys[at : at + n]))) is not None:
+                    claim(at, n, i, False)
+        for at, key in enumerate(keys):
+            if taken[at] or not key:
+                continue
+            if (i := exact.get(key)) is not None:
+                claim(at, 1, i, False)
+            elif most and len(key) >= FUZZY_LEAST and (i := near(key)) is not None:
+                claim(at, 1, i, True)
+        return out
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([one(s) if s else [] for s in texts])
+
+    return F.pandas_udf(run, FINDINGS)(text)
+
+
 def form_rows(spark: SparkSession, lexicon: Lexicon) -> tuple[DataFrame, DataFrame]:
     """(exact, deletions) as rows ``key, term, label, category, length, seq``."""
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("term", T.StringType()), T.StructField("label", T.StringType()), T.StructField("category", T.StringType()), T.StructField("length", T.IntegerType()), T.StructField("seq", T.IntegerType())])

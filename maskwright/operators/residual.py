@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.masking import LABEL, PSEUDONYM
-from ..functions.text import spans
+from ..functions.text import fresh, spans
 from ..functions.vocabulary import OCCUPATION_FAMILY
 from .resolve import overlaps, splice
 
@@ -89,15 +89,23 @@ def decide(profile: Column, policy: Disclosure = Disclosure()) -> Column:
     return F.struct(action.alias("action"), cohort.alias("cohort"), F.when(few, drivers).otherwise(F.array().cast("array<string>")).alias("drivers"))
 
 
-def protect(df: DataFrame, column: str, policy: Disclosure = Disclosure(), out: str = "released") -> DataFrame:
-    """Adds ``out`` (text to release), ``action``, ``cohort`` and ``post_cohort`` (after
-    generalising, measured once more)."""
+def protect(df: DataFrame, column: str, policy: Disclosure = Disclosure(), out: str = "released", names: tuple[str, str, str] = ("action", "cohort", "post_cohort")) -> DataFrame:
+    """Adds ``out`` (text to release) and, under ``names``, the action, the cohort and, after
+    generalising, the cohort measured once more.  A name that clashes gets underscores."""
     text = F.col(column)
-    df = df.withColumn("_profile", measure(text, policy)).withColumn("_decision", decide(F.col("_profile"), policy))
-    cleaned = splice(text, _reducible(F.col("_profile")), lambda x: F.concat(F.lit("["), F.upper(x["kind"]), F.lit(" REDACTED]")))
-    df = df.withColumn(out, F.when(F.col("_decision.action") == "suppress", WITHHELD).when(F.col("_decision.action") == "generalise", cleaned).otherwise(text))
-    after = F.when(F.col("_decision.action") == "generalise", expected(measure(F.col(out), policy), policy))
-    return df.withColumn("post_cohort", after).withColumns({"action": F.col("_decision.action"), "cohort": F.col("_decision.cohort")}).drop("_profile", "_decision")
+    profile, decision = fresh(df, "_profile"), fresh(df, "_decision")
+    action, cohort, after = (fresh(df, n) for n in names)
+    out = fresh(df, out)
+    did = F.col(f"{decision}.action")
+    df = df.withColumn(profile, measure(text, policy)).withColumn(decision, decide(F.col(profile), policy))
+    cleaned = splice(text, _reducible(F.col(profile)), lambda x: F.concat(F.lit("["), F.upper(x["kind"]), F.lit(" REDACTED]")))
+    df = df.withColumn(out, F.when(did == "suppress", WITHHELD).when(did == "generalise", cleaned).otherwise(text))
+    df = df.withColumn(after, F.when(did == "generalise", expected(measure(F.col(out), policy), policy)))
+    return df.withColumns({action: did, cohort: F.col(f"{decision}.cohort")}).drop(profile, decision)
+
+
+def withheld(action: Column) -> Column:
+    return action == "suppress"
 
 
 def summarise(df: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fresh
 from ..plans.policy import DIRECT, QUASI
 
 # Weights, factors, bands, wording.
@@ -97,3 +98,17 @@ def band_rank(b: Column) -> Column:
 
 def needs_review(b: Column, threshold: str = "high") -> Column:
     return band_rank(b) >= band_rank(F.lit(threshold))
+
+
+def filter_by_band(df: DataFrame, column: str, least: str) -> DataFrame:
+    """The rows whose band is ``least`` or above.
+
+    A random column stands below the filter, which keeps the optimiser from pushing it down
+    through the projections that make the band, and all findings with it, once more."""
+    once = fresh(df, "_once")
+    return df.withColumn(once, F.rand()).where(needs_review(F.col(column), least) & (F.col(once) >= 0)).drop(once)
+
+
+def worst(*scores: Column) -> Column:
+    """The highest of a record's scores, nulls left out; 0 without any."""
+    return F.coalesce(F.greatest(*scores) if len(scores) > 1 else scores[0] if scores else F.lit(None), F.lit(0.0))

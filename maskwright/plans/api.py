@@ -3,15 +3,16 @@ runs over a stream."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.generalise import GENERALISERS, generalise
 from ..functions.masking import masked
-from ..functions.text import FINDINGS, aligned
+from ..functions.text import FINDINGS, aligned, fresh
 from ..operators import detectors as d
 from ..operators import residual, risk
 from ..operators.implication import implications
@@ -24,7 +25,7 @@ RANKS = {name: i for i, name in enumerate([*d.RANK, "organisation_name", "lexico
 
 def candidates(text: Column, folded: Column, policy: Policy, lexicon: Lexicon | None = None) -> list[Column]:
     """Columns of unresolved deterministic findings, one per family that is asked for."""
-    out = [d.detect(text, folded, d.DOCUMENT, policy.categories)]
+    out = [d.detect(text, folded, d.with_checksums(d.DOCUMENT, policy.require_checksum), policy.categories)]
     if policy.survey:
         out.append(d.detect(text, folded, (*d.ORGANISATION, *d.AWARD, *d.QUASI), policy.categories))
         if policy.enabled("internal_term") or policy.enabled("award"):
@@ -34,27 +35,45 @@ def candidates(text: Column, folded: Column, policy: Policy, lexicon: Lexicon |
     return out
 
 
-def with_findings(df: DataFrame, column: str, policy: Policy = Policy(), out: str = "findings", lexicon: Lexicon | None = None) -> DataFrame:
-    """Adds ``out``: resolved findings by start, then NLP findings in the gaps.
+Backend = Callable[[list[str]], list[list[tuple[int, int, str, float]]]]
+
+
+def plugged(text: Column, backend: Backend) -> Column:
+    """NLP findings of a backend of your own: a function of many texts that gives, for each, its
+    (start, end, category, confidence).  A Pandas UDF; the function goes to the workers."""
+    def run(texts: pd.Series) -> pd.Series:
+        got = backend(list(texts))
+        return pd.Series([[{"start": a, "end": b, "category": c, "detector": "plugged", "stage": "nlp", "confidence": float(p), "value": t[a:b], "metadata": {}} for a, b, c, p in found] for t, found in zip(texts, got, strict=True)])
+
+    return F.pandas_udf(run, FINDINGS)(text)
+
+
+def with_findings(df: DataFrame, column: str, policy: Policy = Policy(), out: str = "findings", lexicon: Lexicon | None = None, backend: Backend | None = None) -> DataFrame:
+    """Adds ``out``: resolved findings by start, then NLP findings in the gaps; those of
+    ``backend`` if one is given, else of the gazetteer.
 
     Null, empty and blank text has none.  Families are computed in projections of their
-    own, so that no generated method grows past what the JVM compiles.
+    own, so that no generated method grows past what the JVM compiles.  Columns of ``df``
+    stay as they are, whatever their names, but for one named ``out``.
     """
-    raw = F.coalesce(F.col(column), F.lit(""))
-    df = df.withColumns({"_text": raw, "_folded": aligned(raw)})
-    text, folded = F.col("_text"), F.col("_folded")
+    raw = F.coalesce(F.col(f"`{column}`"), F.lit(""))
+    at = {n: fresh(df, n) for n in ("_text", "_folded", "_found", "_nlp")}
+    df = df.withColumns({at["_text"]: raw, at["_folded"]: aligned(raw)})
+    text, folded, kept = F.col(at["_text"]), F.col(at["_folded"]), F.col(at["_found"])
     families = candidates(text, folded, policy, lexicon)
-    names = [f"_found{i}" for i in range(len(families))]
+    names = [fresh(df, f"_found{i}") for i in range(len(families))]
     df = df.withColumns(dict(zip(names, families, strict=True)))
     ok = lambda x: (x["confidence"] >= policy.min_confidence) & (x["category"].isin(*sorted(policy.categories)) if policy.categories is not None else F.lit(True))
-    df = df.withColumn("_found", F.filter(F.flatten(F.array(*[F.col(n) for n in names])), ok)).drop(*names)
-    df = df.withColumn("_found", resolve(F.col("_found"), RANKS))
+    df = df.withColumn(at["_found"], F.filter(F.flatten(F.array(*[F.col(n) for n in names])), ok)).drop(*names)
+    df = df.withColumn(at["_found"], resolve(kept, RANKS))
     if policy.nlp:
         least = max(policy.nlp_min_confidence, policy.min_confidence)
-        df = df.withColumn("_nlp", F.filter(d.detect(text, folded, d.GAZETTEER, policy.categories), lambda x: x["confidence"] >= least))
-        df = df.withColumn("_found", fill_gaps(F.col("_found"), F.col("_nlp"))).drop("_nlp")
-    found = F.when(F.trim(text) == "", F.array().cast(FINDINGS)).otherwise(outside_placeholders(text, F.col("_found")))
-    return df.withColumn(out, found).drop("_found", "_text", "_folded")
+        more = plugged(text, backend) if backend else d.detect(text, folded, d.GAZETTEER, policy.categories)
+        wanted = lambda x: (x["confidence"] >= least) & (x["category"].isin(*sorted(policy.categories)) if policy.categories is not None else F.lit(True))
+        df = df.withColumn(at["_nlp"], F.filter(more, wanted))
+        df = df.withColumn(at["_found"], fill_gaps(kept, F.col(at["_nlp"]))).drop(at["_nlp"])
+    found = F.when(F.trim(text) == "", F.array().cast(FINDINGS)).otherwise(outside_placeholders(text, kept))
+    return df.withColumn(out, found).drop(*(at[n] for n in ("_found", "_text", "_folded")))
 
 
 def replacement(policy: Policy):
@@ -81,15 +100,15 @@ def replacement(policy: Policy):
     return of
 
 
-def redact(df: DataFrame, column: str, policy: Policy = Policy(), out: str = "redacted", findings: str = "findings", lexicon: Lexicon | None = None) -> DataFrame:
+def redact(df: DataFrame, column: str, policy: Policy = Policy(), out: str = "redacted", findings: str = "findings", lexicon: Lexicon | None = None, backend: Backend | None = None) -> DataFrame:
     """Adds the findings of a text column and the text without them.  Null stays null."""
-    df = with_findings(df, column, policy, findings, lexicon)
-    return df.withColumn(out, splice(F.col(column), F.col(findings), replacement(policy)))
+    df = with_findings(df, column, policy, findings, lexicon, backend)
+    return df.withColumn(out, splice(F.col(f"`{column}`"), F.col(findings), replacement(policy)))
 
 
-def scan(df: DataFrame, id_col: str, column: str, policy: Policy = Policy(), lexicon: Lexicon | None = None) -> DataFrame:
+def scan(df: DataFrame, id_col: str, column: str, policy: Policy = Policy(), lexicon: Lexicon | None = None, backend: Backend | None = None) -> DataFrame:
     """A finding a row: ``id_col, ordinal, start, end, category, ...``."""
-    found = with_findings(df.select(id_col, column), column, policy, "findings", lexicon)
+    found = with_findings(df.select(id_col, column), column, policy, "findings", lexicon, backend)
     names = ("start", "end", "category", "detector", "stage", "confidence", "value", "metadata")
     each = F.transform("findings", lambda x, i: F.struct(i.alias("ordinal"), *[x[c].alias(c) for c in names]))
     # outer, then without the empty ones: of an inner one the optimiser infers a filter on the
@@ -113,16 +132,27 @@ def redact_frame(df: DataFrame, columns: Sequence[str] | None = None, policy: Po
     from .policy import survey_policy
 
     policy = policy or survey_policy()
-    for c in columns if columns is not None else text_columns(df):
-        df = redact(df, c, policy, f"{c}_redacted", f"{c}_findings", lexicon)
-        df = df.withColumn(f"{c}_assessed", risk.assess(F.coalesce(F.col(c), F.lit("")), F.col(f"{c}_findings"), audience))
-        df = df.withColumns({f"{c}_risk": F.col(f"{c}_assessed.score"), f"{c}_risk_band": F.col(f"{c}_assessed.band"), f"{c}_needs_review": risk.needs_review(F.col(f"{c}_assessed.band"), review)}).drop(f"{c}_assessed")
+    columns = list(columns) if columns is not None else text_columns(df)
+    made = {f"{c}_{x}" for c in columns for x in ("redacted", "findings", "risk", "risk_band", "needs_review", *(("action", "cohort") if disclosure else ()))}
+    if taken := sorted(made & set(df.columns)):
+        raise ValueError(f"the frame has columns {', '.join(taken)} already: rename or drop them")
+    for c in columns:
+        one, assessed = f"{c}_redacted", fresh(df, f"{c}_assessed")
+        df = redact(df, c, policy, one, f"{c}_findings", lexicon)
+        df = df.withColumn(assessed, risk.assess(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.col(f"{c}_findings"), audience))
+        at = F.col(assessed)
+        df = df.withColumns({f"{c}_risk": at["score"], f"{c}_risk_band": at["band"], f"{c}_needs_review": risk.needs_review(at["band"], review)}).drop(assessed)
         if disclosure:
-            df = residual.protect(df, f"{c}_redacted", disclosure, f"{c}_released").drop(f"{c}_redacted").withColumnRenamed(f"{c}_released", f"{c}_redacted")
-            df = df.withColumnRenamed("action", f"{c}_action").withColumnRenamed("cohort", f"{c}_cohort").drop("post_cohort")
+            whole, after = fresh(df, f"{c}_released"), fresh(df, f"{c}_after")
+            df = residual.protect(df, one, disclosure, whole, (f"{c}_action", f"{c}_cohort", after)).drop(one, after).withColumnRenamed(whole, one)
     return df
 
 
+def worst_risk(df: DataFrame, columns: Sequence[str], out: str = "worst_risk") -> DataFrame:
+    """Adds the highest risk score of a record's columns, after :func:`redact_frame`."""
+    return df.withColumn(fresh(df, out), risk.worst(*[F.col(f"{c}_risk") for c in columns]))
+
+
 def persistable(df: DataFrame, originals: Sequence[str]) -> DataFrame:
     """What may be written: neither the original texts nor the findings, which quote them."""
     gone = {*originals, *(f"{c}_findings" for c in originals)}
@@ -140,3 +170,24 @@ def summary(findings: Column) -> Column:
     count = lambda test: F.size(F.filter(findings, test))
     each = F.transform(kinds, lambda k: F.concat(k, F.lit("="), count(lambda x: x["category"] == k).cast("string")))
     return F.concat(F.size(findings).cast("string"), F.lit(" findings ("), count(lambda x: x["stage"] == "deterministic").cast("string"), F.lit(" deterministic, "), count(lambda x: x["stage"] == "nlp").cast("string"), F.lit(" nlp): "), F.array_join(each, ", "))
+
+
+def audit_json(record_id: Column, findings: Column, assessed: Column, disclosure: Column | None = None) -> Column:
+    """One object for an audit row: the record, what was found (without values), its risk and,
+    if given, the disclosure decision (action, cohort, drivers)."""
+    kinds = F.array_sort(F.array_distinct(F.transform(findings, lambda x: x["category"])))
+    found = F.transform(findings, lambda x: F.struct(x["category"].alias("category"), x["start"].alias("start"), x["end"].alias("end"), x["detector"].alias("detector"), x["stage"].alias("stage"), F.bround(x["confidence"], 4).alias("confidence"), x["metadata"].alias("metadata")))
+    parts = [record_id.alias("record_id"), F.size(findings).alias("finding_count"), kinds.alias("categories"), assessed.alias("risk"), *([disclosure.alias("disclosure")] if disclosure is not None else []), found.alias("findings")]
+    return F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
+
+
+def redact_text(spark: SparkSession, text: str | None, policy: Policy = Policy(), lexicon: Lexicon | None = None) -> str | None:
+    """One text, on the driver; for looking at a policy, not for data."""
+    return redact(spark.createDataFrame([(text,)], "t string"), "t", policy, lexicon=lexicon).first()["redacted"]
+
+
+def summarise_texts(spark: SparkSession, texts: Sequence[str | None], policy: Policy = Policy()) -> list[str]:
+    """The summary of each of a few texts, on the driver."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = redact(df, "t", policy).select("i", summary(F.col("findings")).alias("s")).collect()
+    return [r["s"] for r in sorted(rows, key=lambda r: r["i"])]

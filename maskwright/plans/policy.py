@@ -21,8 +21,9 @@ class Policy:
     """``categories``: None for all.  ``generalise``: widened to bands instead of masked.
     ``styles``: category (or "default") -> style.  ``survey``: organisation, lexicon, award,
     quasi-identifier and implication detectors too.  ``salt``: for hash and token; without
-    one, tokens get a salt made once on the driver.  ``require_context``: postcodes need
-    a label near them."""
+    one, tokens get a salt made once on the driver.  ``require_checksum``: True drops numbers
+    whose check digits fail, False keeps them all at confidence 0.4; None leaves it to each
+    detector."""
 
     categories: frozenset[str] | None = None
     generalise: frozenset[str] = frozenset()
@@ -36,6 +37,7 @@ class Policy:
     keep_prefix: int = 0
     keep_suffix: int = 4
     strict: bool = False
+    require_checksum: bool | None = None
     survey: bool = False
     implicates: frozenset[str] = frozenset(("person", "workplace"))
 
@@ -62,6 +64,10 @@ class Policy:
         d = asdict(self) | {"categories": sorted(self.categories) if self.categories is not None else None, "generalise": sorted(self.generalise), "implicates": sorted(self.implicates), "salt": self.salt.hex() if self.salt else None}
         return json.dumps(d, sort_keys=True)
 
+    def cache_key(self) -> str:
+        """Equal for equal policies, and only for them."""
+        return self.to_json()
+
     @staticmethod
     def from_json(text: str) -> Policy:
         d = json.loads(text)

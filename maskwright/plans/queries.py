@@ -354,9 +354,8 @@ _PICK = lambda i: "CASE s_suppkey % 10 " + " ".join(f"WHEN {k} THEN '{row[i]}'"
 
 @query("survey_detectors", f"SELECT s_suppkey, {_PICK(0)} AS category, {_PICK(2)} AS value FROM supplier")
 def survey_detectors(spark, sf):
-    df = read(spark, sf, "supplier").select("s_suppkey", F.expr(_PICK(1)).alias("t"), F.expr(_PICK(0)).alias("want"))
-    found = scan(df.select("s_suppkey", "t"), "s_suppkey", "t", Policy(survey=True)).join(df.select("s_suppkey", "want"), "s_suppkey")
-    return found.where("category = want").select("s_suppkey", "category", "value")
+    df = read(spark, sf, "supplier").select("s_suppkey", F.expr(_PICK(1)).alias("t"))
+    return scan(df, "s_suppkey", "t", Policy(survey=True)).select("s_suppkey", "category", "value")
 
 
 GAZ = (("name", "Name: Jane Smith, here", "Jane Smith"), ("location", "I am based in Hobart, mostly", "Hobart"), ("age", "she is 44 years old now", "44"), ("gender", "Sex: female", "female"))

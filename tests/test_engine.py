@@ -1,14 +1,17 @@
 """Detectors, resolution, rewriting, risk, residual and context on records with known results."""
 
 import itertools
+import json
 import random
 import re
 
+import maskwright as mw
 import pytest
 from maskwright.functions import checks as ck
 from maskwright.functions import vocabulary
-from maskwright.operators import context, residual
-from maskwright.operators.lexicon import Lexicon, Term, join_matches
+from maskwright.operators import context, implication, residual
+from maskwright.operators.lexicon import Lexicon, Term, by_dictionary, join_matches
+from maskwright.operators.lexicon import matches as lexicon_matches
 from maskwright.plans.api import free_text_columns, persistable, redact, redact_frame, scan, summary
 from maskwright.plans.corpus import generate, outcomes, recall, report
 from maskwright.plans.policy import Policy, survey_policy
@@ -231,3 +234,65 @@ def test_near_is_one_edit_away():
         far = {word[:i] + c + d + word[i + 2 :] for i in range(len(word) - 1) for c in "xz" for d in "xz"} | {word + "x"}
         pattern = re.compile(vocabulary.near(word))
         assert all(pattern.fullmatch(x) for x in close) and not any(pattern.fullmatch(x) for x in far)
+
+
+def test_lexicon_by_literals_and_by_dictionary(spark):
+    own = Lexicon((Term("Project Kestrel", aliases=("kestrel tool",)), Term("timesheet"), Term("rosterhub", exact_only=True), Term("payroller")))
+    texts = ["ProjectKestrel and the kestrel-tool", "my timeshete, time sheet; timesheets.", "rosterhubb rosterhub", "payrolle payroler payoller", "Project Kestrel timesheet, Kestrel", None, "", "none"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    literal = df.select("i", lexicon_matches(F.coalesce("t", F.lit("")), own).alias("m")).collect()
+    coded = df.select("i", by_dictionary(F.coalesce("t", F.lit("")), own).alias("m")).collect()
+    plain = lambda rows: {r.i: sorted((x.start, x.end, x.value, x.confidence, tuple(sorted(x.metadata.items()))) for x in r.m) for r in rows}
+    assert plain(literal) == plain(coded) and sum(map(len, plain(coded).values())) > 8
+    two = Lexicon(own.terms, max_distance=2)
+    policy = Policy(survey=True, categories=frozenset(("internal_term",)))
+    off = spark.createDataFrame([(1, "the timshet is late"), (2, "rosterhu")], "i int, t string")
+    assert [r.value for r in scan(off, "i", "t", policy, two).collect()] == ["timshet"]
+    assert scan(off, "i", "t", policy, own).count() == 0
+    large = own.merged(Lexicon(tuple(Term(f"systemname{i:05d}", exact_only=True) for i in range(20_000))))
+    got = scan(spark.createDataFrame([(1, "log in to systemname01234 or ProjectKestrel")], "i int, t string"), "i", "t", policy, large)
+    assert {r.value for r in got.collect()} == {"systemname01234", "ProjectKestrel"}
+
+
+def test_columns_with_clashing_names_stay(spark):
+    df = spark.createDataFrame([(1, "ring 0412 345 678, he is 44 years old", "a", "b", "c", "d")], "i int, t string, _text string, _found string, action string, cohort string")
+    out = redact(df, "t").first()
+    assert (out._text, out._found, out.redacted.startswith("ring *")) == ("a", "b", True)
+    kept = residual.protect(df, "t", residual.Disclosure(population=30))
+    row = kept.first()
+    assert (row.action, row.cohort) == ("c", "d") and row["action_"] == "generalise" and "released" in kept.columns
+    with pytest.raises(ValueError, match="t_redacted"):
+        redact_frame(df.withColumn("t_redacted", F.lit(1)), ["t"])
+
+
+def test_checksums_by_policy(spark):
+    df = spark.createDataFrame([(1, "TFN 123 456 789, card 4111 1111 1111 1112")], "i int, t string")
+    got = {k: {(r.category, r.confidence) for r in scan(df, "i", "t", Policy(require_checksum=k, categories=frozenset(("tfn", "credit_card")))).collect()} for k in (None, True, False)}
+    assert got == {None: {("credit_card", 0.4)}, True: set(), False: {("tfn", 0.4), ("credit_card", 0.4)}}
+
+
+def test_fold_maps_back(spark):
+    row = spark.createDataFrame([("José straße, 5T0P!",), (None,)], "t string").select(mw.fold(F.col("t")).alias("f")).select("f", mw.original_span(F.col("f"), F.lit(4), F.lit(11)).alias("s")).collect()
+    assert row[0].f.text == "josestrassestopi" and (row[0].s.start, row[0].s.end) == (5, 11) and row[1].f.text is None
+
+
+def test_reports(spark):
+    df = spark.createDataFrame([("R1", "mail jo@example.com, I am the only woman here", "ok"), ("R2", None, None)], "ResponseID string, Q1 string, Q2 string")
+    out = mw.worst_risk(redact_frame(df, ["Q1", "Q2"]), ["Q1", "Q2"])
+    scores = {r.ResponseID: (r.worst_risk, r.Q1_risk, r.Q2_risk) for r in out.collect()}
+    assert scores["R1"][0] == max(scores["R1"][1:]) > 0 and scores["R2"][0] == 0
+    assert {r.ResponseID for r in mw.filter_by_band(out, "Q1_risk_band", "high").collect()} == {"R1"}
+    audit = mw.with_findings(df, "Q1").select(mw.audit_json(F.col("ResponseID"), F.col("findings"), F.struct(F.lit(0.5).alias("score"))).alias("j"), mw.total_overlap(F.col("findings")).alias("n")).collect()
+    first = json.loads(audit[0].j)
+    assert first["record_id"] == "R1" and first["finding_count"] == 1 and first["categories"] == ["email"] and audit[0].n == 14 and "jo@" not in audit[0].j
+    assert mw.redact_text(spark, "mail jo@example.com", Policy(default_style="label")) == "mail [EMAIL]" and mw.redact_text(spark, None) is None
+    assert mw.summarise_texts(spark, ["x", "jo@example.com"]) == ["0 findings (0 deterministic, 0 nlp): ", "1 findings (1 deterministic, 0 nlp): email=1"]
+    assert Policy().cache_key() == Policy().cache_key() != Policy(nlp=True).cache_key()
+    assert len(Lexicon.load().describe()) > 80 and {d["rule"] for d in implication.describe()} >= {"clearance", "aps_level"}
+
+
+def test_own_nlp_backend(spark):
+    backend = lambda texts: [[(m.start(), m.end(), "name", 0.9) for m in re.finditer("Karen", t)] for t in texts]
+    df = spark.createDataFrame([(1, "Karen rang 0412 345 678"), (2, None), (3, "none")], "i int, t string")
+    got = {(r.i, r.category, r.stage) for r in scan(df, "i", "t", Policy(nlp=True), backend=backend).collect()}
+    assert got == {(1, "name", "nlp"), (1, "phone", "deterministic")}
