@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import fresh
 from .words import word_hashes
@@ -19,7 +21,7 @@ THRESHOLD = 0.5  # of the score that an item has against itself
 OVERLAP = 0.5  # of a part's words that lie in runs shared with the passage
 GRAM = 3
 BLOCK = 64
-ITEM_BYTES = 256 << 20  # an index larger than this is refused, not broadcast
+ITEM_BYTES = 256 << 20  # of text in an index; more items go into several, which score as one
 
 
 def _words(texts: list[str | None]) -> list[np.ndarray]:
@@ -61,6 +63,25 @@ def coverage(part: np.ndarray, passage: np.ndarray) -> float:
     return float(covered.mean())
 
 
+class Whole:
+    """What BM25 needs to know of all items together, added up part by part."""
+
+    def __init__(self):
+        self.n, self.words, self.longest = 0, 0, 1
+        self.terms, self.df = np.zeros(0, np.uint64), np.zeros(0)
+
+    def add(self, texts: list[str | None]) -> Whole:
+        items = _words(texts)
+        each = [np.unique(x) for x in items]
+        terms = np.concatenate([self.terms, *each])
+        df = np.concatenate([self.df, np.ones(len(terms) - len(self.terms))])
+        self.terms, place = np.unique(terms, return_inverse=True)
+        self.df = np.bincount(place, df, minlength=len(self.terms))
+        self.n, self.words = self.n + len(items), self.words + sum(map(len, items))
+        self.longest = max([self.longest, *map(len, items)])
+        return self
+
+
 class Index:
     """Postings of the test items with impacts relative to each item's own score.
 
@@ -68,20 +89,18 @@ class Index:
     threshold serves all items and an item of a passage that holds it whole scores 1.
     """
 
-    def __init__(self, ids: list[int], texts: list[str | None]):
-        items = _words(texts)
+    def __init__(self, ids: list, texts: list[str | None], whole: Whole | None = None):
+        items, whole = _words(texts), whole or Whole().add(texts)
         self.ids = ids
         parts = [question_answer(t or "") for t in texts]
         self.question, self.answer = _words([q for q, _ in parts]), _words([a for _, a in parts])
-        self.longest = max([1, *map(len, items)])
+        self.longest = whole.longest
         self.window = max(16, self.longest)  # half a passage: any item lies whole in one passage
         self.terms = np.unique(np.concatenate([*items, np.zeros(0, np.uint64)]))
-        n, rows = len(items), []
-        mean = max(1.0, sum(map(len, items)) / max(1, n))
+        n, rows = whole.n, []
+        mean = max(1.0, whole.words / max(1, n))
         sets = [np.unique(x, return_counts=True) for x in items]
-        df = np.zeros(len(self.terms))
-        for t, _ in sets:
-            df[np.searchsorted(self.terms, t)] += 1
+        df = whole.df[np.searchsorted(whole.terms, self.terms)]
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         for i, (t, tf) in enumerate(sets):
             at = np.searchsorted(self.terms, t)
@@ -96,7 +115,7 @@ class Index:
         self.blocks = [[(int(self.item[min(j + BLOCK, b) - 1]), float(self.impact[j : min(j + BLOCK, b)].max())) for j in range(a, b, BLOCK)] for a, b in zip(self.start[:-1], self.start[1:], strict=True)]
         # terms of few items; what all other terms of an item can give it together
         self.rare = df <= max(5, n * 0.02)
-        self.rest = np.bincount(self.item, np.where(self.rare[post[:, 0].astype(np.int64)], 0.0, self.impact), minlength=n) if len(post) else np.zeros(n)
+        self.rest = np.bincount(self.item, np.where(self.rare[post[:, 0].astype(np.int64)], 0.0, self.impact), minlength=len(items)) if len(post) else np.zeros(len(items))
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Term number of each word, -1 for words that no item has."""
@@ -207,14 +226,25 @@ class Index:
         return out
 
 
-def build_index(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Index:
-    """The index of all test items, on the driver: refused beyond ITEM_BYTES of text."""
+def build_index(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", item_bytes: int = ITEM_BYTES) -> list[Index]:
+    """Indexes of all test items, each of about ``item_bytes`` of text, made one after the other
+    on the driver.  All have the counts of all items (:class:`Whole`), so an item scores the
+    same whichever index has it.  Null texts have no words, ids may be null or repeat."""
     rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0]
-    if size > ITEM_BYTES:
-        raise ValueError(f"the test items have {size} bytes; an index holds {ITEM_BYTES}: pass them in parts")
-    got = sorted(rows.collect(), key=lambda r: (r["i"] is None, r["i"], r["t"] or ""))
-    return Index([r["i"] for r in got], [r["t"] for r in got])
+    parts = max(1, -(-size // item_bytes))
+    part = F.pmod(F.xxhash64("i", "t"), F.lit(parts))
+
+    def items(k):
+        return sorted(rows.where(part == k).collect(), key=lambda r: (r["i"] is None, r["i"], r["t"] or ""))
+
+    whole = Whole()
+    if parts == 1:
+        got = items(0)
+        return [Index([r["i"] for r in got], [r["t"] for r in got], whole.add([r["t"] for r in got]))]
+    for k in range(parts):
+        whole.add([r["t"] for r in items(k)])
+    return [Index([r["i"] for r in got], [r["t"] for r in got], whole) for got in map(items, range(parts))]
 
 
 def _texts(batch: pa.RecordBatch, column: int, index: Index, threshold: float, overlap: float):
@@ -222,7 +252,7 @@ def _texts(batch: pa.RecordBatch, column: int, index: Index, threshold: float, o
         yield row, index.leaks(h, threshold, overlap) if len(h) else {}
 
 
-def find_leaks(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+def find_leaks(docs: DataFrame, index: list[Index], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, item_type: T.DataType = T.LongType()) -> DataFrame:
     """Every (document, test item) of which a passage holds the item.
 
     Every passage of every whole text queries the index; items that reach
@@ -234,11 +264,14 @@ def find_leaks(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col:
 
     Words are runs of letters and digits, A-Z lower-cased.  Null, empty texts and empty
     items match nothing.  Rows that repeat an id give their own rows, as do items that
-    repeat.  Other columns are not read.  No shuffle; the index is broadcast, its size
-    checked by :func:`build_index`.
+    repeat; ``item_id`` has the type of the items' ids.  Other columns are not read.  No
+    shuffle; the indexes are broadcast, each of the size that :func:`build_index` sets.
     """
-    held = docs.sparkSession.sparkContext.broadcast(index)
+    out = [_leaks_of(docs, docs.sparkSession.sparkContext.broadcast(one), id_col, text_col, threshold, overlap, item_type) for one in index]
+    return reduce(DataFrame.unionByName, out)
+
 
+def _leaks_of(docs: DataFrame, held, id_col: str, text_col: str, threshold: float, overlap: float, item_type: T.DataType) -> DataFrame:
     def run(batches):
         ix = held.value
         for batch in batches:
@@ -248,16 +281,25 @@ def find_leaks(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col:
                     of.append(row)
                     for c, v in zip(cols, (ix.ids[i], *x), strict=True):
                         c.append(v)
-            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+            kinds = (to_arrow_type(item_type), pa.float64(), pa.float64(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[batch.schema.names[0], "item_id", "score", "question_overlap", "answer_overlap", "word_at"])
 
     src = docs.select(F.col(id_col), F.col(text_col))
-    return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, item_id long, score double, question_overlap double, answer_overlap double, word_at long")
+    return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, item_id {item_type.simpleString()}, score double, question_overlap double, answer_overlap double, word_at long")
+
+
+def decontaminate(docs: DataFrame, index: list[Index], text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """The rows of ``docs`` whose text holds no test item, columns as they were.
+
+    Null and empty texts stay, as do all rows where there are no items; repeated rows share
+    their fate, null ids do not matter, and columns that the operator does not know, whatever
+    their names, come through."""
+    for one in index:
+        docs = _without_leaks(docs, docs.sparkSession.sparkContext.broadcast(one), text_col, threshold, overlap)
+    return docs
 
 
-def decontaminate(docs: DataFrame, index: Index, text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """The rows of ``docs`` whose text holds no test item, columns as they were."""
-    held = docs.sparkSession.sparkContext.broadcast(index)
+def _without_leaks(docs: DataFrame, held, text_col: str, threshold: float, overlap: float) -> DataFrame:
     flag, at = fresh(docs, "leaked"), docs.columns.index(text_col)
 
     def run(batches):
@@ -270,5 +312,6 @@ def decontaminate(docs: DataFrame, index: Index, text_col: str = "text", thresho
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = build_index(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), index)
+    """All columns of :func:`find_leaks`, whose rules for nulls, ties and repeated rows hold."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), build_index(items), item_type=items.schema["item_id"].dataType)

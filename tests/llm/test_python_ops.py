@@ -16,6 +16,7 @@ from maskwright.llm import ngram_lm as L
 from maskwright.llm import packing as P
 from maskwright.llm import token_counts as T
 from maskwright.llm import toxicity as X
+from pyspark.sql.types import StringType
 from tokenizers import Tokenizer
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -435,6 +436,15 @@ def test_block_max_wand_brute_force(spark):
     kept = D.decontaminate(frame(spark, rows), D.build_index(bench))
     assert kept.columns == frame(spark, []).columns and {x.doc_id for x in kept.collect()} == {2, 3, 4, 6}
     assert D.find_leaks(frame(spark, rows), D.build_index(bench.limit(0))).count() == 0
+    parts = D.build_index(bench, item_bytes=3000)
+    assert len(parts) > 3 and sum(len(x.ids) for x in parts) == len(items)
+    rows += [(10 + k, " ".join(items[k][1].split()[: 12 + k])) for k in range(0, 60, 3)]
+    one, several = ({tuple(x) for x in D.find_leaks(frame(spark, rows), ix, threshold=0.3, overlap=0.2).collect()} for ix in (D.build_index(bench), parts))
+    rounded = lambda found: {(*x[:2], *(round(v, 9) for v in x[2:])) for x in found}
+    assert rounded(one) == rounded(several) and len(one) > 5
+    assert {x.doc_id for x in D.decontaminate(frame(spark, rows), parts).collect()} == {x.doc_id for x in D.decontaminate(frame(spark, rows), D.build_index(bench)).collect()}
+    named = D.build_index(spark.createDataFrame([("a-7", items[7][1]), (None, "z")], "item_id string, text string"))
+    assert [(x.doc_id, x.item_id) for x in D.find_leaks(frame(spark, rows), named, item_type=StringType()).collect()] == [(1, "a-7")]
 
 
 def test_toxicity_learns_and_holds_out(spark):
