@@ -395,14 +395,14 @@ def events_windowed_triage(spark, sf):
 def eval_recall_by_kind_form(spark, sf):
     from .corpus import generate, outcomes, recall
 
-    return recall(outcomes(generate(spark, 400)))
+    return recall(outcomes(generate(spark, read(spark, sf, "customer").count())))  # as many records as customers
 
 
 @query("eval_overmasking")
 def eval_overmasking(spark, sf):
     from .corpus import generate, over_masking
 
-    return over_masking(generate(spark, 400))
+    return over_masking(generate(spark, read(spark, sf, "customer").count()))
 
 
 @query("ctx_rule_counts")
