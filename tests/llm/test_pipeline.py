@@ -31,3 +31,25 @@ def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in C.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls in every column, repeats, a very long text, extra columns with clashing names, and
+    no rows at all: no stage fails, all but the last keep the columns, clean rows come through."""
+    clean = [(i, " ".join(f"w{(i * 97 + j * 31) % 5000}" for j in range(60)), "en", "s", 1) for i in range(40)]
+    rows = [*clean, (None, None, None, None, None), (50, None, "de", None, 0), (51, "", "en", "s", 0), clean[3], clean[3], (52, "long words here " * 20_000, "en", "s", 1), (None, clean[5][1], "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, flagged int, gone string, node long, _hash string, score double"
+    docs = spark.createDataFrame([(*r, 1, "g", 2, "h", 0.5) for r in rows], schema)
+    spark.createDataFrame([(i, 0, int(i % 9 == 0)) for i in range(20)] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "what is the answer here? it is forty two and no more"), (None, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for frame in (docs, docs.limit(0)):
+        for name, stage in C.STAGES:
+            out = stage(spark, frame, str(tmp_path))
+            got = out.collect()
+            if name == "best-fit packing":
+                assert len({(r.doc_id) for r in got}) == len({r.doc_id for r in frame.collect()})
+            else:
+                assert out.columns == docs.columns
+                if frame is docs and name != "toxicity":
+                    assert {r[0] for r in clean} <= {r.doc_id for r in got}
+                    assert {50, 51} <= {r.doc_id for r in got} and sum(r.doc_id is None for r in got) == 2
