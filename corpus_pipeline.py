@@ -18,32 +18,38 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier flags go.  It learns from the labelled rows of ``docs``."""
+    """Documents that the classifier flags go.  It learns from the labelled rows of ``docs``;
+    null and empty texts are scored as empty, rows that repeat an id share their fate, a null
+    id has no label, and without labels nothing is flagged that the bias alone would not be."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
     return toxicity.screen(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows go; a document keeps its row even if no
-    line is left.  ``n_chars`` follows the text."""
+    line is left.  ``n_chars`` follows the text.  Null texts stay null, ties in place go by
+    the text's hash (:func:`line_dedup.line_dedup`), blank windows are left alone."""
     out = line_dedup.line_dedup(docs)
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the least id stays."""
+    """Of each class of linked documents the one with the least id stays, with all rows that
+    repeat it.  Null ids, null and empty texts link with nothing and stay."""
     out = jaccard_join.jaccard_join(docs)
     rest = out.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a passage holds a test item go."""
+    """Documents of which a passage holds a test item go; null and empty texts stay, and all
+    stay where there are no items."""
     return decontamination.decontaminate(docs, decontamination.build_index(spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces in sequences of at most 4096 tokens."""
+    """Pieces in sequences of at most 4096 tokens; a null or empty text is one piece of the end
+    token, and every row is packed, repeated ids too."""
     pieces = packing.with_digest(packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")))
     return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
