@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # The bands.
 AGE_BANDS = ((0, 17, "under 18"), (18, 24, "18-24"), (25, 34, "25-34"), (35, 44, "35-44"), (45, 54, "45-54"), (55, 64, "55-64"), (65, 74, "65-74"), (75, 120, "75+"))
 TENURE_BANDS = ((2, "under 2 years"), (5, "2-4 years"), (10, "5-9 years"), (20, "10-19 years"), (30, "20-29 years"), (40, "30-39 years"))
@@ -43,29 +45,32 @@ def _with_rest(v: Column, band: Column) -> Column:
     return F.concat(band, F.when(found.rlike(UNIT), "").otherwise(found))
 
 
+def _band(n: Column, bands, top: Column) -> Column:
+    """The first band whose test ``n`` passes; bands: (test, name)."""
+    out = top
+    for test, name in reversed(bands):
+        out = F.when(test(n), name).otherwise(out)
+    return out
+
+
 def age(v: Column) -> Column:
-    n = parse_number(v).cast("int")
-    out = v
-    for lo, hi, band in AGE_BANDS:
-        out = F.when(n.between(lo, hi), band).otherwise(out)
-    return F.when(_open(v), out).otherwise(v)
+    bands = [(lambda n, lo=lo, hi=hi: n.between(lo, hi), band) for lo, hi, band in reversed(AGE_BANDS)]
+    return F.when(_open(v), let(parse_number(v).cast("int"), lambda n: _band(n, bands, v))).otherwise(v)
 
 
 def tenure(v: Column) -> Column:
-    n = parse_number(v)
-    band = F.lit(TENURE_TOP)
-    for top, name in reversed(TENURE_BANDS):
-        band = F.when(n.cast("int") < top, name).otherwise(band)
-    year = n.between(1900, 2099) & v.rlike(r"^\s*(?:19|20)\d{2}\s*$")
-    return F.when(~_open(v), v).when(year, F.trim(v)).otherwise(_with_rest(v, band))
+    bands = [(lambda n, top=top: n.cast("int") < top, name) for top, name in TENURE_BANDS]
+
+    def banded(n):
+        year = n.between(1900, 2099) & v.rlike(r"^\s*(?:19|20)\d{2}\s*$")
+        return F.when(year, F.trim(v)).otherwise(_with_rest(v, _band(n, bands, F.lit(TENURE_TOP))))
+
+    return F.when(_open(v), let(parse_number(v), banded)).otherwise(v)
 
 
 def team_size(v: Column) -> Column:
-    n = parse_number(v).cast("int")
-    band = F.lit(TEAM_TOP)
-    for top, name in reversed(TEAM_BANDS):
-        band = F.when(n <= top, name).otherwise(band)
-    return F.when(~_open(v), v).otherwise(_with_rest(v, band))
+    bands = [(lambda n, top=top: n <= top, name) for top, name in TEAM_BANDS]
+    return F.when(_open(v), _with_rest(v, let(parse_number(v).cast("int"), lambda n: _band(n, bands, F.lit(TEAM_TOP))))).otherwise(v)
 
 
 def date(v: Column) -> Column:
