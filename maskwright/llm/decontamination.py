@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import fresh
+from .common import fresh, lean
 from .words import word_hashes
 
 K1, B = 1.2, 0.75
@@ -285,7 +285,7 @@ def _leaks_of(docs: DataFrame, held, id_col: str, text_col: str, threshold: floa
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[batch.schema.names[0], "item_id", "score", "question_overlap", "answer_overlap", "word_at"])
 
     src = docs.select(F.col(id_col), F.col(text_col))
-    return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, item_id {item_type.simpleString()}, score double, question_overlap double, answer_overlap double, word_at long")
+    return src.mapInArrow(lean(run), f"`{id_col}` {src.schema[0].dataType.simpleString()}, item_id {item_type.simpleString()}, score double, question_overlap double, answer_overlap double, word_at long")
 
 
 def decontaminate(docs: DataFrame, index: list[Index], text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
@@ -307,7 +307,7 @@ def _without_leaks(docs: DataFrame, held, text_col: str, threshold: float, overl
             leaked = [bool(found) for _, found in _texts(batch, at, held.value, threshold, overlap)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaked, pa.bool_())], names=[*batch.schema.names, flag])
 
-    out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(flag, T.BooleanType())]))
+    out = docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(flag, T.BooleanType())]))
     return out.where(~F.col(flag)).drop(flag)
 
 

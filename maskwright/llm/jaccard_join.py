@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_join, release, table
+from .common import keyed_join, lean, release, table
 from .components import components
 from .sketch import encode, summed, total
 from .words import mix, shingles, word_hashes
@@ -147,7 +147,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def _frame(i, n, a, b, c, odd):
             return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()) if isinstance(i, list) else i, pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary()), *[pa.array(x, pa.int64()) for x in odd]], names=["id", "n", "node", "check", "counts", *bits_of])
 
-        return src.mapInArrow(run, "id long, n long, node long, check long, counts binary" + "".join(f", {c} long" for c in bits_of))
+        return src.mapInArrow(lean(run), "id long, n long, node long, check long, counts binary" + "".join(f", {c} long" for c in bits_of))
 
     bits_of = [f"p{i}" for i in range(WORDS_OF_BITS)]
 
@@ -214,8 +214,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     share = lambda n: F.least(F.ceil(n * percent / 100), 1 + F.floor(n / 20))  # noqa: E731  of prefix_length
     kinds = "gram long, node long, n int, pos int"
-    dealt = src.mapInArrow(prefixes, kinds).repartition("gram").sortWithinPartitions("gram", "node")
-    some = table(dealt.mapInArrow(shared, kinds))
+    dealt = src.mapInArrow(lean(prefixes), kinds).repartition("gram").sortWithinPartitions("gram", "node")
+    some = table(dealt.mapInArrow(lean(shared), kinds))
     # a node that links with any shares at least so many of its rare shingles
     enough = some.groupBy("node").agg(F.count(F.lit(1)).alias("g"), F.first("n").alias("n")).where(F.col("g") >= share(F.ceil(F.col("n") * percent / 100)))
     posts = table(some.join(enough.select("node"), "node", "left_semi").select("gram", "node", "n", "pos"))
@@ -263,7 +263,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if size:
                 yield rows_of(cols)
 
-    kept = src.mapInArrow(segments, "node long, frag int, seg array<long>").groupBy("node", "frag").agg(F.first("seg").alias("seg"))
+    kept = src.mapInArrow(lean(segments), "node long, frag int, seg array<long>").groupBy("node", "frag").agg(F.first("seg").alias("seg"))
     segs = table(kept)
 
     def verified(pairs: DataFrame) -> DataFrame:

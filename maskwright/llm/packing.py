@@ -12,6 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 MEMO = 500_000  # words in each of a worker's two generations
 OPEN_BINS = 64
 
@@ -176,7 +178,7 @@ def pack_documents(docs: DataFrame, file: str, id_col: str = "doc_id", text_col:
 
     src = docs.select(F.col(id_col), F.col(text_col))
     kind = src.schema[0].dataType.simpleString()
-    return src.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids binary, sequence_id long, offset long")
+    return src.mapInArrow(lean(run), f"`{id_col}` {kind}, piece int, start long, length long, ids binary, sequence_id long, offset long")
 
 
 def with_digest(pieces: DataFrame) -> DataFrame:

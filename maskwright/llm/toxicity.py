@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, lean
 from .words import word_hashes
 
 PREFIXES = (4, 5, 6, 7, 9)
@@ -234,7 +234,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array(s >= np.array(limit))], names=[batch.schema.names[0], "score", "flagged"])
 
     src = docs.select(F.col(id_col), F.col(text_col), (F.col(lang_col) if lang_col else F.lit(None)).cast("string").alias("lang"))
-    return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, score double, flagged boolean")
+    return src.mapInArrow(lean(run), f"`{id_col}` {src.schema[0].dataType.simpleString()}, score double, flagged boolean")
 
 
 def screen(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
@@ -257,7 +257,7 @@ def screen(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str
             limit = [m.thresholds.get(str(x.as_py() or ""), 0.5) for x in batch.column(lang_at)] if lang_at is not None else 0.5
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s >= np.array(limit))], names=[*batch.schema.names, flag])
 
-    out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(flag, T.BooleanType())]))
+    out = docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(flag, T.BooleanType())]))
     return out.where(~F.col(flag)).drop(flag)
 
 

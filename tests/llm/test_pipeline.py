@@ -1,6 +1,8 @@
 """The pipeline's stages on the smallest tables: each stage's decisions take effect."""
 
 import corpus_pipeline as C
+import pyarrow as pa
+from maskwright.llm import decontamination as D
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +55,26 @@ def test_stages_on_awkward_rows(spark, tmp_path):
                 if frame is docs and name != "toxicity":
                     assert {r[0] for r in clean} <= {r.doc_id for r in got}
                     assert {50, 51} <= {r.doc_id for r in got} and sum(r.doc_id is None for r in got) == 2
+
+
+def test_a_worker_gives_back_what_a_stage_freed(spark, monkeypatch):
+    """The task of a stage leaves its worker little more memory than it found: the next stage's
+    comes on top (packing went over 3000 MB an executor)."""
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    task = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: task.append(run) or self.selectExpr("*", "false AS leaked"))
+    D.decontaminate(docs, [D.Index([1], ["what is the answer here? it is forty two and no more"])])
+
+    def batches(n, rows):
+        for k in range(n):
+            texts = [" ".join(f"w{(i * 97 + j * 31 + k) % 5000}" for j in range(900)) for i in range(rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(rows)), pa.array(texts)], names=["doc_id", "text"])
+
+    def held():
+        with open("/proc/self/status") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("RssAnon")) // 1024
+
+    assert sum(map(len, task[0](batches(1, 20)))) == 20  # what is made once
+    before = held()
+    assert sum(map(len, task[0](batches(2, 6000)))) == 12_000
+    assert held() - before < 45
