@@ -11,6 +11,7 @@ from .line_dedup import OP4_SQL, op4_line_dedup
 from .ngram_lm import op6_ngram_lm
 from .packing import op7_best_fit_packing
 from .secret_scan import OP2_SQL, op2_secret_scan
+from .suffix_dedup import OP11_SQL, op11_suffix_dedup
 from .token_counts import op3_token_counts
 from .toxicity import op1_toxicity
 from .whitening import op13_whitening
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_html_text": op9_html_text,
     "op10_decontamination": op10_decontamination,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_whitening": op13_whitening,
 }
@@ -34,5 +36,6 @@ SQL = {
     "op4_line_dedup": OP4_SQL,
     "op5_jaccard_join": OP5_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op11_suffix_dedup": OP11_SQL,
     "op12_hard_negatives": OP12_SQL,
 }
