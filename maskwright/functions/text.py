@@ -51,13 +51,38 @@ def normalise(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"(?U)[\s_/\\|]+", " "))
 
 
-def spans(text: Column, pattern: str, group: int = 0, gate: str | None = None) -> Column:
+def quoted(s: str) -> str:
+    """A string literal of SQL."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def column(text: Column | str) -> Column:
+    return F.col(f"`{text}`") if isinstance(text, str) else text
+
+
+def spans_sql(name: str, pattern: str, group: int = 0, gate: str | None = None) -> str:
+    """What :func:`spans` makes of a column, said in one SQL text: a policy asks for dozens, and
+    each call from here to the JVM counts."""
+    t, p = f"`{name}`", quoted(pattern)
+    whole = f"regexp_extract_all({t}, {p}, 0)"
+    before, value = (f"regexp_extract_all({t}, {p}, 1)", f"regexp_extract_all({t}, {p}, 2)") if group else (whole, whole)
+    a = "acc.at + length(x.gap)"
+    s = f"{a} + length(x.before)" if group else a
+    kind = "array<struct<start:int,end:int,value:string,whole:string>>"
+    each = f"zip_with(slice(split({t}, {p}, -1), 1, size({whole})), arrays_zip({whole}, {before}, {value}), (g, z) -> named_struct('gap', g, 'whole', z.`0`, 'before', z.`1`, 'value', z.`2`))"
+    step = f"(acc, x) -> named_struct('at', {a} + length(x.whole), 'out', concat(acc.out, array(named_struct('start', {s}, 'end', {s} + length(x.value), 'value', x.value, 'whole', x.whole))))"
+    return f"CASE WHEN {t} RLIKE {quoted(gate or pattern)} THEN aggregate({each}, named_struct('at', 0, 'out', CAST(array() AS {kind})), {step}, acc -> acc.out) ELSE CAST(array() AS {kind}) END"
+
+
+def spans(text: Column | str, pattern: str, group: int = 0, gate: str | None = None) -> Column:
     """array<struct<start,end,value,whole>> of every match, in code points.
 
     With ``group`` the pattern must read (before)(value)(after) from its start, all
     inside the match, and the span is that of the second group.  The parts
-    between matches carry the place, in one fold.
+    between matches carry the place, in one fold.  ``text`` may be a column's name.
     """
+    if isinstance(text, str):
+        return F.expr(spans_sql(text, pattern, group, gate))
     p = F.lit(pattern)
     whole = F.regexp_extract_all(text, p, F.lit(0))
     before = F.regexp_extract_all(text, p, F.lit(1)) if group else whole
@@ -132,6 +157,20 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def pinned(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with ``columns``, each computed once a row.
+
+    A projection is merged into those above it, and one that they name several times, or within a
+    lambda, is then computed as often; plans grow with every merge.  What a generator makes stays
+    where it is, and filters on it stay above: here one row for each, by ``inline_outer`` of one
+    element (of the inner one the optimiser infers a filter, which computes it once more).
+    Shuffles nothing, runs in streams too.  A column of the same name is replaced.
+    """
+    gone = {c.lower() for c in columns}
+    made = F.inline_outer(F.array(F.struct(*[v.alias(c) for c, v in columns.items()])))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone], made)
+
+
 def total_overlap(found: Column) -> Column:
     """Characters that spans (``start``, ``end``) take together."""
     return F.aggregate(found, F.lit(0), lambda acc, x: acc + (x["end"] - x["start"]))

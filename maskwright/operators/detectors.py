@@ -17,7 +17,7 @@ from ..functions import checks as ck
 from ..functions import generalise as gen
 from ..functions import vocabulary as v
 from ..functions.parse import DATE_NAMED, DATE_NUMERIC, parse_date, parse_phone
-from ..functions.text import FINDINGS, finding, meta, spans, token_key
+from ..functions.text import FINDINGS, column, finding, meta, spans, token_key
 
 Test = Callable[[Column, Column], Column]
 
@@ -46,10 +46,11 @@ class Branch:
     parse: Callable | None = None
 
 
-def run(b: Branch, text: Column, folded: Column) -> Column:
+def run(b: Branch, text: Column | str, folded: Column | str) -> Column:
     """array of findings of one branch."""
+    found = spans(folded if b.fold else text, b.pattern, b.group, b.gate)
+    text, folded = column(text), column(folded)
     on = folded if b.fold else text
-    found = spans(on, b.pattern, b.group, b.gate)
 
     def shift(x, value):
         lead = F.instr(x["value"], value) - 1
@@ -299,9 +300,10 @@ def claimed_in_turn(found: Sequence[Column]) -> Column:
     return F.aggregate(each, F.array().cast(FINDINGS), lambda kept, x: F.when(F.exists(kept, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), kept).otherwise(F.concat(kept, F.array(x))))
 
 
-def detect(text: Column, folded: Column, branches: Sequence[Branch], categories: frozenset[str] | None = None) -> Column:
+def detect(text: Column | str, folded: Column | str, branches: Sequence[Branch], categories: frozenset[str] | None = None) -> Column:
     """array of all findings of the branches that a policy's categories ask for.
-    ``folded``: the text aligned, a column of its own so that it is made once."""
+    ``folded``: the text aligned, a column of its own so that it is made once.  Both may be
+    names, which is quicker to plan."""
     wanted = [b for b in branches if categories is None or categories & set(b.categories)]
     if not wanted:
         return F.array().cast(FINDINGS)

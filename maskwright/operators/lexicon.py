@@ -23,7 +23,7 @@ from ..functions.text import FINDINGS, TOKEN, finding, token_key, token_place, t
 from . import seed
 from .detectors import claimed_in_turn
 
-WIDE = 5_000
+WIDE = 64
 BROADCAST = 1_000_000
 FUZZY_LEAST = 6  # characters of a token that may be one letter off
 

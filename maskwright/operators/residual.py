@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.masking import LABEL, PSEUDONYM
-from ..functions.text import fresh, spans
+from ..functions.text import fresh, pinned, spans
 from ..functions.vocabulary import OCCUPATION_FAMILY
 from .resolve import overlaps, splice
 
@@ -97,7 +97,7 @@ def protect(df: DataFrame, column: str, policy: Disclosure = Disclosure(), out:
     action, cohort, after = (fresh(df, n) for n in names)
     out = fresh(df, out)
     did = F.col(f"{decision}.action")
-    df = df.withColumn(profile, measure(text, policy)).withColumn(decision, decide(F.col(profile), policy))
+    df = pinned(pinned(df, {profile: measure(text, policy)}), {decision: decide(F.col(profile), policy)})
     cleaned = splice(text, _reducible(F.col(profile)), lambda x: F.concat(F.lit("["), F.upper(x["kind"]), F.lit(" REDACTED]")))
     df = df.withColumn(out, F.when(did == "suppress", WITHHELD).when(did == "generalise", cleaned).otherwise(text))
     df = df.withColumn(after, F.when(did == "generalise", expected(measure(F.col(out), policy), policy)))

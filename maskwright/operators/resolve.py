@@ -51,13 +51,14 @@ def outside_placeholders(text: Column, found: Column) -> Column:
 
 
 def splice(text: Column, found: Column, replacement) -> Column:
-    """The text with each finding (none overlapping) replaced, left to right in one fold."""
-    order = F.array_sort(F.transform(found, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), i.alias("i"))))
+    """The text with each finding (none overlapping) replaced, left to right in one fold.
+    Replacements are made once a finding, before the fold, which only puts parts together."""
+    order = F.array_sort(F.transform(found, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), i.alias("i"), replacement(x).alias("to"))))
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, k):
         piece = F.substring(text, acc["at"] + 1, k["start"] - acc["at"])
-        return F.struct(k["end"].alias("at"), F.concat(acc["out"], piece, replacement(F.get(found, k["i"]))).alias("out"))
+        return F.struct(k["end"].alias("at"), F.concat(acc["out"], piece, k["to"]).alias("out"))
 
     done = F.aggregate(order, first, step)
     whole = F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))

@@ -12,24 +12,26 @@ from pyspark.sql import types as T
 
 from ..functions.generalise import GENERALISERS, generalise
 from ..functions.masking import masked
-from ..functions.text import FINDINGS, aligned, fresh
+from ..functions.text import FINDINGS, aligned, fresh, pinned
 from ..operators import detectors as d
 from ..operators import residual, risk
 from ..operators.implication import implications
 from ..operators.lexicon import Lexicon, matches
+from ..operators.lexicon_table import LexiconTable, with_joined
 from ..operators.resolve import fill_gaps, outside_placeholders, resolve, splice
 from .policy import CATEGORIES, Policy
 
 RANKS = {name: i for i, name in enumerate([*d.RANK, "organisation_name", "lexicon_term", "award_code", "job_title", "tenure", "team_size", "employment_status", "health_detail", "implication"])}
 
 
-def candidates(text: Column, folded: Column, policy: Policy, lexicon: Lexicon | None = None) -> list[Column]:
-    """Columns of unresolved deterministic findings, one per family that is asked for."""
+def candidates(text: str, folded: str, policy: Policy, lexicon: Lexicon | LexiconTable | None = None) -> list[Column]:
+    """Columns of unresolved deterministic findings, one per family that is asked for;
+    ``text`` and ``folded`` are names of columns."""
     out = [d.detect(text, folded, d.with_checksums(d.DOCUMENT, policy.require_checksum), policy.categories)]
     if policy.survey:
         out.append(d.detect(text, folded, (*d.ORGANISATION, *d.AWARD, *d.QUASI), policy.categories))
-        if policy.enabled("internal_term") or policy.enabled("award"):
-            out.append(matches(text, lexicon if lexicon is not None else Lexicon.load()))
+        if (policy.enabled("internal_term") or policy.enabled("award")) and not isinstance(lexicon, LexiconTable):
+            out.append(matches(F.col(f"`{text}`"), lexicon if lexicon is not None else Lexicon.load()))
         if policy.enabled("implication"):
             out.append(implications(text, folded, policy.implicates))
     return out
@@ -48,32 +50,39 @@ def plugged(text: Column, backend: Backend) -> Column:
     return F.pandas_udf(run, FINDINGS)(text)
 
 
-def with_findings(df: DataFrame, column: str, policy: Policy = Policy(), out: str = "findings", lexicon: Lexicon | None = None, backend: Backend | None = None) -> DataFrame:
+def with_findings(df: DataFrame, column: str, policy: Policy = Policy(), out: str = "findings", lexicon: Lexicon | LexiconTable | None = None, backend: Backend | None = None) -> DataFrame:
     """Adds ``out``: resolved findings by start, then NLP findings in the gaps; those of
     ``backend`` if one is given, else of the gazetteer.
 
-    Null, empty and blank text has none.  Families are computed in projections of their
-    own, so that no generated method grows past what the JVM compiles.  Columns of ``df``
+    Null, empty and blank text has none.  A :class:`LexiconTable` is joined, of any size;
+    a :class:`Lexicon` is looked up within the projection.  Families, and the findings at the end, are pinned
+    (:func:`pinned`), so that what reads them neither computes them again nor swells the plan.
+    Columns of ``df``
     stay as they are, whatever their names, but for one named ``out``.
     """
     raw = F.coalesce(F.col(f"`{column}`"), F.lit(""))
     at = {n: fresh(df, n) for n in ("_text", "_folded", "_found", "_nlp")}
     df = df.withColumns({at["_text"]: raw, at["_folded"]: aligned(raw)})
-    text, folded, kept = F.col(at["_text"]), F.col(at["_folded"]), F.col(at["_found"])
-    families = candidates(text, folded, policy, lexicon)
+    text, kept = F.col(at["_text"]), F.col(at["_found"])
+    families = candidates(at["_text"], at["_folded"], policy, lexicon)
     names = [fresh(df, f"_found{i}") for i in range(len(families))]
-    df = df.withColumns(dict(zip(names, families, strict=True)))
+    for name, family in zip(names, families, strict=True):
+        df = df.withColumn(name, family)
+    if isinstance(lexicon, LexiconTable) and policy.survey and (policy.enabled("internal_term") or policy.enabled("award")):
+        names.append(fresh(df, "_joined"))
+        df = with_joined(df, at["_text"], lexicon, names[-1])
+    df = pinned(df, {name: F.col(name) for name in names})
     ok = lambda x: (x["confidence"] >= policy.min_confidence) & (x["category"].isin(*sorted(policy.categories)) if policy.categories is not None else F.lit(True))
-    df = df.withColumn(at["_found"], F.filter(F.flatten(F.array(*[F.col(n) for n in names])), ok)).drop(*names)
+    df = df.withColumn(at["_found"], F.filter(F.flatten(F.array(*[F.col(n) for n in names])), ok))
     df = df.withColumn(at["_found"], resolve(kept, RANKS))
     if policy.nlp:
         least = max(policy.nlp_min_confidence, policy.min_confidence)
-        more = plugged(text, backend) if backend else d.detect(text, folded, d.GAZETTEER, policy.categories)
+        more = plugged(text, backend) if backend else d.detect(at["_text"], at["_folded"], d.GAZETTEER, policy.categories)
         wanted = lambda x: (x["confidence"] >= least) & (x["category"].isin(*sorted(policy.categories)) if policy.categories is not None else F.lit(True))
         df = df.withColumn(at["_nlp"], F.filter(more, wanted))
         df = df.withColumn(at["_found"], fill_gaps(kept, F.col(at["_nlp"]))).drop(at["_nlp"])
     found = F.when(F.trim(text) == "", F.array().cast(FINDINGS)).otherwise(outside_placeholders(text, kept))
-    return df.withColumn(out, found).drop(*(at[n] for n in ("_found", "_text", "_folded")))
+    return pinned(df, {out: found}).drop(*(at[n] for n in ("_found", "_text", "_folded")), *names)
 
 
 def replacement(policy: Policy):
@@ -100,13 +109,13 @@ def replacement(policy: Policy):
     return of
 
 
-def redact(df: DataFrame, column: str, policy: Policy = Policy(), out: str = "redacted", findings: str = "findings", lexicon: Lexicon | None = None, backend: Backend | None = None) -> DataFrame:
+def redact(df: DataFrame, column: str, policy: Policy = Policy(), out: str = "redacted", findings: str = "findings", lexicon: Lexicon | LexiconTable | None = None, backend: Backend | None = None) -> DataFrame:
     """Adds the findings of a text column and the text without them.  Null stays null."""
     df = with_findings(df, column, policy, findings, lexicon, backend)
     return df.withColumn(out, splice(F.col(f"`{column}`"), F.col(findings), replacement(policy)))
 
 
-def scan(df: DataFrame, id_col: str, column: str, policy: Policy = Policy(), lexicon: Lexicon | None = None, backend: Backend | None = None) -> DataFrame:
+def scan(df: DataFrame, id_col: str, column: str, policy: Policy = Policy(), lexicon: Lexicon | LexiconTable | None = None, backend: Backend | None = None) -> DataFrame:
     """A finding a row: ``id_col, ordinal, start, end, category, ...``."""
     found = with_findings(df.select(id_col, column), column, policy, "findings", lexicon, backend)
     names = ("start", "end", "category", "detector", "stage", "confidence", "value", "metadata")
@@ -125,7 +134,7 @@ def free_text_columns(df: DataFrame, prefix: str = "Q") -> list[str]:
     return [c for c in text_columns(df) if c.startswith(prefix) and c[len(prefix) :].isdigit()]
 
 
-def redact_frame(df: DataFrame, columns: Sequence[str] | None = None, policy: Policy | None = None, audience: str = "internal", review: str = "high", lexicon: Lexicon | None = None, disclosure: residual.Disclosure | None = None) -> DataFrame:
+def redact_frame(df: DataFrame, columns: Sequence[str] | None = None, policy: Policy | None = None, audience: str = "internal", review: str = "high", lexicon: Lexicon | LexiconTable | None = None, disclosure: residual.Disclosure | None = None) -> DataFrame:
     """Adds, per text column (default: all), its ``_redacted``, ``_findings``, ``_risk``,
     ``_risk_band`` and ``_needs_review`` columns; with ``disclosure`` also ``_action`` and
     ``_cohort``, and ``_redacted`` is what may be released."""
@@ -139,7 +148,7 @@ def redact_frame(df: DataFrame, columns: Sequence[str] | None = None, policy: Po
     for c in columns:
         one, assessed = f"{c}_redacted", fresh(df, f"{c}_assessed")
         df = redact(df, c, policy, one, f"{c}_findings", lexicon)
-        df = df.withColumn(assessed, risk.assess(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.col(f"{c}_findings"), audience))
+        df = pinned(df, {assessed: risk.assess(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.col(f"{c}_findings"), audience)})
         at = F.col(assessed)
         df = df.withColumns({f"{c}_risk": at["score"], f"{c}_risk_band": at["band"], f"{c}_needs_review": risk.needs_review(at["band"], review)}).drop(assessed)
         if disclosure:
@@ -181,7 +190,7 @@ def audit_json(record_id: Column, findings: Column, assessed: Column, disclosure
     return F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
 
 
-def redact_text(spark: SparkSession, text: str | None, policy: Policy = Policy(), lexicon: Lexicon | None = None) -> str | None:
+def redact_text(spark: SparkSession, text: str | None, policy: Policy = Policy(), lexicon: Lexicon | LexiconTable | None = None) -> str | None:
     """One text, on the driver; for looking at a policy, not for data."""
     return redact(spark.createDataFrame([(text,)], "t string"), "t", policy, lexicon=lexicon).first()["redacted"]
 
