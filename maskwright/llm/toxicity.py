@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, lean
+from .common import fresh, lean, release, table
 from .words import word_hashes
 
 PREFIXES = (4, 5, 6, 7, 9)
@@ -193,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     """Trains on at most ``sample`` labelled documents of each class, chosen by a hash of
     their id among those where ``usable`` (over ``id``) holds, and of these, in the same
     order, on as many whole texts as ``sample_bytes`` hold.  The ids are chosen first, so
-    only they are sent to the tasks and only their texts to the driver.
+    only they are sent to the tasks, and only their texts to the one task that trains.
 
     The model does not depend on how rows are dealt: of rows that repeat an id the least
     (text, language) counts, of labels the larger.  Null ids and labels other than 0 and 1
@@ -207,10 +208,20 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     lang = F.col(lang_col) if lang_col else F.lit(None)
     rows = docs.select(F.col(id_col).alias("id"), F.struct(F.coalesce(F.col(text_col), F.lit("")).alias("text"), lang.cast("string").alias("lang")).alias("d")).join(chosen, "id")
     one = rows.groupBy("id").agg(F.min("d").alias("d"), F.first("y").alias("y")).select("id", "y", "d.*")
-    size = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))  # of the chosen rows alone
-    rows = one.withColumn("size", size).where(F.col("size") <= sample_bytes).drop("size").collect()
-    rows.sort(key=lambda r: str(r["id"]))
-    return train([r["text"] for r in rows], [r["y"] for r in rows], [r["lang"] for r in rows], float(share))
+    one = table(one)
+    size = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    within = F.broadcast(one.select("id", size.alias("size")).where(F.col("size") <= sample_bytes).select("id"))  # ids alone go through one task
+    texts = one.join(within, "id").orderBy(F.col("id").cast("string"))
+
+    def run(batches):
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: str(r["id"]))
+        model = train([r["text"] for r in rows], [r["y"] for r in rows], [r["lang"] for r in rows], float(share))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # one task trains, as sample_bytes bounds what it reads; the driver gets the model alone
+    model = pickle.loads(texts.coalesce(1).mapInArrow(lean(run), "model binary").first()["model"])
+    release(one)
+    return model
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
