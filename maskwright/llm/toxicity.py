@@ -219,7 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     # one task trains, as sample_bytes bounds what it reads; the driver gets the model alone
-    model = pickle.loads(texts.coalesce(1).mapInArrow(lean(run), "model binary").first()["model"])
+    got = texts.coalesce(1).mapInArrow(lean(run), "model binary").first()
+    model = pickle.loads(got["model"]) if got else train([], [], [], float(share))  # no row, no task
     release(one)
     return model
 
