@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,10 +134,14 @@ def free_text_columns(df: DataFrame, prefix: str = "Q") -> list[str]:
     return [c for c in text_columns(df) if c.startswith(prefix) and c[len(prefix) :].isdigit()]
 
 
-def redact_frame(df: DataFrame, columns: Sequence[str] | None = None, policy: Policy | None = None, audience: str = "internal", review: str = "high", lexicon: Lexicon | LexiconTable | None = None, disclosure: residual.Disclosure | None = None) -> DataFrame:
+def redact_frame(df: DataFrame, columns: Sequence[str] | None = None, policy: Policy | None = None, audience: str = "internal", review: str = "high", lexicon: Lexicon | LexiconTable | None = None, disclosure: residual.Disclosure | None = None, observe: Observation | str | None = None) -> DataFrame:
     """Adds, per text column (default: all), its ``_redacted``, ``_findings``, ``_risk``,
     ``_risk_band`` and ``_needs_review`` columns; with ``disclosure`` also ``_action`` and
-    ``_cohort``, and ``_redacted`` is what may be released."""
+    ``_cohort``, and ``_redacted`` is what may be released.
+
+    ``observe`` counts in the pass that writes (:func:`measures`): an ``Observation`` for a batch,
+    whose ``get`` has the counts after the first action, a name for a stream, whose progress has
+    them for every batch."""
     from .policy import survey_policy
 
     policy = policy or survey_policy()
@@ -154,7 +158,23 @@ def redact_frame(df: DataFrame, columns: Sequence[str] | None = None, policy: Po
         if disclosure:
             whole, after = fresh(df, f"{c}_released"), fresh(df, f"{c}_after")
             df = residual.protect(df, one, disclosure, whole, (f"{c}_action", f"{c}_cohort", after)).drop(one, after).withColumnRenamed(whole, one)
-    return df
+    return df.observe(observe, *measures(columns, policy, disclosure is not None)) if observe is not None else df
+
+
+def measures(columns: Sequence[str], policy: Policy, disclosed: bool = False) -> list[Column]:
+    """The ingest summary of a redacted frame as aggregates: records, and per column findings, records
+    to review, findings per category (of those that the policy asks for) and, with a disclosure,
+    records per action."""
+    total = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+    out = [F.count(F.lit(1)).alias("records")]
+    for c in columns:
+        found = F.col(f"{c}_findings")
+        out += [total(F.size(found)).alias(f"{c}_findings"), total(F.col(f"{c}_needs_review")).alias(f"{c}_review")]
+        kinds = F.transform(found, lambda x: x["category"])
+        out += [total(F.size(kinds) - F.size(F.array_remove(kinds, k))).alias(f"{c}_{k}") for k in CATEGORIES if policy.enabled(k)]
+        if disclosed:
+            out += [total(F.col(f"{c}_action") == a).alias(f"{c}_{a}") for a in ("pass", "generalise", "suppress")]
+    return out
 
 
 def worst_risk(df: DataFrame, columns: Sequence[str], out: str = "worst_risk") -> DataFrame:
