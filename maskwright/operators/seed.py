@@ -1,87 +1,61 @@
-"""The bundled lexicon: terms of Australian work health and safety, built by rule.
+"""The bundled lexicon: words that place a writer in an Australian workplace, written for this library.
 
-A term is named once.  Its other forms follow: the plural of its last word, its initials
-where they are in use, and the singular after "the" or "our"; names of bodies with a state have
-the state spelled out and short.  Words that people use instead are given beside it.
+Public bodies, Acts and modern awards are public facts; what people call forms, systems and safety
+papers at work is our own choice.  A lexicon of an employer's own words is a parameter, and better.
+A term is named once; its plural and the forms after "the" and "our" follow by rule.
 """
 
 from __future__ import annotations
 
-STATES = {"NSW": "New South Wales", "Victoria": "Vic", "WA": "Western Australia", "Queensland": "Qld", "SA": "South Australia", "ACT": "Australian Capital Territory", "Tasmania": "Tas", "NT": "Northern Territory"}
-
-# label: bodies.  Proper names: no plural, no article.
-BODIES = {
-    "work safety regulator": ("Safe Work Australia", "SafeWork NSW", "WorkSafe Victoria", "WorkSafe WA", "Workplace Health and Safety Queensland", "SafeWork SA", "WorkSafe ACT", "WorkSafe Tasmania", "NT WorkSafe"),
-    "injury insurance scheme": ("icare", "SIRA", "WorkCover Queensland", "WorkCover WA", "WorkCover Tasmania", "ReturnToWorkSA", "Comcare", "Dust Diseases Scheme", "Gallagher Bassett", "Workers Compensation Nominal Insurer", "State Insurance Corporation", "Employees Help Desk"),
-    "sector regulator": ("Aged Care Quality Commission", "National Heavy Vehicle Regulator", "National Disability Insurance Scheme", "Transport Accident Fund Employer Premium"),
-}
-# label: Acts and instruments.  "the" may stand before them, and the year may follow.
-LAWS = {
-    "work safety law": ("Work Health and Safety Act 2020", "Work Health and Safety Act 2019", "Work Health and Safety Regulation 2025", "Work Health and Safety National Uniform Act", "Occupational Health and Safety Act 2004", "model WHS laws", "model WHS Act", "model WHS regulations"),
-    "compensation law": ("Workers Rehabilitation and Compensation Act", "Workplace Injury Rehabilitation and Compensation Act", "Safety Rehabilitation and Compensation Act 1988"),
-    "employment law": ("Fair Work Act 2009", "National Employment Standards"),
-}
-SHORT_LAWS = {"Work Health and Safety": "WHS", "Occupational Health and Safety": "OHS", "Workers Rehabilitation and Compensation": "WRC", "Workplace Injury Rehabilitation and Compensation": "WIRC", "Safety Rehabilitation and Compensation": "SRC", "National Employment Standards": "NES"}
-# label: (term, initials if in use, other words)
+# Bodies and the short names that they use.
+BODIES = (
+    ("Safe Work Australia", "SWA"), ("Fair Work Ombudsman", "FWO"), ("Fair Work Commission", "FWC"), ("Comcare", ""), ("Australian Human Rights Commission", "AHRC"), ("Australian Public Service Commission", "APSC"),
+    ("Merit Protection Commissioner", ""), ("Office of the Australian Information Commissioner", "OAIC"), ("Civil Aviation Safety Authority", "CASA"), ("Australian Maritime Safety Authority", "AMSA"), ("Office of the National Rail Safety Regulator", "ONRSR"),
+    ("National Heavy Vehicle Regulator", "NHVR"), ("NOPSEMA", ""), ("ARPANSA", ""), ("NDIS Quality and Safeguards Commission", "NDIS Commission"), ("Aged Care Quality and Safety Commission", "ACQSC"), ("Asbestos and Silica Safety and Eradication Agency", "ASSEA"),
+    ("Federal Safety Commissioner", "OFSC"), ("SafeWork NSW", ""), ("WorkSafe Victoria", ""), ("Workplace Health and Safety Queensland", "WHSQ"), ("WorkSafe WA", ""), ("SafeWork SA", ""), ("WorkSafe Tasmania", ""), ("NT WorkSafe", ""), ("WorkSafe ACT", ""),
+    ("State Insurance Regulatory Authority", "SIRA"), ("icare", ""), ("ReturnToWorkSA", ""), ("WorkCover Queensland", ""),
+)
+# Acts, and what they are called for short.
+LAWS = (
+    ("Work Health and Safety Act 2011", "WHS Act"), ("Work Health and Safety Regulations 2011", "WHS Regulations"), ("Fair Work Act 2009", "Fair Work Act"), ("Privacy Act 1988", "Privacy Act"), ("Public Service Act 1999", "Public Service Act"),
+    ("Public Interest Disclosure Act 2013", "PID Act"), ("Safety Rehabilitation and Compensation Act 1988", "SRC Act"), ("Disability Discrimination Act 1992", "Disability Discrimination Act"), ("Sex Discrimination Act 1984", "Sex Discrimination Act"),
+    ("Racial Discrimination Act 1975", "Racial Discrimination Act"), ("Age Discrimination Act 2004", "Age Discrimination Act"), ("Occupational Health and Safety Act 2004", "OHS Act"), ("Long Service Leave Act", "LSL Act"), ("National Employment Standards", "NES"),
+)
+# label: (term, other words for it)
 INTERNAL = {
-    "safety role": (
-        ("person conducting a business or undertaking", "pcbu", ()),
-        ("health and safety representative", "hsr", ("safety representative",)),
-        ("injury management coordinator", "", ("return to work coordinator", "rtw coordinator", "injury coordinator")),
-    ),
-    "consultation": (("designated work group", "dwg", ()), ("health and safety committee", "", ("safety committee", "hs committee", "WHS consultation", "consultation meeting"))),
-    "duty or test": (("reasonably practicable", "", ("so far as is reasonably practicable",)), ("hierarchy of controls", "", ("hierarchy of control",)), ("incident notification", "", ("notifiable incident", "immediate notification"))),
-    "enforcement": (("provisional improvement notice", "pin", ("improvement notice", "prohibition notice")),),
-    "hazard": (
-        ("psychosocial hazard", "", ("psychosocial risk",)),
-        ("engineered stone", "", ("artificial stone benchtop", "engineered stone benchtop", "silica dust exposure")),
-        ("digital work system", "", ("algorithmic management", "electronic monitoring", "work intensity")),
-        ("hazardous manual task", "", ("manual handling risk", "repetitive lifting", "musculoskeletal risk")),
-        ("audiometric testing", "", ("audiometric test", "hearing test program", "noise exposure standard")),
+    "time and pay": (
+        ("timesheet", ("time sheet", "flex sheet")), ("payroll portal", ("payroll system", "pay portal")), ("rostering system", ("rostering app", "roster portal")), ("shift swap form", ("shift swap request",)), ("leave application form", ("leave request form",)),
+        ("salary packaging form", ()), ("higher duties form", ("higher duties allowance",)), ("overtime claim form", ("overtime sheet",)),
     ),
-    "licence": (("major hazard facility", "mhf", ()), ("high risk work licence", "", ("high risk work ticket", "hrw licence", "white card", "green card")), ("self-insurer", "", ("self insurance", "self insured", "self insurer licence"))),
-    "safety document": (
-        ("safe work method statement", "swms", ()),
-        ("job safety analysis", "jsa", ("job safety analyses",)),
-        ("hazard identification and risk management", "", ("hirm",)),
-        ("risk register", "", ()),
-        ("safety management plan", "", ("safety plan", "WHS management plan", "WHS action plan")),
-        ("code of practice", "", ("approved code of practice", "model code of practice")),
-    ),
-    "safety process": (("safety briefing", "", ("toolbox talk", "toolbox meeting", "prestart briefing")), ("welfare check", "", ("wellbeing check",)), ("critical incident", "", ("critical incident report", "critical incident response"))),
-    "compensation process": (
-        ("return to work plan", "", ("return to work", "rtw plan", "return to work program", "rtw program")),
-        ("workers compensation", "", ("workers comp", "worker's compensation")),
-        ("workers compensation claim", "", ("compensation claim", "injury claim", "work injury claim", "workcover claim", "claim number")),
+    "personnel file": (
+        ("position description", ()), ("position number", ("employee number", "staff number", "payroll number")), ("probation report", ("probation review",)), ("exit interview", ()), ("onboarding pack", ("induction pack",)), ("delegations register", ("delegation schedule",)),
+        ("performance review", ("annual performance review", "mid year review", "mid cycle review")), ("performance improvement plan", ("pip",)), ("performance development agreement", ("performance agreement",)), ("workplace adjustment passport", ("reasonable adjustment plan",)),
     ),
     "internal system": (
-        ("incident reporting system", "", ("incident system", "incident register", "hazard reporting system")),
-        ("learning management system", "lms", ()),
-        ("intranet", "", ("staff intranet",)),
-        ("timesheet", "", ("time sheet", "timesheet system")),
-        ("HR system", "", ("hris", "hrms")),
-        ("staff portal", "", ("employee portal",)),
+        ("staff intranet", ("intranet",)), ("staff portal", ("employee portal",)), ("HR system", ("hris", "hr information system")), ("learning management system", ("lms",)), ("service desk ticket", ("helpdesk ticket", "it ticket")), ("document management system", ("records system",)),
+        ("case management system", ("client management system",)), ("incident reporting system", ("incident portal", "hazard reporting app")),
     ),
     "internal policy": (
-        ("code of conduct", "", ("behavioural standards", "workplace behaviour standards")),
-        ("grievance procedure", "", ("grievance process", "grievance policy")),
-        ("employee assistance program", "eap", ("employee assistance",)),
-        ("values and behaviours", "", ("company values",)),
-        ("annual performance review", "", ("performance review", "annual review", "mid year review", "end of year review")),
-        ("performance improvement plan", "pip", ("performance management plan",)),
+        ("code of conduct", ()), ("grievance procedure", ("grievance policy",)), ("flexible working policy", ("working from home policy", "hybrid work policy")), ("social media policy", ()), ("conflict of interest declaration", ()), ("employee assistance program", ("eap",)),
+        ("fitness for duty assessment", ("fitness for work assessment",)), ("drug and alcohol policy", ("drug and alcohol test",)),
     ),
-    "sector system": (
-        ("serious incident response system", "sirs", ("sirs report",)),
-        ("NDIS plan", "", ("ndis", "ndis participant", "behaviour support plan")),
-        ("registered training organisation", "rto", ()),
-        ("heavy vehicle accreditation", "", ("nhvr", "chain of responsibility", "fatigue management system")),
+    "safety role": (("health and safety representative", ("hsr", "safety rep")), ("emergency warden", ("fire warden", "floor warden")), ("first aid officer", ()), ("rehabilitation case manager", ("rehab case manager",)), ("return to work coordinator", ("rtw coordinator",)), ("person conducting a business or undertaking", ("pcbu",))),
+    "safety paper": (
+        ("safe work method statement", ("swms",)), ("job hazard analysis", ("jha", "job hazard analyses")), ("safe operating procedure", ()), ("safety data sheet", ("sds",)), ("permit to work", ("hot work permit", "confined space permit")), ("near miss report", ("near miss form",)),
+        ("plant risk assessment", ()), ("hazard report form", ("hazard card",)), ("site induction card", ("white card",)), ("provisional improvement notice", ()), ("safety management plan", ("safety plan",)), ("risk register", ()),
     ),
+    "safety practice": (("toolbox talk", ("prestart meeting", "prestart briefing")), ("lockout tagout", ("isolation procedure",)), ("designated work group", ("dwg",)), ("health and safety committee", ("safety committee",)), ("critical incident debrief", ("critical incident",)), ("psychosocial hazard", ("psychosocial risk",)), ("wellbeing check", ("welfare check",))),
+    "injury and claim": (("workers compensation claim", ("workers comp claim", "compensation claim")), ("workers compensation", ("workers comp",)), ("return to work plan", ("return to work", "rtw plan")), ("injury register", ("register of injuries",)), ("certificate of capacity", ()), ("independent medical examination", ("independent medical exam",)), ("provisional liability", ())),
+    "care and transport": (("ndis participant", ("ndis plan", "ndis")), ("behaviour support plan", ()), ("medication chart", ("medication round",)), ("resident care plan", ()), ("fatigue management plan", ("work diary",)), ("chain of responsibility", ())),
 }
-AGREEMENTS = (("enterprise agreement", "eba", ("enterprise bargaining agreement", "collective agreement")), ("modern award", "", ("national award", "award code")))
-# Award codes and their trades.
-AWARDS = (("MA000098", "aged care"), ("MA000090", "construction general on-site"), ("MA000119", "mining exploration"), ("MA000141", "security industry"), ("MA000022", "children's services"), ("MA000085", "cleaning services"))
+AGREEMENTS = (("enterprise agreement", ("eba", "enterprise bargaining agreement", "workplace agreement")), ("modern award", ()), ("individual flexibility arrangement", ()))
+# Modern awards by their public codes.
+AWARDS = (
+    ("MA000002", "clerks private sector"), ("MA000003", "fast food industry"), ("MA000004", "general retail industry"), ("MA000009", "hospitality industry"), ("MA000010", "manufacturing"), ("MA000016", "security services industry"), ("MA000018", "aged care"),
+    ("MA000020", "building and construction"), ("MA000022", "cleaning services"), ("MA000034", "nurses"), ("MA000038", "road transport and distribution"), ("MA000084", "storage services"), ("MA000100", "SCHADS"), ("MA000120", "children's services"),
+)
 #: Terms that must stand as they are: one letter off is another phrase.
-EXACT = (("stop work authority", "safety process", ("the stop work",)),)
+EXACT = (("duty of care", "safety practice"),)
 
 
 def _plural(term: str) -> str:
@@ -92,41 +66,29 @@ def _with_articles(forms: list[str]) -> list[str]:
     return [*forms, *(f"{a} {f}" for f in forms for a in ("the", "our"))]
 
 
-def _in_other_words(name: str, table: dict[str, str]) -> list[str]:
-    return [name.replace(a, b) for a, b in table.items() if a in name]
-
-
 def entries() -> list[dict]:
     """``term, category, label, aliases, exact_only`` of every term, in order."""
     out: list[dict] = []
 
     def add(term, category, label, aliases, exact=False):
-        own = dict.fromkeys(a for a in aliases if a.lower() != term.lower())
+        own = dict.fromkeys(a for a in aliases if a and a.lower() != term.lower())
         out.append({"term": term, "category": category, "label": label, "aliases": list(own), "exact_only": exact})
 
-    def add_internal(term, category, label, initials, others):
-        forms = [term, *([initials] if initials else [])]
-        add(term, category, label, [*_with_articles(forms), *(_plural(f) for f in forms), *others, *map(_plural, others)])
+    def add_common(term, category, label, others):
+        forms = [term, *others]
+        add(term, category, label, [*_with_articles(forms), *(_plural(f) for f in forms)])
 
-    for term, initials, others in AGREEMENTS:
-        add_internal(term, "award", term, initials, others)
+    for term, others in AGREEMENTS:
+        add_common(term, "award", term, others)
     for code, trade in AWARDS:
         add(code, "award", f"{trade} award", [f"{trade} award", f"{trade.replace(chr(39), '')} award"])
-    for label, names in BODIES.items():
-        for n in names:
-            spaced = n.replace("SafeWork", "safe work").replace("WorkSafe", "work safe").replace("ReturnToWork", "return to work ")
-            forms = [*_in_other_words(n, STATES), *_in_other_words(spaced, STATES), spaced]
-            initials = "".join(w[0] for w in n.split() if w[0].isupper())
-            add(n, "internal_term", label, [*forms, *([initials, f"the {initials}"] if len(initials) > 3 else [])])
-    for label, names in LAWS.items():
-        for n in names:
-            undated = n.rstrip("0123456789 ")
-            forms = [n, *([undated] if undated not in ("Work Health and Safety Act", "Work Health and Safety Regulation") else []), *_in_other_words(n, SHORT_LAWS)]
-            forms += [f.replace("Regulation ", "Regs ") for f in forms if "Regulation " in f]
-            add(n, "internal_term", label, [*forms, *(f"the {f}" for f in forms)])
+    for name, short in BODIES:
+        add(name, "internal_term", "public body", _with_articles([name, *([short] if short else [])]))
+    for name, short in LAWS:
+        add(name, "internal_term", "law", _with_articles([name, short, *([f"{short} {name[-4:]}"] if name[-4:].isdigit() else [])]))
     for label, terms in INTERNAL.items():
-        for term, initials, others in terms:
-            add_internal(term, "internal_term", label, initials, others)
-    for term, label, others in EXACT:
-        add(term, "internal_term", label, others, exact=True)
+        for term, others in terms:
+            add_common(term, "internal_term", label, others)
+    for term, label in EXACT:
+        add(term, "internal_term", label, (), exact=True)
     return out
