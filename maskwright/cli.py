@@ -8,6 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .operators.tagger import Tagger, tagged_corpus, train
 from .plans.api import findings_json, redact, summary
 from .plans.policy import CATEGORIES, Policy
 from .functions.masking import STYLES
@@ -25,6 +26,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--mask-char", default="*")
     p.add_argument("--categories", default="")
     p.add_argument("--nlp", action="store_true")
+    p.add_argument("--nlp-backend", choices=("gazetteer", "tagger"), default="gazetteer")
+    p.add_argument("--tagger-model", help="what Tagger.save wrote; without one a tagger is trained first")
     p.add_argument("--survey", action="store_true")
     p.add_argument("--format", choices=("text", "json"), default="text")
     p.add_argument("--scan", action="store_true")
@@ -38,7 +41,10 @@ def main(argv: list[str] | None = None) -> int:
     try:
         stdin = not a.files or a.files == ["-"]
         src = spark.createDataFrame([("-", sys.stdin.read())], "path string, text string") if stdin else read_texts(spark, a.files)
-        df = redact(src, "text", policy)
+        backend = None
+        if a.nlp and a.nlp_backend == "tagger":
+            backend = Tagger.load(spark, a.tagger_model) if a.tagger_model else train(tagged_corpus(spark, 4000))
+        df = redact(src, "text", policy, backend=backend)
         if a.output:
             write_texts(df, "redacted", a.output)
             return 0

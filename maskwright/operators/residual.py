@@ -117,3 +117,14 @@ def summarise(df: DataFrame) -> DataFrame:
         F.when(n > 0, F.bround((count("generalise") + count("suppress")) / n, 4)).otherwise(0.0).alias("escalation_rate"),
         F.coalesce(F.bround(F.avg("cohort"), 1), F.lit(0.0)).alias("mean_cohort"),
     )
+
+
+VALUE_SHOWN = 60  # fixed value: characters
+
+
+def profile_json(profile: Column) -> Column:
+    """What :func:`measure` found, for an audit table: values cut to 60 characters, selectivities to
+    two places."""
+    span = lambda x: F.when(x["start"].isNotNull(), F.array(x["start"], x["end"]))
+    each = F.transform(profile, lambda x: F.struct(x["kind"].alias("kind"), F.substring(x["value"], 1, VALUE_SHOWN).alias("value"), F.round(x["selectivity"], 2).alias("selectivity"), span(x).alias("span")))
+    return F.to_json(each, {"ignoreNullFields": "false"})

@@ -112,3 +112,22 @@ def filter_by_band(df: DataFrame, column: str, least: str) -> DataFrame:
 def worst(*scores: Column) -> Column:
     """The highest of a record's scores, nulls left out; 0 without any."""
     return F.coalesce(F.greatest(*scores) if len(scores) > 1 else scores[0] if scores else F.lit(None), F.lit(0.0))
+
+
+LABELS_SHOWN = 3  # fixed value
+
+
+def label_detail(found: Column) -> Column:
+    """``2 internal or award term(s): a, b``: how many labels, and the first three by name; null
+    without any."""
+    labels = F.filter(F.transform(F.filter(found, lambda x: x["category"].isin("internal_term", "award")), lambda x: x["metadata"]["label"]), lambda x: x.isNotNull())
+    shown = F.slice(F.array_sort(F.array_distinct(labels)), 1, LABELS_SHOWN)
+    return F.when(F.size(labels) > 0, F.concat(F.size(labels).cast("string"), F.lit(" internal or award term(s): "), F.array_join(shown, ", ")))
+
+
+def risk_json(assessed: Column, found: Column | None = None) -> Column:
+    """An assessment for an audit table: score to four places, band, words and signals; with the
+    findings, the internal lexicon's signal says which labels."""
+    detail = label_detail(found) if found is not None else F.lit(None).cast("string")
+    each = F.transform(assessed["signals"], lambda s: F.struct(s["name"].alias("name"), s["weight"].alias("weight"), F.when(s["name"] == "internal_lexicon", detail).alias("detail"), s["category"].alias("category")))
+    return F.to_json(F.struct(F.round(assessed["score"], 4).alias("score"), assessed["band"].alias("band"), assessed["words"].alias("word_count"), each.alias("signals")), {"ignoreNullFields": "false"})

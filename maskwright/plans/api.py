@@ -182,6 +182,27 @@ def worst_risk(df: DataFrame, columns: Sequence[str], out: str = "worst_risk") -
     return df.withColumn(fresh(df, out), risk.worst(*[F.col(f"{c}_risk") for c in columns]))
 
 
+def roll_up(df: DataFrame, columns: Sequence[str], review: str = "high") -> DataFrame:
+    """After :func:`redact_frame`, the record as a whole: ``record_risk`` (its worst column's),
+    ``record_band``, ``worst_column`` (the first of equals), ``record_needs_review`` and
+    ``record_findings``.  A name that clashes gets underscores; without columns a record is low."""
+    scores = [F.coalesce(F.col(f"{c}_risk"), F.lit(0.0)) for c in columns]
+    score = F.greatest(*scores) if len(scores) > 1 else scores[0] if scores else F.lit(0.0)
+    first = F.coalesce(*[F.when(s == score, F.lit(c)) for s, c in zip(scores, columns, strict=True)]) if columns else F.lit(None).cast("string")
+    count = sum((F.coalesce(F.size(f"{c}_findings"), F.lit(0)) for c in columns), F.lit(0))
+    made = {"record_risk": score, "record_band": risk.band(score), "worst_column": first, "record_needs_review": risk.needs_review(risk.band(score), review), "record_findings": count}
+    return df.withColumns({fresh(df, k): v for k, v in made.items()})
+
+
+def redact_records(spark: SparkSession, texts: Sequence[str | None], policy: Policy | None = None, record_ids: Sequence[str | None] | None = None, **more) -> list[dict]:
+    """A few records in order, on the driver, to look at a policy before the job: text, original,
+    findings, risk, band and review of each; ``more`` goes to :func:`redact_frame`."""
+    ids = list(record_ids) if record_ids is not None else [None] * len(texts)
+    df = spark.createDataFrame([(i, r, t) for i, (r, t) in enumerate(zip(ids, texts, strict=False))], "i int, record_id string, t string")
+    rows = sorted(redact_frame(df, ["t"], policy, **more).collect(), key=lambda r: r["i"])
+    return [{"record_id": r["record_id"], "text": r["t_redacted"] or "", "original_text": r["t"] or "", "findings": r["t_findings"], "risk": r["t_risk"], "band": r["t_risk_band"], "needs_review": r["t_needs_review"], **({"action": r["t_action"]} if "t_action" in r else {})} for r in rows]
+
+
 def persistable(df: DataFrame, originals: Sequence[str]) -> DataFrame:
     """What may be written: neither the original texts nor the findings, which quote them."""
     gone = {*originals, *(f"{c}_findings" for c in originals)}
