@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -154,19 +155,35 @@ def lcs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     p, q = a[ia], b[ib]
     if not len(p) or not len(q):
         return gone
-    steps = np.zeros((len(p) + 1, len(q) + 1), np.int32)
+
+    def after(row: np.ndarray, line) -> np.ndarray:
+        out = np.zeros_like(row)
+        out[1:] = np.maximum.accumulate(np.maximum(np.where(q == line, row[:-1] + 1, row[1:]), row[1:]))
+        return out
+
+    # every so many rows of the table are kept, and those between made again on the way back:
+    # the memory of two pages with tens of thousands of lines in common is some tens of MB
+    every = max(64, math.isqrt(len(p)))
+    row = np.zeros(len(q) + 1, np.int32)
+    marks = [row]
     for i in range(len(p)):
-        take = np.where(q == p[i], steps[i, :-1] + 1, steps[i, 1:])
-        steps[i + 1, 1:] = np.maximum.accumulate(np.maximum(take, steps[i, 1:]))
+        row = after(row, p[i])
+        if (i + 1) % every == 0:
+            marks.append(row)
     i, j = len(p), len(q)
-    while i and j:
-        if p[i - 1] == q[j - 1] and steps[i, j] == steps[i - 1, j - 1] + 1:
-            gone[ia[i - 1]] = True
-            i, j = i - 1, j - 1
-        elif steps[i - 1, j] >= steps[i, j - 1]:
-            i -= 1
-        else:
-            j -= 1
+    for start in range((len(p) - 1) // every * every, -1, -every):
+        block = [marks[start // every]]
+        for line in p[start : start + every]:
+            block.append(after(block[-1], line))
+        while i > start and j:
+            here, above = block[i - start], block[i - 1 - start]
+            if p[i - 1] == q[j - 1] and here[j] == above[j - 1] + 1:
+                gone[ia[i - 1]] = True
+                i, j = i - 1, j - 1
+            elif above[j] >= here[j - 1]:
+                i -= 1
+            else:
+                j -= 1
     return gone
 
 
@@ -380,4 +397,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def op9_html_text(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns over every row of ``pages``, and what differencing and rules took; null and
+    empty pages have an empty text, and repeated rows give a row each."""
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))

@@ -350,6 +350,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns of :func:`jaccard_join` over every row of ``documents``, whose rules for
+    nulls, short and empty texts, ties and repeated ids hold."""
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -65,7 +65,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """doc_id, the text that is left, its SHA-256 and how many lines went."""
+    """doc_id, how many lines went and which, and the text that is left, of every row of ``documents``;
+    rules for nulls, ties, repeats and empties are those of :func:`line_dedup`."""
     out = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.size("removed_lines").cast("long").alias("n_removed"), F.array_join(F.transform("removed_lines", lambda x: x.cast("string")), ",").alias("removed"), "text")
 

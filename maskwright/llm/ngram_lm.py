@@ -383,6 +383,8 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
        that the second order discounts; a pair at the start of a text, which nothing
        precedes, keeps its count.
 
+    Null and empty texts teach the end alone, repeated rows teach as often as they are there,
+    ids are not read, and without rows every word is unknown.
     A word number has 32 bits; more distinct words are refused, and so are more pairs
     than 64 bits hold together with a word.
     """
@@ -714,6 +716,9 @@ def held_out(doc_id: Column, fold: int = 7, which: int = 2) -> Column:
 
 
 def op6_ngram_lm(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns of :func:`perplexity` over every row of ``documents``, by a model of order
+    ORDER from those that are not held out.  A null id is held out or not as the empty text is;
+    null and empty texts have the end alone; repeated rows teach and are scored each."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs.where(~held_out(F.col("doc_id"))), order=ORDER)
     out = perplexity(docs, model)

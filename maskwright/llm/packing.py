@@ -186,6 +186,9 @@ def with_digest(pieces: DataFrame) -> DataFrame:
 
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns: every row of ``documents`` packed by :func:`pack_documents` and its pieces'
+    digests by :func:`with_digest`; null and empty texts are one piece of the end token, repeated
+    ids are packed each."""
     import public_tokenizers
 
     out = pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))

@@ -291,6 +291,21 @@ def test_blocks(page, want):
     assert [t for (t, _, _), kept in zip(found, H.main_blocks(found)[0], strict=True) if kept] == want
 
 
+def test_lcs_of_thousands_of_lines_in_bounded_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    a = r.permutation(12_000).astype(np.int64)
+    b = a.copy()
+    at = np.sort(r.choice(12_000, 3_000, replace=False))
+    b[at] = -1 - np.arange(3_000)  # a quarter is of its own, so the rest is the longest
+    tracemalloc.start()
+    gone = H.lcs(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert gone.sum() == 9_000 and not gone[at].any() and most < 60 << 20  # the whole table: 324 MB
+
+
 def test_lcs_is_longest():
     r = random.Random(2)
     for _ in range(300):
