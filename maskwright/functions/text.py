@@ -5,7 +5,6 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -181,24 +180,81 @@ LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9
 FOLDED = "struct<text:string,source:array<int>>"
 
 
+HANGUL = "[\uac00-\ud7a3]"  # syllables: taken apart by arithmetic, 11,172 of them
+JAMO = tuple("".join(map(chr, range(a, a + n))) for a, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+
+
+def fold_char(c: str) -> str:
+    """A character's letters and digits, decomposed, without marks and case."""
+    return "".join(x for x in unicodedata.normalize("NFKD", c).casefold() if not unicodedata.category(x).startswith("M") and x.isalnum())
+
+
+@lru_cache(1)
+def fold_tables() -> tuple[str, str, dict[str, str], str]:
+    """(from, to, expansions, pattern of those that go) of :func:`fold_char` beyond ASCII.  Hangul
+    syllables and what stays as it is are left out."""
+    one, more, gone = [], {}, []
+    for code in (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x40000)):  # beyond: no letters
+        c = chr(code)
+        to = fold_char(c)
+        if len(to) > 1:
+            more[c] = to
+        elif not to:
+            if gone and gone[-1][1] == code - 1:
+                gone[-1][1] = code
+            else:
+                gone.append([code, code])
+        elif to != c:
+            one.append((c, to))
+    ranges = "".join(f"\\x{{{x:x}}}-\\x{{{y:x}}}" for x, y in [*gone, (0x40000, 0x10FFFF)])
+    return "".join(c for c, _ in one), "".join(to for _, to in one), more, f"[{ranges}]"
+
+
 def fold(text: Column, leet: bool = True) -> Column:
     """struct(text, source): letters and digits only, without marks and case, and for each the
-    place in the text that it came from.  Expansions (``ß``) have no Spark expression, so
-    this is a Pandas UDF; no detector uses it.  Null stays null."""
-    table = LEET if leet else {}
-
-    def one(s):
-        if s is None:
-            return None
-        pairs = [(table.get(c, c), i) for i, raw in enumerate(s) for c in unicodedata.normalize("NFKD", raw).casefold() if not unicodedata.category(c).startswith("M")]
-        pairs = [(c, i) for c, i in pairs if c.isalnum()]
-        return "".join(c for c, _ in pairs), [i for _, i in pairs]
-
-    def run(texts: pd.Series) -> pd.DataFrame:
-        got = [one(s) or (None, None) for s in texts]
-        return pd.DataFrame({"text": [a for a, _ in got], "source": [b for _, b in got]})
-
-    return F.pandas_udf(run, FOLDED)(text)
+    place in the text that it came from.
+
+    All expressions: a character that becomes one other, or none, is translated; one that becomes
+    several (``ß``) is looked up, and a Hangul syllable taken apart by arithmetic, each behind a test
+    of the character; places are those of the pieces.  ASCII texts are folded whole.
+    Null stays null.
+    """
+    a, b, more, gone = fold_tables()
+    digits, letters = ("".join(LEET), "".join(LEET.values())) if leet else ("", "")
+    wide = F.str_to_map(F.lit("\u0001".join(f"{k}\u0002{v}" for k, v in more.items())), F.lit("\u0001"), F.lit("\u0002"))
+    several = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in more) + "]"
+
+    def syllable(c: Column) -> Column:
+        s = F.ascii(c) - 0xAC00
+        at = (F.floor(s / 588), F.floor(s % 588 / 28), s % 28 - 1)
+        return F.concat(*[F.when(i >= 0, F.substring(F.lit(j), i.cast("int") + 1, F.lit(1))).otherwise("") for i, j in zip(at, JAMO, strict=True)])
+
+    def piece(c: Column) -> Column:
+        swapped = F.translate(c, digits, letters) if leet else c
+        plain = F.when(c.rlike(several), F.element_at(wide, c)).when(c.rlike(HANGUL), syllable(c)).when(c.rlike(gone), "").otherwise(F.translate(c, a, b))
+        return F.when(c.rlike(r"[\x00-\x7f]"), F.regexp_replace(F.lower(swapped), "[^a-z0-9]", "")).otherwise(plain)
+
+    pieces = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), piece)
+    whole = lambda ps: F.struct(F.array_join(ps, "").alias("text"), F.flatten(F.transform(ps, lambda p, i: F.array_repeat(i, F.length(p)))).alias("source"))
+    return F.when(text.isNotNull(), let(pieces, whole).cast(FOLDED))
+
+
+def fold_needle(needle: str, leet: bool = True) -> str:
+    """What :func:`fold` makes of a text, on the driver."""
+    return "".join(fold_char(LEET.get(c, c) if leet else c) for c in needle)
+
+
+def folded_span(folded: Column, needle: str, leet: bool = True) -> Column:
+    """struct(start, end) in the text of the first place where its :func:`fold` has the needle's; null
+    where it has not, and for a needle without letters and digits."""
+    want = fold_needle(needle, leet)
+    at = F.instr(folded["text"], want) - 1
+    return F.when(F.lit(want != "") & (at >= 0), original_span(folded, at, at + len(want)))
+
+
+def folded_contains(folded: Column, needle: str, leet: bool = True) -> Column:
+    """Whether the text holds the needle, both folded."""
+    return F.lit(fold_needle(needle, leet) != "") & folded["text"].contains(fold_needle(needle, leet))
 
 
 def original_span(folded: Column, start: Column, end: Column) -> Column:

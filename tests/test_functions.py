@@ -8,7 +8,7 @@ import pytest
 from maskwright.functions import checks as ck
 from maskwright.functions import generalise as gen
 from maskwright.functions import masking, parse
-from maskwright.functions.text import aligned, normalise, spans, token_values
+from maskwright.functions.text import LEET, aligned, fold, folded_contains, folded_span, normalise, spans, token_values
 from pyspark.sql import functions as F
 
 
@@ -87,3 +87,27 @@ def test_spans_are_code_points(spark):
     got = values(spark, lambda c: spans(c, "(no: )([0-9]+)", 2), ["x no: 12 no: 3"])[0]
     assert [(s.start, s.end, s.value) for s in got] == [(6, 8, "12"), (13, 14, "3")]
     assert values(spark, token_values, ["it's o'clock... A-1- end."]) == [["it's", "o'clock", "A-1", "end"]]
+
+
+def folded(s, leet):
+    """Character by character: decomposed, case folded, marks and all but letters and digits gone."""
+    pairs = [(x, i) for i, raw in enumerate(s) for x in unicodedata.normalize("NFKD", LEET.get(raw, raw) if leet else raw).casefold() if not unicodedata.category(x).startswith("M")]
+    pairs = [(x, i) for x, i in pairs if x.isalnum()]
+    return "".join(x for x, _ in pairs), [i for _, i in pairs]
+
+
+def test_fold_of_every_character_and_of_mixed_texts(spark):
+    codes = [c for c in (*range(1, 0x11000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1FA00), *range(0x2F800, 0x2FA20), 0xE0100, 0x10FFFF) if not 0xD800 <= c < 0xE000]
+    texts = ["-".join(map(chr, codes[k : k + 300])) for k in range(0, len(codes), 300)] + ["Straße №½ ﬁ", "한글 각가", "e\u0301 É", "", "ABC 5T0P!"]
+    for leet in (False, True):
+        some = texts if not leet else texts[-5:]
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(some)] + [(-1, None)], "i int, t string")
+        for r in df.select("i", "t", fold(F.col("t"), leet).alias("f")).collect():
+            assert (r.f is None) if r.t is None else ((r.f.text, list(r.f.source)) == folded(r.t, leet)), r.t
+
+
+def test_folded_needle(spark):
+    df = spark.createDataFrame([(0, "Die STRASSE, groß"), (1, "nothing"), (2, None), (3, "5T-0P it")], "i int, t string").select("i", "t", fold(F.col("t")).alias("f"))
+    rows = {r.i: r for r in df.select("i", folded_contains(F.col("f"), "Straße").alias("a"), folded_span(F.col("f"), "straße").alias("s"), folded_span(F.col("f"), "stop").alias("p"), folded_span(F.col("f"), "--").alias("n")).collect()}
+    assert (rows[0].a, tuple(rows[0].s)) == (True, (4, 11)) and (rows[1].a, rows[1].s) == (False, None) and rows[2].a is None
+    assert tuple(rows[3].p) == (0, 5) and rows[0].n is None
