@@ -216,8 +216,8 @@ def fold(text: Column, leet: bool = True) -> Column:
 
     All expressions: a character that becomes one other, or none, is translated; one that becomes
     several (``ß``) is looked up, and a Hangul syllable taken apart by arithmetic, each behind a test
-    of the character; places are those of the pieces.  ASCII texts are folded whole.
-    Null stays null.
+    of the character; places are those of the pieces.
+    A null text has both null.
     """
     a, b, more, gone = fold_tables()
     digits, letters = ("".join(LEET), "".join(LEET.values())) if leet else ("", "")
@@ -236,7 +236,8 @@ def fold(text: Column, leet: bool = True) -> Column:
 
     pieces = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), piece)
     whole = lambda ps: F.struct(F.array_join(ps, "").alias("text"), F.flatten(F.transform(ps, lambda p, i: F.array_repeat(i, F.length(p)))).alias("source"))
-    return F.when(text.isNotNull(), let(pieces, whole).cast(FOLDED))
+    none = F.struct(F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<int>").alias("source"))
+    return F.when(text.isNotNull(), let(pieces, whole).cast(FOLDED)).otherwise(none)
 
 
 def fold_needle(needle: str, leet: bool = True) -> str:

@@ -138,3 +138,22 @@ def test_counts_come_with_the_pass_that_writes(spark, tmp_path):
     got = [p.observedMetrics["ingest"] for p in q.recentProgress if "ingest" in p.observedMetrics]
     q.stop()
     assert sum(x["records"] for x in got) == 4 and sum(x["t_email"] for x in got) == 3
+
+
+# ---- secrets planted in real texts
+def test_plant_keeps_the_text_and_adds_secrets(spark):
+    from maskwright.plans.corpus import generate_for, outcomes, over_masking, plant, recall
+
+    rows = [(i, f"some words of text {i}.") for i in range(40)] + [(40, None), (None, "no id"), (41, "12 Words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.response_id: r for r in plant(df, "doc_id", "text").collect()}
+    assert len(got) == 43 and got[None].answer == "no id" and got[None].secrets == [] and got["41"].must_survive == [] and got["3"].must_survive == ["some words"]
+    for i, t in rows[:40]:
+        r = got[str(i)]
+        assert r.answer.startswith(t) and all(s.literal in r.answer for s in r.secrets)
+    policy = Policy(categories=frozenset(("email", "phone", "tfn")), default_style="label")
+    total = {(r.kind, r.form): r for r in recall(outcomes(plant(df, "doc_id", "text"), policy)).collect()}
+    assert total[("email", "clean")].recall == 1 and total[(None, None)].planted == sum(len(r.secrets) for r in got.values())
+    assert over_masking(plant(df, "doc_id", "text"), policy).count() == 0
+    one = generate_for(df.where("doc_id is not null"), "doc_id").select("response_id", "answer", "secrets").collect()
+    assert sorted(map(str, one)) == sorted(map(str, generate(spark, 42).select("response_id", "answer", "secrets").collect()))
