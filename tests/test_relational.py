@@ -157,3 +157,14 @@ def test_plant_keeps_the_text_and_adds_secrets(spark):
     assert over_masking(plant(df, "doc_id", "text"), policy).count() == 0
     one = generate_for(df.where("doc_id is not null"), "doc_id").select("response_id", "answer", "secrets").collect()
     assert sorted(map(str, one)) == sorted(map(str, generate(spark, 42).select("response_id", "answer", "secrets").collect()))
+
+
+def test_split_sentences_keep_their_edges(spark, tmp_path):
+    from maskwright.plans.relational import split_sentences
+    from maskwright.plans.queries import QUERIES
+
+    # the n-th sentence begins and ends with the digit n, which was trimmed off; null texts, control characters
+    texts = ["0 a 0. 1 b 1! 2 c 2? 3 d 3", " two.  4 x 4 ", None, "", "one", "a.\u000b b. c", "a\u0001b. c"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.sentences, r.joined) for r in split_sentences(spark, str(tmp_path)).collect()}
+    assert got == {0: (4, texts[0]), 1: (2, "two. 4 x 4"), 2: (None, None), 3: (0, ""), 4: (1, "one"), 5: (2, "a.\u000b b. c"), 6: (3, "a b. c")}
