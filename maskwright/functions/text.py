@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -59,18 +60,88 @@ def column(text: Column | str) -> Column:
     return F.col(f"`{text}`") if isinstance(text, str) else text
 
 
+# ---- where a match may start
+_CLASS = {"CATEGORY_DIGIT": "0123456789", "CATEGORY_SPACE": " \t\n\x0b\f\r", "CATEGORY_WORD": "".join(c for c in map(chr, range(128)) if c.isalnum() or c == "_")}
+
+
+def _both(c: int, caseless: bool) -> set[str]:
+    return {chr(c), *((chr(c).lower(), chr(c).upper()) if caseless and c < 128 else ())}
+
+
+def _starts(parsed, caseless: bool) -> tuple[set[str], bool, bool]:
+    """(characters that a match of a parsed pattern may start with, whether it may be empty, whether it
+    begins with one character or class, which needs no help).  ValueError where that is unknown."""
+    out: set[str] = set()
+    plain = True
+    for op, arg in parsed:
+        kind, empty = str(op), False
+        if kind in ("AT", "ASSERT", "ASSERT_NOT"):
+            plain = False
+            continue
+        if kind == "LITERAL":
+            more = _both(arg, caseless)
+        elif kind == "IN":
+            more = set()
+            for what, x in arg:
+                if str(what) == "LITERAL":
+                    more |= _both(x, caseless)
+                elif str(what) == "RANGE" and x[1] < 0x3000:
+                    for c in range(x[0], x[1] + 1):
+                        more |= _both(c, caseless)
+                elif str(what) == "CATEGORY" and str(x) in _CLASS:
+                    more |= set(_CLASS[str(x)])
+                else:
+                    raise ValueError
+        elif kind == "BRANCH":
+            each = [_starts(branch, caseless) for branch in arg[1]]
+            more, empty, plain = set().union(*(x[0] for x in each)), any(x[1] for x in each), False
+        elif kind == "SUBPATTERN":
+            more, empty, inner = _starts(arg[3], bool((caseless or arg[1] & re.I) and not arg[2] & re.I))
+            plain = plain and inner
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            more, empty, inner = _starts(arg[2], caseless)
+            empty, plain = empty or arg[0] == 0, plain and inner
+        else:
+            raise ValueError
+        out |= more
+        if not empty:
+            return out, False, plain
+        plain = False
+    return out, True, plain
+
+
+@lru_cache(4096)
+def headed(pattern: str) -> str:
+    """The pattern behind a look at its first character: the same matches, but alternatives are only
+    tried where one of them may begin.  Patterns that begin with a character or class, may be empty, or
+    aren't understood (or differ between Java, which matches, and Python, which parses) stay as they are."""
+    if re.search(r"&&|\\v|\(\?[a-zA-Z]*[ux]|\[[^\]]*(?<!\\)\[", pattern):
+        return pattern
+    try:
+        tree = re._parser.parse(pattern)
+        chars, empty, plain = _starts(tree, bool(tree.state.flags & re.I))
+    except (ValueError, re.error, AttributeError, RecursionError):
+        return pattern
+    if empty or plain or not chars or len(chars) > 100:
+        return pattern
+    return f"(?=[{''.join(f'\\x{{{ord(c):x}}}' for c in sorted(chars))}])(?:{pattern})"
+
+
 def spans_sql(name: str, pattern: str, group: int = 0, gate: str | None = None) -> str:
     """What :func:`spans` makes of a column, said in one SQL text: a policy asks for dozens, and
     each call from here to the JVM counts."""
-    t, p = f"`{name}`", quoted(pattern)
-    whole = f"regexp_extract_all({t}, {p}, 0)"
-    before, value = (f"regexp_extract_all({t}, {p}, 1)", f"regexp_extract_all({t}, {p}, 2)") if group else (whole, whole)
+    t, p, g = f"`{name}`", quoted(headed(pattern)), quoted(headed(gate or pattern))
     a = "acc.at + length(x.gap)"
     s = f"{a} + length(x.before)" if group else a
-    kind = "array<struct<start:int,end:int,value:string,whole:string>>"
-    each = f"zip_with(slice(split({t}, {p}, -1), 1, size({whole})), arrays_zip({whole}, {before}, {value}), (g, z) -> named_struct('gap', g, 'whole', z.`0`, 'before', z.`1`, 'value', z.`2`))"
+    none = "CAST(array() AS array<struct<start:int,end:int,value:string,whole:string>>)"
+    each = f"zip_with(slice(split({t}, {p}, -1), 1, size(m)), m, (g, w) -> named_struct('gap', g, 'whole', w, 'value', w))"
+    if group:
+        parts = f"zip_with(regexp_extract_all({t}, {p}, 1), regexp_extract_all({t}, {p}, 2), (b, v) -> named_struct('before', b, 'value', v))"
+        each = f"zip_with({each}, {parts}, (x, y) -> named_struct('gap', x.gap, 'whole', x.whole, 'before', y.before, 'value', y.value))"
     step = f"(acc, x) -> named_struct('at', {a} + length(x.whole), 'out', concat(acc.out, array(named_struct('start', {s}, 'end', {s} + length(x.value), 'value', x.value, 'whole', x.whole))))"
-    return f"CASE WHEN {t} RLIKE {quoted(gate or pattern)} THEN aggregate({each}, named_struct('at', 0, 'out', CAST(array() AS {kind})), {step}, acc -> acc.out) ELSE CAST(array() AS {kind}) END"
+    found = f"aggregate({each}, named_struct('at', 0, 'out', {none}), {step}, acc -> acc.out)"
+    # the matches are made once, and only if there are any, their places
+    return f"CASE WHEN {t} RLIKE {g} THEN transform(array(regexp_extract_all({t}, {p}, 0)), m -> CASE WHEN size(m) > 0 THEN {found} ELSE {none} END)[0] ELSE {none} END"
 
 
 def spans(text: Column | str, pattern: str, group: int = 0, gate: str | None = None) -> Column:
@@ -82,14 +153,9 @@ def spans(text: Column | str, pattern: str, group: int = 0, gate: str | None = N
     """
     if isinstance(text, str):
         return F.expr(spans_sql(text, pattern, group, gate))
-    p = F.lit(pattern)
-    whole = F.regexp_extract_all(text, p, F.lit(0))
-    before = F.regexp_extract_all(text, p, F.lit(1)) if group else whole
-    value = F.regexp_extract_all(text, p, F.lit(2)) if group else whole
-    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(whole))
-    each = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), before.alias("before"), value.alias("value"))
+    p = F.lit(headed(pattern))
     kind = "array<struct<start:int,end:int,value:string,whole:string>>"
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    none = F.array().cast(kind)
 
     def step(acc, x):
         a = acc["at"] + F.length(x["gap"])
@@ -97,7 +163,15 @@ def spans(text: Column | str, pattern: str, group: int = 0, gate: str | None = N
         hit = F.struct(s.alias("start"), (s + F.length(x["value"])).alias("end"), x["value"].alias("value"), x["whole"].alias("whole"))
         return F.struct((a + F.length(x["whole"])).alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
 
-    return F.when(text.rlike(gate or pattern), F.aggregate(each, first, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+    def placed(whole):
+        before = F.regexp_extract_all(text, p, F.lit(1)) if group else whole
+        value = F.regexp_extract_all(text, p, F.lit(2)) if group else whole
+        gaps = F.slice(F.split(text, headed(pattern), -1), F.lit(1), F.size(whole))
+        each = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), before.alias("before"), value.alias("value"))
+        first = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.when(F.size(whole) > 0, F.aggregate(each, first, step, lambda acc: acc["out"])).otherwise(none)
+
+    return F.when(text.rlike(headed(gate or pattern)), let(F.regexp_extract_all(text, p, F.lit(0)), placed)).otherwise(none)
 
 
 def finding(x: Column, category, detector: str, confidence, metadata: Column | None = None, stage: str = "deterministic", text: Column | None = None) -> Column:

@@ -296,3 +296,35 @@ def test_own_nlp_backend(spark):
     df = spark.createDataFrame([(1, "Karen rang 0412 345 678"), (2, None), (3, "none")], "i int, t string")
     got = {(r.i, r.category, r.stage) for r in scan(df, "i", "t", Policy(nlp=True), backend=backend).collect()}
     assert got == {(1, "name", "nlp"), (1, "phone", "deterministic")}
+
+
+def test_first_characters_change_no_match(spark):
+    from maskwright.functions.text import headed, spans
+    from maskwright.operators import detectors, risk
+    from maskwright.plans import expected
+
+    texts = [t for cases in (expected.IDENTIFIERS, expected.IMPLICATIONS, expected.RISK, expected.RESIDUAL) for t, _ in cases] + ["ONLY one; PO BOX 12\nÉté, ſole", "", "b a"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").localCheckpoint()
+    patterns = {b.pattern for b in (*detectors.DOCUMENT, *detectors.ORGANISATION, *detectors.QUASI, *detectors.GAZETTEER)} | {f"(?i){r.gate or r.pattern}" for r in implication.RULES} | {*risk.TEXT_SIGNALS.values(), "(?i)b|a", "x?"}
+    changed = [p for p in sorted(patterns) if headed(p) != p]
+    assert len(changed) > 60 and headed("x?") == "x?" and headed("[a&&b]|c") == "[a&&b]|c"
+    same = [F.regexp_extract_all("t", F.lit(p), F.lit(0)) == F.regexp_extract_all("t", F.lit(headed(p)), F.lit(0)) for p in changed]
+    assert df.where(~F.forall(F.array(*same), lambda x: x)).count() == 0
+    # by column and by name alike, with and without a group
+    for p, g in (("(?i)(\\b(?:the|my) )(\\w+)", 2), ("[a-z]+", 0), ("zzz", 0)):
+        assert df.where(spans(F.col("t"), p, g) != spans("t", p, g)).count() == 0
+
+
+def test_one_row_group_is_dealt_and_nothing_is_made_twice(spark, tmp_path):
+    from maskwright.plans import expected  # noqa: F401  registers its queries
+    from maskwright.plans.queries import QUERIES
+
+    spark.range(40).selectExpr("id AS c_custkey", "id AS o_orderkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(40).selectExpr("id AS o_orderkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    try:
+        plans = {n: QUERIES[n](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString() for n in ("risk_text_signals", "residual_decide", "exp_gaps", "exp_identifiers", "exp_labelled", "eval_overmasking")}
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert all("RoundRobinPartitioning" in p for p in plans.values()) and "InMemoryRelation" not in plans["eval_overmasking"]
+    assert plans["risk_text_signals"].count("humiliat") == 1

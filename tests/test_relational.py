@@ -161,7 +161,6 @@ def test_plant_keeps_the_text_and_adds_secrets(spark):
 
 def test_split_sentences_keep_their_edges(spark, tmp_path):
     from maskwright.plans.relational import split_sentences
-    from maskwright.plans.queries import QUERIES
 
     # the n-th sentence begins and ends with the digit n, which was trimmed off; null texts, control characters
     texts = ["0 a 0. 1 b 1! 2 c 2? 3 d 3", " two.  4 x 4 ", None, "", "one", "a.\u000b b. c", "a\u0001b. c"]
