@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fresh
+from ..functions.text import fresh, headed, let
 from ..plans.policy import DIRECT, QUASI
 
 # Weights, factors, bands, wording.
@@ -51,12 +51,11 @@ def assess(text: Column, found: Column, audience: str = "internal") -> Column:
         one = F.struct(F.lit(name).alias("name"), weight.cast("double").alias("weight"), (category if isinstance(category, Column) else F.lit(category)).cast("string").alias("category")).cast(SIGNAL)
         return F.when(when, F.array(one)).otherwise(F.array().cast(f"array<{SIGNAL}>"))
 
-    n = word_count(text)
     labels = F.size(F.filter(found, lambda x: x["category"].isin("internal_term", "award") & x["metadata"]["label"].isNotNull()))
     cue = F.regexp_replace(F.lower(F.trim(last("team_size", "metadata")["cue"])), r"[+ ]+$", "")
-    parts = [
+    parts = lambda n: F.flatten(F.array(
         *[signal("direct_identifier", has(c), category=c) for c in DIRECT],
-        *[signal(name, text.rlike(p)) for name, p in TEXT_SIGNALS.items()],
+        *[signal(name, text.rlike(headed(p))) for name, p in TEXT_SIGNALS.items()],
         signal("short_response", n.between(1, SHORT_WORDS), F.least(F.lit(SHORT_MOST), F.lit(float(SHORT_WORDS)) / F.greatest(n, F.lit(1)))),
         signal("internal_lexicon", labels > 0, F.lit(a) * F.least(F.lit(1.0) + F.lit(0.15) * (labels - 1), F.lit(1.6)), "internal_term"),
         signal("named_organisation", has("organisation_name"), a, "organisation_name"),
@@ -70,19 +69,24 @@ def assess(text: Column, found: Column, audience: str = "internal") -> Column:
         signal("age", has("age"), q, "age"),
         signal("date_of_birth", has("date_au", "date_iso"), q, F.when(has("date_au"), "date_au").otherwise("date_iso")),
         signal("location_specific", has("street_address", "location"), q, F.when(has("street_address"), "street_address").otherwise("location")),
-    ]
-    base = F.flatten(F.array(*parts))
-    quasi = F.size(F.filter(base, lambda s: s["category"].isin(*QUASI)))
-    bonus = F.struct(F.lit("quasi_combination").alias("name"), (F.least(F.lit(0.30), F.lit(0.10) * (quasi - 2)) * q).alias("weight"), F.lit(None).cast("string").alias("category")).cast(SIGNAL)
-    signals = F.concat(base, F.when(quasi >= 3, F.array(bonus)).otherwise(F.array().cast(f"array<{SIGNAL}>")))
-    total = F.aggregate(signals, F.lit(0.0), lambda acc, s: acc + s["weight"])
-    score = F.when(F.trim(text) == "", 0.0).otherwise(F.least(F.lit(1.0), F.round(total, 9)))
-    ordered = F.transform(F.sort_array(F.transform(signals, lambda s, i: F.struct((-s["weight"]).alias("k"), i.alias("i"), s.alias("s")))), lambda x: x["s"])
+    ))
+    none = F.array().cast(f"array<{SIGNAL}>")
+
+    # each step is made once, as the next ones read it several times
+    def combined(base):
+        quasi = F.size(F.filter(base, lambda s: s["category"].isin(*QUASI)))
+        bonus = F.struct(F.lit("quasi_combination").alias("name"), (F.least(F.lit(0.30), F.lit(0.10) * (quasi - 2)) * q).alias("weight"), F.lit(None).cast("string").alias("category")).cast(SIGNAL)
+        return F.concat(base, F.when(quasi >= 3, F.array(bonus)).otherwise(none))
+
+    def judged(signals, n):
+        total = F.aggregate(signals, F.lit(0.0), lambda acc, s: acc + s["weight"])
+        ordered = F.transform(F.sort_array(F.transform(signals, lambda s, i: F.struct((-s["weight"]).alias("k"), i.alias("i"), s.alias("s")))), lambda x: x["s"])
+        return let(F.least(F.lit(1.0), F.round(total, 9)), lambda score: F.struct(score.alias("score"), band(score).alias("band"), ordered.alias("signals"), n.alias("words")))
+
+    full = let(word_count(text), lambda n: let(let(parts(n), combined), lambda signals: judged(signals, n)))
     empty = (F.trim(text) == "") | text.isNull()
-    return F.struct(
-        F.when(empty, 0.0).otherwise(score).alias("score"), F.when(empty, "low").otherwise(band(score)).alias("band"),
-        F.when(empty, F.array().cast(f"array<{SIGNAL}>")).otherwise(ordered).alias("signals"), F.when(empty, 0).otherwise(n).alias("words"),
-    )
+    blank = F.struct(F.lit(0.0).alias("score"), F.lit("low").alias("band"), none.alias("signals"), F.lit(0).alias("words"))
+    return F.when(empty, blank).otherwise(full)
 
 
 def band(score: Column) -> Column:
