@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import context, residual, risk
 from .api import redact, scan, with_findings
 from .policy import Policy, survey_policy
-from .queries import query, read
+from .queries import dealt, query, read
 
 Case = tuple[str, tuple[tuple, ...]]
 
@@ -169,7 +169,7 @@ def expected_sql(table: str, key: str, cases: tuple[Case, ...], columns: str) ->
 
 def carried(spark, sf: str, table: str, key: str, texts: list[str]) -> DataFrame:
     text: Column = F.element_at(F.array(*map(F.lit, texts)), (F.col(key) % len(texts) + 1).cast("int"))
-    return read(spark, sf, table).select(key, text.alias("t"))
+    return dealt(read(spark, sf, table).select(key)).select(key, text.alias("t"))
 
 
 def _texts(cases) -> list[str]:
