@@ -203,7 +203,7 @@ def token_values(text: Column) -> Column:
 
 
 def _trimmed(v: Column) -> Column:
-    return F.regexp_replace(v, r"[.\-&'’]+$", "")
+    return F.rtrim(v, F.lit(".-&'’"))
 
 
 def token_place(text: Column):

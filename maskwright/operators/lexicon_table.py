@@ -76,15 +76,18 @@ def hits(texts: DataFrame, lexicon: LexiconTable) -> DataFrame:
         return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.concat(*[F.get("k", i + j) for j in range(n)]).alias("gram")))
 
     every = keys.select("key", F.explode(F.flatten(F.array(*[grams(n) for n in range(1, lexicon.longest() + 1)]))).alias("g")).select("key", "g.*").where("gram <> ''")
-    found = every.join(lexicon.exact(), F.col("gram") == F.col("form_key"), "left")
-    exact = found.where("t IS NOT NULL").select("key", "at", "n", "t", F.lit(0).alias("distance"))
+    forms = lexicon.exact()
+    exact = every.join(forms, F.col("gram") == F.col("form_key")).select("key", "at", "n", "t", F.lit(0).alias("distance"))
     if not lexicon.max_distance:
         return exact.distinct()
-    other = found.where((F.col("n") == 1) & F.col("t").isNull() & (F.length("gram") >= FUZZY_LEAST)).select("key", "at", "gram", F.explode(deletions(F.col("gram"), lexicon.max_distance)).alias("form_key"))
-    near = other.join(lexicon.fuzzy(), "form_key")
+    # which term is nearest hangs on the word alone: deletions are made of each distinct word once
+    singles = keys.select("key", F.posexplode("k").alias("at", "gram")).where(F.length("gram") >= FUZZY_LEAST)
+    words = singles.select("gram").distinct().join(forms, F.col("gram") == F.col("form_key"), "left_anti")
+    near = words.select("gram", F.explode(deletions(F.col("gram"), lexicon.max_distance)).alias("form_key")).join(lexicon.fuzzy(), "form_key")
     gone = F.length("gram") - F.length("form_key")
-    best = near.groupBy("key", "at").agg(F.min(F.struct(gone.alias("gone"), (-F.col("t.long")).alias("long"), F.col("t.seq").alias("seq"), F.col("t").alias("t"))).alias("b"))
-    return exact.unionByName(best.select("key", "at", F.lit(1).alias("n"), F.col("b.t").alias("t"), F.lit(1).alias("distance"))).distinct()
+    best = near.groupBy("gram").agg(F.min(F.struct(gone.alias("gone"), (-F.col("t.long")).alias("long"), F.col("t.seq").alias("seq"), F.col("t").alias("t"))).alias("b"))
+    close = singles.join(best, "gram").select("key", "at", F.lit(1).alias("n"), F.col("b.t").alias("t"), F.lit(1).alias("distance"))
+    return exact.unionByName(close).distinct()
 
 
 def claims(found: DataFrame) -> DataFrame:
