@@ -127,9 +127,9 @@ def headed(pattern: str) -> str:
     return f"(?=[{''.join(f'\\x{{{ord(c):x}}}' for c in sorted(chars))}])(?:{pattern})"
 
 
-def spans_sql(name: str, pattern: str, group: int = 0, gate: str | None = None) -> str:
+def spans_sql(name: str, pattern: str, group: int = 0, gate: str | None = None, test: str = "") -> str:
     """What :func:`spans` makes of a column, said in one SQL text: a policy asks for dozens, and
-    each call from here to the JVM counts."""
+    each call from here to the JVM counts.  ``test``: what is asked before the gate, with its AND."""
     t, p, g = f"`{name}`", quoted(headed(pattern)), quoted(headed(gate or pattern))
     a = "acc.at + length(x.gap)"
     s = f"{a} + length(x.before)" if group else a
@@ -141,18 +141,21 @@ def spans_sql(name: str, pattern: str, group: int = 0, gate: str | None = None)
     step = f"(acc, x) -> named_struct('at', {a} + length(x.whole), 'out', concat(acc.out, array(named_struct('start', {s}, 'end', {s} + length(x.value), 'value', x.value, 'whole', x.whole))))"
     found = f"aggregate({each}, named_struct('at', 0, 'out', {none}), {step}, acc -> acc.out)"
     # the matches are made once, and only if there are any, their places
-    return f"CASE WHEN {t} RLIKE {g} THEN transform(array(regexp_extract_all({t}, {p}, 0)), m -> CASE WHEN size(m) > 0 THEN {found} ELSE {none} END)[0] ELSE {none} END"
+    # a gate of plain characters needs no pattern
+    held = f"contains({t}, {g})" if gate and re.fullmatch("[@A-Za-z0-9 ]+", gate) else f"{t} RLIKE {g}"
+    return f"CASE WHEN {test}{held} THEN transform(array(regexp_extract_all({t}, {p}, 0)), m -> CASE WHEN size(m) > 0 THEN {found} ELSE {none} END)[0] ELSE {none} END"
 
 
-def spans(text: Column | str, pattern: str, group: int = 0, gate: str | None = None) -> Column:
+def spans(text: Column | str, pattern: str, group: int = 0, gate: str | None = None, test: str = "") -> Column:
     """array<struct<start,end,value,whole>> of every match, in code points.
 
     With ``group`` the pattern must read (before)(value)(after) from its start, all
     inside the match, and the span is that of the second group.  The parts
-    between matches carry the place, in one fold.  ``text`` may be a column's name.
+    between matches carry the place, in one fold.  ``text`` may be a column's name; only then is
+    ``test`` asked.
     """
     if isinstance(text, str):
-        return F.expr(spans_sql(text, pattern, group, gate))
+        return F.expr(spans_sql(text, pattern, group, gate, test))
     p = F.lit(headed(pattern))
     kind = "array<struct<start:int,end:int,value:string,whole:string>>"
     none = F.array().cast(kind)
