@@ -266,6 +266,16 @@ def fold_char(c: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFKD", c).casefold() if not unicodedata.category(x).startswith("M") and x.isalnum())
 
 
+def char_class(codes: list[tuple[int, int]], wide: int = 8) -> str:
+    """A class of ranges.  Java tries the ranges of a class in turn, so they are put into blocks of blocks, each
+    behind its own range: a character is compared with some dozens of the hundreds."""
+    each = [(a, z, f"\\x{{{a:x}}}-\\x{{{z:x}}}") for a, z in codes]
+    while len(each) > wide:
+        blocks = [each[i : i + wide] for i in range(0, len(each), wide)]
+        each = [(x[0][0], x[-1][1], f"[\\x{{{x[0][0]:x}}}-\\x{{{x[-1][1]:x}}}&&[{''.join(y[2] for y in x)}]]") for x in blocks]
+    return f"[{''.join(x[2] for x in each)}]"
+
+
 @lru_cache(1)
 def fold_tables() -> tuple[str, str, dict[str, str], str]:
     """(from, to, expansions, pattern of those that go) of :func:`fold_char` beyond ASCII.  Hangul
@@ -283,38 +293,49 @@ def fold_tables() -> tuple[str, str, dict[str, str], str]:
                 gone.append([code, code])
         elif to != c:
             one.append((c, to))
-    ranges = "".join(f"\\x{{{x:x}}}-\\x{{{y:x}}}" for x, y in [*gone, (0x40000, 0x10FFFF)])
-    return "".join(c for c, _ in one), "".join(to for _, to in one), more, f"[{ranges}]"
+    return "".join(c for c, _ in one), "".join(to for _, to in one), more, char_class([*gone, (0x40000, 0x10FFFF)])
 
 
 def fold(text: Column, leet: bool = True) -> Column:
     """struct(text, source): letters and digits only, without marks and case, and for each the
     place in the text that it came from.
 
-    All expressions: a character that becomes one other, or none, is translated; one that becomes
-    several (``ß``) is looked up, and a Hangul syllable taken apart by arithmetic, each behind a test
-    of the character; places are those of the pieces.
+    All expressions, over the whole text where every character becomes one or none: what goes is blanked, so that
+    places stay, and the rest translated.  Only a text with a character that becomes several (``ß``,
+    looked up) or a Hangul syllable (taken apart by arithmetic) is made of a piece a character.
     A null text has both null.
     """
     a, b, more, gone = fold_tables()
-    digits, letters = ("".join(LEET), "".join(LEET.values())) if leet else ("", "")
+    capitals = "".join(map(chr, range(65, 91)))
     wide = F.str_to_map(F.lit("\u0001".join(f"{k}\u0002{v}" for k, v in more.items())), F.lit("\u0001"), F.lit("\u0002"))
-    several = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in more) + "]"
+    several = char_class([(ord(c), ord(c)) for c in sorted(more)])
+    marks = f"[\\x00-/:-@\\[-`{{-\\x7f{gone}]"
+    if leet:
+        text = F.translate(text, "".join(LEET), "".join(LEET.values()))
+    made = lambda folded, source: F.struct(folded.alias("text"), source.alias("source"))
+    places = lambda chars, keep: F.array_remove(F.transform(chars, lambda c, i: F.when(keep(c), i).otherwise(-1)), -1)
 
     def syllable(c: Column) -> Column:
         s = F.ascii(c) - 0xAC00
         at = (F.floor(s / 588), F.floor(s % 588 / 28), s % 28 - 1)
         return F.concat(*[F.when(i >= 0, F.substring(F.lit(j), i.cast("int") + 1, F.lit(1))).otherwise("") for i, j in zip(at, JAMO, strict=True)])
 
-    def piece(c: Column) -> Column:
-        swapped = F.translate(c, digits, letters) if leet else c
-        plain = F.when(c.rlike(several), F.element_at(wide, c)).when(c.rlike(HANGUL), syllable(c)).when(c.rlike(gone), "").otherwise(F.translate(c, a, b))
-        return F.when(c.rlike(r"[\x00-\x7f]"), F.regexp_replace(F.lower(swapped), "[^a-z0-9]", "")).otherwise(plain)
+    def piece(c: Column) -> Column:  # of a blanked text, as beyond
+        return F.when(c == " ", "").when(c < "\x80", F.lower(c)).when(c.between("\uac00", "\ud7a3"), syllable(c)).when(c.rlike(several), F.element_at(wide, c)).otherwise(F.translate(c, a, b))
+
+    def pieced(ps: Column) -> Column:
+        return made(F.array_join(ps, ""), F.flatten(F.transform(ps, lambda p, i: F.array_repeat(i, F.length(p)))))
+
+    def plain(t: Column) -> Column:
+        return made(F.regexp_replace(t, "[^a-z0-9]+", ""), places(F.split(t, ""), lambda c: c.between("a", "z") | c.between("0", "9")))
+
+    def blanked(t: Column) -> Column:
+        one = made(F.translate(F.replace(t, F.lit(" "), F.lit("")), capitals + a, capitals.lower() + b), places(F.split(t, ""), lambda c: c != " "))
+        return F.when(t.rlike(f"[{HANGUL}{several}]"), let(F.transform(F.split(t, ""), piece), pieced)).otherwise(one)
 
-    pieces = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), piece)
-    whole = lambda ps: F.struct(F.array_join(ps, "").alias("text"), F.flatten(F.transform(ps, lambda p, i: F.array_repeat(i, F.length(p)))).alias("source"))
-    none = F.struct(F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<int>").alias("source"))
-    return F.when(text.isNotNull(), let(pieces, whole).cast(FOLDED)).otherwise(none)
+    none = made(F.lit(None).cast("string"), F.lit(None).cast("array<int>"))
+    other = let(F.regexp_replace(text, marks, " "), blanked)
+    return F.when(text.isNull(), none).when(text.rlike(r"[^\x00-\x7f]"), other).otherwise(let(F.lower(text), plain))
 
 
 def fold_needle(needle: str, leet: bool = True) -> str:

@@ -106,6 +106,19 @@ def test_fold_of_every_character_and_of_mixed_texts(spark):
             assert (tuple(r.f) == (None, None)) if r.t is None else ((r.f.text, list(r.f.source)) == folded(r.t, leet)), r.t
 
 
+def test_fold_of_a_whole_text_at_once(spark):
+    # no piece a character where all become one or none; "ß" and Hangul still do, each behind its test
+    long = "Über Straße, 10 Cafés! " * 3000 + "한글"
+    df = spark.createDataFrame([(t,) for t in (long, "Plain A-1. " * 3000, "É à. " * 3000)], "t string").repartition(1)
+    got = {r.t: r.f for r in df.select("t", fold(F.col("t"), False).alias("f")).collect()}
+    assert all((f.text, list(f.source)) == folded(t, False) for t, f in got.items()) and len(got) == 3
+    from maskwright.functions.text import char_class, fold_tables
+
+    assert char_class([(97, 99)]) == "[\\x{61}-\\x{63}]" and char_class([(i * 3, i * 3) for i in range(1, 99)]).count("&&") > 12
+    plan = df.select(fold(F.col("t"), False).alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?s)." not in plan and len(fold_tables()[0]) > 1000
+
+
 def test_folded_needle(spark):
     df = spark.createDataFrame([(0, "Die STRASSE, groß"), (1, "nothing"), (2, None), (3, "5T-0P it")], "i int, t string").select("i", "t", fold(F.col("t")).alias("f"))
     rows = {r.i: r for r in df.select("i", folded_contains(F.col("f"), "Straße").alias("a"), folded_span(F.col("f"), "straße").alias("s"), folded_span(F.col("f"), "stop").alias("p"), folded_span(F.col("f"), "--").alias("n")).collect()}
