@@ -35,8 +35,21 @@ def meeting(left: DataFrame, right: DataFrame, key: str, width: int = BIN, withi
     return mine.join(spans, (F.col(f"`{key}`") == F.col(k)) & (F.col(own) == F.col(b)) & test, "left_semi").drop(own).distinct()
 
 
-def clear_of(left: DataFrame, right: DataFrame, key: str, width: int = BIN, within: bool = False) -> DataFrame:
-    """``left`` without the rows that :func:`meeting` gives; rows that repeat stay as often."""
+def clear_of(left: DataFrame, right: DataFrame, key: str, width: int = BIN, within: bool = False, longest: int | None = None) -> DataFrame:
+    """``left`` without the rows that :func:`meeting` gives; rows that repeat stay as often.
+
+    With ``longest``, which no span of ``left`` exceeds (one that does raises), ``left`` is made and moved
+    once: it has the one bin of its start, and ``right`` all bins in which what meets it may start.
+    """
+    if longest is not None:
+        own, k, a, z, b = (fresh(left, n) for n in ("_bin", "_k", "_s", "_e", "_b"))
+        spans = right.select(F.col(key).alias(k), F.col("start").alias(a), F.col("end").alias(z)).where(F.col(a).isNotNull() & F.col(z).isNotNull()).distinct()
+        first, last = F.floor((F.col(a) - longest) / width), F.floor(F.greatest(F.col(z), F.col(a)) / width)
+        spans = spans.select("*", F.explode(F.sequence(first, last)).alias(b))
+        much = F.col("end") - F.col("start") > longest
+        mine = left.withColumn(own, F.when(much, F.raise_error(F.lit(f"a span is longer than {longest}")).cast("long")).otherwise(F.floor(F.col("start") / width)))
+        test = (F.col(a) <= F.col("start")) & (F.col("end") <= F.col(z)) if within else (F.col("start") < F.col(z)) & (F.col(a) < F.col("end"))
+        return mine.join(spans, (F.col(f"`{key}`") == F.col(k)) & (F.col(own) == F.col(b)) & test, "left_anti").drop(own)
     k, a, z = (fresh(left, n) for n in ("_k", "_s", "_e"))
     gone = meeting(left, right, key, width, within).select(F.col(key).alias(k), F.col("start").alias(a), F.col("end").alias(z)).distinct()
     return left.join(gone, (F.col(f"`{key}`") == F.col(k)) & (F.col("start") == F.col(a)) & (F.col("end") == F.col(z)), "left_anti")

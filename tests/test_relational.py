@@ -65,6 +65,20 @@ def test_spans_clear_of_others(spark, within):
     assert both.count() == len(right) + sum(not any(full(x) and full(y) and x[0] == y[0] and x[1] < y[2] and y[1] < x[2] for y in right) for x in left)
 
 
+@pytest.mark.parametrize("within", [False, True])
+def test_short_spans_clear_of_others_in_one_pass(spark, within):
+    r = random.Random(7)
+    left = [("a", s, s + r.randint(0, 5)) for s in (r.randint(0, 400) for _ in range(300))] + [(None, 1, 2), ("a", None, 3), ("b", 15, 16)]
+    right = [("a", s, s + r.randint(0, 60)) for s in (r.randint(0, 400) for _ in range(9))] + [(None, 0, 9), ("a", 7, None), ("b", 16, 16)]
+    df, spans = spark.createDataFrame(left + left[:4], "k string, start int, end int"), spark.createDataFrame(right, "k string, start int, end int")
+    rows = lambda d: sorted(map(str, d.collect()))
+    got = intervals.clear_of(df, spans, "k", 16, within, longest=5)
+    assert rows(got) == rows(intervals.clear_of(df, spans, "k", 16, within)) and 3 < got.count() < 300
+    assert str(got._jdf.queryExecution().optimizedPlan()).count("LeftSemi") == 0
+    with pytest.raises(Exception, match="longer than 4"):
+        intervals.clear_of(df, spans, "k", 16, within, longest=4).collect()
+
+
 # ---- cohorts
 def test_release_by_brute_force(spark):
     r = random.Random(3)
