@@ -154,6 +154,12 @@ def test_counts_come_with_the_pass_that_writes(spark, tmp_path):
     assert sum(x["records"] for x in got) == 4 and sum(x["t_email"] for x in got) == 3
 
 
+def test_risk_signals_of_observed_counts_are_made_once(spark):
+    df = spark.createDataFrame([(1, "the manager bullied jo@example.com"), (2, None)], "i int, t string")
+    out = redact_frame(df, ["t"], Policy(categories=frozenset(("email",))), observe=Observation()).select("i", "t_redacted")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("bully|bullying") == 1
+
+
 # ---- secrets planted in real texts
 def test_plant_keeps_the_text_and_adds_secrets(spark):
     from maskwright.plans.corpus import generate_for, outcomes, over_masking, plant, recall
