@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fresh, headed, let
+from ..functions.text import beginnings, fresh, headed, let
 from ..plans.policy import DIRECT, QUASI
 
 # Weights, factors, bands, wording.
@@ -26,11 +26,29 @@ TEXT_SIGNALS = {
     "specific_event": r"(?i)\b(?:incident|on\s+(?:the\s+)?\d{1,2}(?:st|nd|rd|th)?|last\s+(?:week|month|year|night|shift)|after\s+the\s+(?:meeting|restructure|reorg|change)|when\s+i\s+(?:arrived|started)|\d{1,2}/\d{1,2}/\d{2,4}|\d{4}-\d{2}-\d{2})",
     "confidentiality_request": r"(?i)\b(?:(?:do\s+not|don'?t|never)\s+(?:want\s+)?(?:my\s+|our\s+)?(?:employer|manager|boss|supervisor|company|colleagues?|coworkers?|co-workers|HR|anyone)\s+(?:to\s+)?(?:find\s+out|know|see|be\s+told)|(?:please\s+)?(?:keep|make)\s+this\s+(?:anonymous|confidential)|(?:i\s+)?(?:am|'m|was)\s+(?:worried|concerned|nervous|scared)\s+about\s+(?:being\s+)?(?:identified|recognised|recognized|found\s+out|tracked)|this\s+(?:is\s+)?(?:not\s+)?anonymous|i\s+don'?t\s+want\s+my\s+name)",
 }
+#: What every match of a text signal has: one of these, where a word begins.  None begins another.
+SIGNAL_CUES = {
+    "narrative": ("bulli", "bully", "harass", "abus", "aggress", "threat", "intimidat", "humiliat", "degrad", "victimi", "retaliat", "gossip", "back stab", "backstab", "excluded", "ostraci", "manager", "supervisor", "team lead", "complain", "grievance", "report"),
+    "scenario": ("told", "asked", "report", "raised", "complain", "said", "put", "kept", "made", "always", "never", "week", "day", "shift"),
+    "unique": ("only", "else", "woman"),
+    "protected": ("pregnan", "breastfeed", "parental", "disab", "wheelchair", "indigenous", "aboriginal", "torres", "lgb", "queer", "gay", "lesbian", "bisexual", "trans", "muslim", "jewish", "hindu", "christian", "caucasian", "white", "overtime", "call", "second"),
+    "specific_event": ("incident", "week", "month", "year", "night", "shift", "meeting", "restructure", "reorg", "change", "arrived", "started", *"0123456789"),
+    "confidentiality_request": ("employer", "manager", "boss", "supervisor", "company", "colleague", "coworker", "co-worker", "hr", "anyone", "anonymous", "confidential", "worried", "concerned", "nervous", "scared", "name"),
+}
 SIGNAL = "struct<name:string,weight:double,category:string>"
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    """Parts between white space; only the first and the last can be empty."""
+    at = lambda ws, i: F.coalesce((F.get(ws, i) == "").cast("int"), F.lit(0))
+    return let(F.split(text, r"\s+"), lambda ws: F.size(ws) - at(ws, F.lit(0)) - F.when(F.size(ws) > 1, at(ws, F.size(ws) - 1)).otherwise(0))
+
+
+def cues(text: Column) -> Column:
+    """The :data:`SIGNAL_CUES` of all signals in a text, one after the other: one pass for six, and the
+    signals without any are not tried."""
+    every = tuple(sorted({w for ws in SIGNAL_CUES.values() for w in ws}))
+    return F.array_join(F.regexp_extract_all(text, F.lit(headed(beginnings(every))), F.lit(0)), " ")
 
 
 def assess(text: Column, found: Column, audience: str = "internal") -> Column:
@@ -53,9 +71,9 @@ def assess(text: Column, found: Column, audience: str = "internal") -> Column:
 
     labels = F.size(F.filter(found, lambda x: x["category"].isin("internal_term", "award") & x["metadata"]["label"].isNotNull()))
     cue = F.regexp_replace(F.lower(F.trim(last("team_size", "metadata")["cue"])), r"[+ ]+$", "")
-    parts = lambda n: F.flatten(F.array(
+    parts = lambda n, seen: F.flatten(F.array(
         *[signal("direct_identifier", has(c), category=c) for c in DIRECT],
-        *[signal(name, text.rlike(headed(p))) for name, p in TEXT_SIGNALS.items()],
+        *[signal(name, seen.rlike(beginnings(SIGNAL_CUES[name])) & text.rlike(headed(p))) for name, p in TEXT_SIGNALS.items()],
         signal("short_response", n.between(1, SHORT_WORDS), F.least(F.lit(SHORT_MOST), F.lit(float(SHORT_WORDS)) / F.greatest(n, F.lit(1)))),
         signal("internal_lexicon", labels > 0, F.lit(a) * F.least(F.lit(1.0) + F.lit(0.15) * (labels - 1), F.lit(1.6)), "internal_term"),
         signal("named_organisation", has("organisation_name"), a, "organisation_name"),
@@ -83,7 +101,7 @@ def assess(text: Column, found: Column, audience: str = "internal") -> Column:
         ordered = F.transform(F.sort_array(F.transform(signals, lambda s, i: F.struct((-s["weight"]).alias("k"), i.alias("i"), s.alias("s")))), lambda x: x["s"])
         return let(F.least(F.lit(1.0), F.round(total, 9)), lambda score: F.struct(score.alias("score"), band(score).alias("band"), ordered.alias("signals"), n.alias("words")))
 
-    full = let(word_count(text), lambda n: let(let(parts(n), combined), lambda signals: judged(signals, n)))
+    full = let(word_count(text), lambda n: let(let(let(cues(text), lambda seen: parts(n, seen)), combined), lambda signals: judged(signals, n)))
     empty = (F.trim(text) == "") | text.isNull()
     blank = F.struct(F.lit(0.0).alias("score"), F.lit("low").alias("band"), none.alias("signals"), F.lit(0).alias("words"))
     return F.when(empty, blank).otherwise(full)
