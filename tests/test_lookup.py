@@ -39,3 +39,30 @@ def test_a_word_is_looked_up_once(spark, monkeypatch):
 
     module.looker(lex)(pd.Series(["karabee karabee", "karabee"]))
     assert asked.count("karabee") == 1
+
+
+def test_only_words_that_may_be_near_are_tried(monkeypatch):
+    """A word neither of whose halves a form has is told from all forms without its deletions; no near one is lost."""
+    import pandas as pd
+
+    import maskwright.operators.lexicon as module
+
+    lex = Lexicon.load()
+    asked = []
+    monkeypatch.setattr(module, "less", lambda k, most=1: asked.append(k) or less(k, most))
+    looked = module.looker(lex)
+    asked.clear()
+    assert list(looked(pd.Series(["zzqxjvwq xqzjvkwy 77310442 zzqxjvwq"]))) == [[]] and asked == []
+    fuzzy, rng = lex.fuzzy(), random.Random(11)
+    heads, tails = module.halves(fuzzy)
+    forms = sorted({key_of(f) for t in lex.terms for f in t.forms if " " not in f and not t.exact_only})
+    n = 0
+    for _ in range(20000):
+        k = rng.choice(forms)
+        for _ in range(rng.randint(0, 2)):  # letters dropped, changed, added
+            i = rng.randrange(len(k) + 1)
+            k = k[:i] + rng.choice(["", "x", "e", k[i : i + 1] + "s"]) + k[i + 1 :]
+        if len(k) >= 6 and any(v in fuzzy for v in less(k, 1)):
+            n += 1
+            assert module.may_be_near(k, heads, tails), k
+    assert n > 2000
